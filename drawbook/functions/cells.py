@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.constants import EXPECTED_WORDS, NOT_PERFORMED_WORDS, QUALITATIVE_WORDS, READ_STATUS_WORDS
@@ -43,7 +43,7 @@ def split_cell(col: Column) -> Column:
     seams = F.arrays_zip(
         F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("a"),
         F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))).alias("b"))
-    unclear = F.exists(seams, lambda s: ~(s["0"].rlike(r"[HL]\z") | s["1"].rlike(r"^[<>≤≥]")))
+    unclear = F.exists(seams, lambda s: ~(s["a"].rlike(r"[HL]\z") | s["b"].rlike(r"^[<>≤≥]")))
     return F.struct(F.when(whole, pieces).alias("pieces"), (whole & unclear).alias("ambiguous"))
 
 
@@ -110,40 +110,50 @@ _BOUNDED = r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)(?:\s+[a-zµμ%][a-z0-9µμ%/.^
 _SINGLE = r"^(<=|>=|<|>)(-?\d+(?:\.\d+)?)(?:\s+[a-zµμ%][a-z0-9µμ%/.^]*)?\z"
 
 
-def flag_consistent(result: Column, flag: Column, reference: Column, column_role: Column) -> Column:
-    """Does the printed flag agree with the printed number and the printed range?
+def with_flag_consistent(df: DataFrame, result: str, flag: str, reference: str, column_role: str,
+                         out: str = "consistent") -> DataFrame:
+    """Add ``out``: does the printed flag agree with the printed number and the printed range?
 
     Undecidable inputs (words, no numeric range) are consistent. An inequality result is judged only where it
     settles the side. A flagged risk band, or an unflagged value printed in the out-of-range column, may print
-    the band itself instead of one normal range.
+    the band itself instead of one normal range. Parsed parts are separate projections so each pattern runs once.
     """
-    op, number, glued = _group(result, CELL, 1), _group(result, CELL, 2).cast("double"), _group(result, CELL, 3)
-    text = canonical_range(reference)
-    b_lo, b_hi = _group(text, _BOUNDED, 1).cast("double"), _group(text, _BOUNDED, 2).cast("double")
-    s_op, s_num = _group(text, _SINGLE, 1), _group(text, _SINGLE, 2).cast("double")
-    low = F.when(b_lo.isNotNull(), b_lo).when(s_op.startswith(">"), s_num)
-    high = F.when(b_lo.isNotNull(), b_hi).when(s_op.startswith("<"), s_num)
-    closed = b_lo.isNotNull() | s_op.isin("<=", ">=")
-    op1 = F.substring(op, 1, 1)
-    below, above = op1.isin("<", "≤"), op1.isin(">", "≥")
-
-    under = F.coalesce(number < low, F.lit(False)) | F.coalesce(
-        (number == low) & (~closed | (below & (op == "<"))), F.lit(False))
-    over = F.coalesce(number > high, F.lit(False)) | F.coalesce(
-        (number == high) & (~closed | (above & (op == ">"))), F.lit(False))
-    plain = op.isNull()
-    expected = (F.when(F.coalesce(below, F.lit(False)), F.when(under, F.lit("L")))
-                .when(F.coalesce(above, F.lit(False)), F.when(over, F.lit("H")))
-                .when(under, F.lit("L")).when(over, F.lit("H")))
-    settled = plain | expected.isNotNull()
-    in_band = ((flag == "H") & s_op.startswith(">") & (F.when(s_op == ">", number > s_num).otherwise(number >= s_num))
-               | (flag == "L") & s_op.startswith("<") & (F.when(s_op == "<", number < s_num).otherwise(number <= s_num)))
-    banded = plain & F.coalesce(
-        in_band | (flag.isNull() & expected.isNotNull() & (column_role == "out_of_range")), F.lit(False))
-    agrees = F.when(settled, flag.eqNullSafe(expected) | banded).otherwise(flag.isNull())
-    return (F.when(number.isNull(), F.lit(True))
-            .when(glued.isNotNull() & ~glued.eqNullSafe(flag), F.lit(False))
-            .when(F.coalesce(text, F.lit("")) == "", F.lit(True))
-            .when(b_lo.isNotNull() & (b_lo > b_hi), F.lit(False))
-            .when(b_lo.isNull() & s_op.isNull(), F.lit(True))
-            .otherwise(agrees))
+    printed, ref = F.col(result), F.col(reference)
+    df = df.withColumns({
+        "_op": _group(printed, CELL, 1), "_num": _group(printed, CELL, 2).cast("double"),
+        "_glued": _group(printed, CELL, 3), "_text": canonical_range(ref)})
+    df = df.withColumns({
+        "_b_lo": _group(F.col("_text"), _BOUNDED, 1).cast("double"),
+        "_b_hi": _group(F.col("_text"), _BOUNDED, 2).cast("double"),
+        "_s_op": _group(F.col("_text"), _SINGLE, 1), "_s_num": _group(F.col("_text"), _SINGLE, 2).cast("double")})
+    c, no = F.col, F.lit(False)
+    number, op, s_op, s_num, mark = c("_num"), c("_op"), c("_s_op"), c("_s_num"), c(flag)
+    df = df.withColumns({
+        "_low": F.when(c("_b_lo").isNotNull(), c("_b_lo")).when(s_op.startswith(">"), s_num),
+        "_high": F.when(c("_b_lo").isNotNull(), c("_b_hi")).when(s_op.startswith("<"), s_num),
+        "_closed": c("_b_lo").isNotNull() | F.coalesce(s_op.isin("<=", ">="), no)})
+    strictly_below, strictly_above = F.coalesce(op == "<", no), F.coalesce(op == ">", no)
+    df = df.withColumns({
+        "_under": F.coalesce(number < c("_low"), no) | F.coalesce(
+            (number == c("_low")) & (~c("_closed") | strictly_below), no),
+        "_over": F.coalesce(number > c("_high"), no) | F.coalesce(
+            (number == c("_high")) & (~c("_closed") | strictly_above), no)})
+    df = df.withColumn("_expected", (
+        F.when(op.startswith("<") | op.startswith("≤"), F.when(c("_under"), F.lit("L")))
+        .when(op.startswith(">") | op.startswith("≥"), F.when(c("_over"), F.lit("H")))
+        .when(c("_under"), F.lit("L")).when(c("_over"), F.lit("H"))))
+    expected = c("_expected")
+    high_band = (mark == "H") & s_op.startswith(">") & F.when(s_op == ">", number > s_num).otherwise(number >= s_num)
+    low_band = (mark == "L") & s_op.startswith("<") & F.when(s_op == "<", number < s_num).otherwise(number <= s_num)
+    unmarked = mark.isNull() & expected.isNotNull() & (c(column_role) == "out_of_range")
+    banded = op.isNull() & (F.coalesce(high_band, no) | F.coalesce(low_band, no) | F.coalesce(unmarked, no))
+    agrees = F.when(op.isNull() | expected.isNotNull(), mark.eqNullSafe(expected) | banded).otherwise(mark.isNull())
+    verdict = (F.when(number.isNull(), F.lit(True))
+               .when(c("_glued").isNotNull() & ~c("_glued").eqNullSafe(mark), no)
+               .when(F.coalesce(c("_text"), F.lit("")) == "", F.lit(True))
+               .when(c("_b_lo").isNotNull() & (c("_b_lo") > c("_b_hi")), no)
+               .when(c("_b_lo").isNull() & s_op.isNull(), F.lit(True))
+               .otherwise(agrees))
+    return df.withColumn(out, verdict).drop(
+        "_op", "_num", "_glued", "_text", "_b_lo", "_b_hi", "_s_op", "_s_num", "_low", "_high", "_closed", "_under",
+        "_over", "_expected")
