@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["results", "scores", "texts"]
+MODULES = ["results", "scores", "texts", "names", "reroute"]
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
