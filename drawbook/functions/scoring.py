@@ -2,66 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.constants import BODY_FAT_BANDS, GOAL_SCORE, TIER_SCORES, VAT_BANDS
 
 
-def scored(pct: Column | None, tier: Column | None) -> Column:
-    return F.struct(
-        (F.lit(None) if pct is None else pct).cast("int").alias("pct"),
-        (F.lit(None) if tier is None else tier).cast("string").alias("tier"))
+def bounded_tier(value, direction, optimal, moderate, inclusive, moderate_inclusive) -> Column:
+    """Tier against a one-sided threshold. Equality at either cutoff follows its own inclusive switch."""
+    lower = direction == "lower"
 
+    def within(cutoff: Column, closed: Column) -> Column:
+        return F.when(value == cutoff, closed).otherwise((value < cutoff) == lower)
 
-def _band(pct: Column, tier: str) -> Column:
-    return scored(F.bround(pct), F.lit(tier))
+    return (F.when(optimal.isNull() | moderate.isNull(), "unscored").when(value.isNull(), F.lit(None))
+            .when(within(optimal, inclusive), "optimal").when(within(moderate, moderate_inclusive), "moderate")
+            .otherwise("flag"))
 
 
-def score_bounded(value, direction, optimal, moderate, inclusive, moderate_inclusive) -> Column:
-    """One-sided threshold. Equality at either cutoff follows its own inclusive switch."""
+def bounded_pct(tier, value, direction, optimal, moderate) -> Column:
+    """Percentage of a value whose bounded tier is known."""
     lower = direction == "lower"
-    hits_optimal = F.when(lower, value < optimal).otherwise(value > optimal) | (inclusive & (value == optimal))
-    hits_moderate = F.when(lower, value < moderate).otherwise(value > moderate) | (
-        moderate_inclusive & (value == moderate))
-    width = F.when(moderate == optimal, F.lit(1.0)).otherwise(F.abs(moderate - optimal))
-    share = F.coalesce(F.try_divide(value, optimal), F.lit(0.0))
-    beyond = F.when(moderate == 0, F.lit(1.0)).otherwise(
-        F.try_divide(F.when(lower, value - moderate).otherwise(moderate - value), moderate))
-    optimal_pct = F.when(lower, F.greatest(F.lit(88.0), 100 - share * 12)).otherwise(
+    width = F.when(moderate == optimal, 1.0).otherwise(F.abs(moderate - optimal))
+    beyond = F.coalesce(F.try_divide(F.abs(value - moderate), moderate), F.lit(1.0))
+    best = F.when(lower, F.greatest(F.lit(88.0), 100 - F.coalesce(F.try_divide(value, optimal), F.lit(0.0)) * 12)).otherwise(
         88 + F.least(F.lit(12.0), (value - optimal) / F.greatest(optimal, F.lit(1.0)) * 12))
-    moderate_pct = F.when(lower, F.greatest(F.lit(50.0), 88 - (value - optimal) / width * 38)).otherwise(
-        50 + (value - moderate) / width * 38)
-    return (F.when(optimal.isNull() | moderate.isNull(), scored(None, F.lit("unscored")))
-            .when(value.isNull(), scored(None, None))
-            .when(hits_optimal, _band(optimal_pct, "optimal"))
-            .when(hits_moderate, _band(moderate_pct, "moderate"))
-            .otherwise(_band(F.greatest(F.lit(8.0), 50 - beyond * 90), "flag")))
-
-
-def score_range(value, lo, hi) -> Column:
-    """Two-sided range; one range width outside is moderate, farther out is a flag."""
-    width = hi - lo
-    away = F.try_divide(F.when(value < lo, lo - value).otherwise(value - hi), width)
-    return (F.when(lo.isNull() | hi.isNull(), scored(None, F.lit("unscored")))
-            .when(value.isNull(), scored(None, None))
-            .when(value.between(lo, hi), scored(F.lit(96), F.lit("optimal")))
-            .when(width <= 0, scored(F.lit(8), F.lit("flag")))
-            .when(away <= 1, _band(88 - away * 38, "moderate"))
-            .otherwise(_band(F.greatest(F.lit(8.0), 50 - (away - 1) * 90), "flag")))
-
-
-def score_lab_range(value, lo, hi) -> Column:
-    return (F.when(lo.isNull() | hi.isNull(), scored(None, F.lit("unscored")))
-            .when(value.isNull(), scored(None, None))
-            .when(value.between(lo, hi), scored(F.lit(96), F.lit("optimal")))
-            .otherwise(scored(F.lit(20), F.lit("flag"))))
-
-
-def score_categorical(good) -> Column:
-    return (F.when(good.isNull(), scored(None, None))
-            .when(good, scored(F.lit(96), F.lit("optimal")))
-            .otherwise(scored(F.lit(55), F.lit("moderate"))))
+    middle = F.when(lower, 88 - (value - optimal) / width * 38).otherwise(50 + (value - moderate) / width * 38)
+    return (F.when(tier == "optimal", best).when(tier == "moderate", F.greatest(F.lit(50.0), middle))
+            .when(tier == "flag", F.greatest(F.lit(8.0), 50 - beyond * 90)))
+
+
+def widths_outside(value, lo, hi) -> Column:
+    """How many range widths a value lies outside its range; 0 inside, NULL when the range has no width."""
+    return F.when(value.between(lo, hi), 0.0).otherwise(
+        F.when(hi > lo, F.when(value < lo, lo - value).otherwise(value - hi) / (hi - lo)))
+
+
+def range_tier(value, lo, hi, away, lab) -> Column:
+    """Tier against a two-sided range; a range the source printed (``lab``) is in or out, nothing between."""
+    return (F.when(lo.isNull() | hi.isNull(), "unscored").when(value.isNull(), F.lit(None))
+            .when(away == 0, "optimal").when(~lab & (away <= 1), "moderate").otherwise("flag"))
+
+
+def range_pct(tier, away, lab) -> Column:
+    return (F.when(tier == "optimal", 96.0).when(tier == "moderate", 88 - away * 38)
+            .when(tier == "flag", F.when(lab, 20.0).otherwise(
+                F.greatest(F.lit(8.0), F.coalesce(50 - (away - 1) * 90, F.lit(8.0))))))
+
+
+def with_score(df: DataFrame, prefix: str, value: str, lo: Column, hi: Column) -> DataFrame:
+    """Add ``<prefix>_pct`` and ``<prefix>_tier``.
+
+    Distance, tier and percentage are separate projections, so each is evaluated once per row and the generated
+    code stays small enough to be compiled.
+    """
+    c = F.col
+    v, away, tier = c(value), c("_away"), c("_tier")
+    bounded, lab = c("kind") == "bounded", F.coalesce(c("range_source") == "lab", F.lit(False))
+    low = F.coalesce(c("low_ok_on_trt") & (v < c("lo")), F.lit(False))
+    treated = F.coalesce(c("on_trt"), F.lit(False))
+    df = df.withColumns({"_lo": lo, "_hi": hi})
+    df = df.withColumn("_away", widths_outside(v, c("_lo"), c("_hi")))
+    df = df.withColumn("_tier", F.when(bounded, bounded_tier(
+        v, c("direction"), c("optimal"), c("moderate"), c("inclusive"), c("moderate_inclusive"))).otherwise(
+        range_tier(v, c("_lo"), c("_hi"), away, lab)))
+    df = df.withColumn("_pct", F.when(bounded, bounded_pct(tier, v, c("direction"), c("optimal"), c("moderate"))).otherwise(
+        range_pct(tier, away, lab)))
+    result = F.struct(
+        F.when(low, F.when(treated, 96).otherwise(20)).otherwise(F.bround(c("_pct")).cast("int")).alias(f"{prefix}_pct"),
+        F.when(low, F.when(treated, "optimal").otherwise("flag")).otherwise(tier).alias(f"{prefix}_tier"))
+    # A one-element generator: later filters on a score are evaluated on its value. Pushed below the projections
+    # instead, they would repeat the whole scoring expression inside the predicate.
+    return df.select("*", F.inline(F.array(result))).drop("_lo", "_hi", "_away", "_tier", "_pct")
+
+
+def categorical_tier(good: Column) -> Column:
+    return F.when(good, "optimal").when(~good, "moderate")
+
+
+def categorical_pct(good: Column) -> Column:
+    return F.when(good, 96).when(~good, 55)
 
 
 def zone(score: Column) -> Column:

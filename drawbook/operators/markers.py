@@ -80,26 +80,11 @@ def apply_fallbacks(markers: DataFrame, overrides: DataFrame | None = None) -> D
 
 
 def score_markers(markers: DataFrame) -> DataFrame:
-    """Scores of now and then, with the treatment rule for low values."""
-
-    def points(value: Column, lo: Column, hi: Column) -> Column:
-        c = F.col
-        bounded = scoring.score_bounded(value, c("direction"), c("optimal"), c("moderate"), c("inclusive"),
-                                        c("moderate_inclusive"))
-        ranged = F.when(c("range_source") == "lab", scoring.score_lab_range(value, lo, hi)).otherwise(
-            scoring.score_range(value, lo, hi))
-        plain = F.when(c("kind") == "bounded", bounded).otherwise(ranged)
-        low = c("low_ok_on_trt") & (value < c("lo"))
-        return (F.when(low & F.coalesce(c("on_trt"), F.lit(False)), scoring.scored(F.lit(96), F.lit("optimal")))
-                .when(low, scoring.scored(F.lit(20), F.lit("flag")))
-                .otherwise(plain))
-
-    now, then = F.col("now_value"), F.col("then_value")
-    scored = markers.withColumn("n", points(now, F.col("lo"), F.col("hi"))).withColumn(
-        "t", F.when(then.isNotNull(), points(then, F.col("then_lo"), F.col("then_hi"))))
-    return (scored.withColumn("now_pct", F.col("n.pct")).withColumn("now_tier", F.col("n.tier"))
-            .withColumn("then_pct", F.col("t.pct")).withColumn("then_tier", F.col("t.tier"))
-            .withColumn("system", system_of(F.col("category"))).drop("n", "t"))
+    """Scores of now and then, with the treatment rule for low values; no *then* value, no *then* score."""
+    scored = scoring.with_score(markers, "now", "now_value", F.col("lo"), F.col("hi"))
+    scored = scoring.with_score(scored, "then", "then_value", F.col("then_lo"), F.col("then_hi"))
+    scored = scored.withColumn("then_tier", F.when(F.col("then_value").isNotNull(), F.col("then_tier")))
+    return scored.withColumn("system", system_of(F.col("category")))
 
 
 def rollup_systems(scored: DataFrame) -> DataFrame:

@@ -186,10 +186,9 @@ def cell_grammar(spark, folder):
     result = per.withColumn("r", cells.cell_result(F.col("token")))
     word = F.lower("token").isin("negative", "positive")
     good = F.when(word, cells.is_good(F.col("r.disp")))
-    score = scoring.score_categorical(good)
     return result.select("token", "cells", F.col("r.status").alias("status"), F.col("r.value").alias("value"),
                          F.col("r.disp").alias("disp"), cells.is_censored(F.col("r.disp"), F.col("r.value")).alias("censored"),
-                         good.alias("good"), score["pct"].alias("pct"), score["tier"].alias("tier"))
+                         good.alias("good"), scoring.categorical_pct(good).alias("pct"), scoring.categorical_tier(good).alias("tier"))
 
 
 @query("split_cells", "C6", """
