@@ -59,6 +59,8 @@ def compose(body: str, uses: tuple[str, ...]) -> str:
         return body
     views = ",\n".join(f"{name} AS ({_CTES[name][0]})" for name in ordered)
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body.removeprefix('WITH RECURSIVE ')}"
     if body.startswith("WITH "):
         return f"WITH {views},\n{body.removeprefix('WITH ')}"
     return f"WITH {views}\n{body}"
