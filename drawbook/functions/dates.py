@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,29 +23,36 @@ def folded_date_text(col: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(col)), r"\.+\z", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def date_key(col: Column) -> Column:
     """STRUCT<y, m, d> of a printed date, NULL when no accepted form is printed. Not calendar-checked."""
-    text = folded_date_text(col)
-    month_no = F.try_element_at(
-        F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair]), F.regexp_extract(text, _NAMED, 1))
+    months = F.create_map(*[F.lit(part) for pair in MONTHS.items() for part in pair])
+
+    def parts(text: Column) -> Column:
+        return F.struct(*[F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).alias(f"{name}{group}")
+                          for name, pattern in (("s", _SLASHED), ("i", _ISO), ("n", _NAMED)) for group in (1, 2, 3)])
 
     def triple(year: Column, month: Column, day: Column) -> Column:
         return F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
 
-    year = _part(text, _SLASHED, 3).cast("int")
-    slashed = triple(F.when(year < 100, year + 2000).otherwise(year), _part(text, _SLASHED, 1), _part(text, _SLASHED, 2))
-    iso = triple(_part(text, _ISO, 1), _part(text, _ISO, 2), _part(text, _ISO, 3))
-    named = triple(_part(text, _NAMED, 3), month_no, _part(text, _NAMED, 2))
-    return (F.when(year.isNotNull(), slashed)
-            .when(_part(text, _ISO, 1).isNotNull(), iso)
-            .when(month_no.isNotNull(), named))
+    def read(p: Column) -> Column:
+        year = p["s3"].cast("int")
+        month = F.try_element_at(months, p["n1"])
+        return (F.when(p["s3"].isNotNull(), triple(F.when(year < 100, year + 2000).otherwise(year), p["s1"], p["s2"]))
+                .when(p["i1"].isNotNull(), triple(p["i1"], p["i2"], p["i3"]))
+                .when(month.isNotNull(), triple(p["n3"], month, p["n2"])))
+
+    return let(folded_date_text(col), lambda text: let(parts(text), read))
 
 
 def date_group(col: Column) -> Column:
     """Grouping key: the normalised date, else the folded raw text."""
-    key = date_key(col)
-    return F.when(key.isNotNull(), F.format_string("%04d-%02d-%02d", key["y"], key["m"], key["d"])).otherwise(
-        folded_date_text(col))
+    return let(date_key(col), lambda k: F.when(
+        k.isNotNull(), F.format_string("%04d-%02d-%02d", k["y"], k["m"], k["d"])).otherwise(folded_date_text(col)))
 
 
 def valid_day(key: Column) -> Column:
