@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.constants import BODY_FAT_BANDS, GOAL_SCORE, TIER_SCORES, VAT_BANDS
+from drawbook.functions.plan import compute_once
 
 
 def bounded_tier(value, direction, optimal, moderate, inclusive, moderate_inclusive) -> Column:
@@ -68,12 +69,10 @@ def with_score(df: DataFrame, prefix: str, value: str, lo: Column, hi: Column) -
         range_tier(v, c("_lo"), c("_hi"), away, lab)))
     df = df.withColumn("_pct", F.when(bounded, bounded_pct(tier, v, c("direction"), c("optimal"), c("moderate"))).otherwise(
         range_pct(tier, away, lab)))
-    result = F.struct(
-        F.when(low, F.when(treated, 96).otherwise(20)).otherwise(F.bround(c("_pct")).cast("int")).alias(f"{prefix}_pct"),
-        F.when(low, F.when(treated, "optimal").otherwise("flag")).otherwise(tier).alias(f"{prefix}_tier"))
-    # A one-element generator: later filters on a score are evaluated on its value. Pushed below the projections
-    # instead, they would repeat the whole scoring expression inside the predicate.
-    return df.select("*", F.inline(F.array(result))).drop("_lo", "_hi", "_away", "_tier", "_pct")
+    return compute_once(df, **{
+        f"{prefix}_pct": F.when(low, F.when(treated, 96).otherwise(20)).otherwise(F.bround(c("_pct")).cast("int")),
+        f"{prefix}_tier": F.when(low, F.when(treated, "optimal").otherwise("flag")).otherwise(tier),
+    }).drop("_lo", "_hi", "_away", "_tier", "_pct")
 
 
 def categorical_tier(good: Column) -> Column:

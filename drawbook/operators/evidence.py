@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from drawbook.constants import (EVIDENCE_LINE_LIMIT, METHODOLOGY_PHRASES, NOTE_SECTIONS, PATIENT_SYSTEMS, PRINTED_DATE,
                                 TREND_TITLES, VITALITY_DOMAINS, VITALITY_VALUES)
 from drawbook.functions import dates, text
+from drawbook.functions.plan import compute_once
 
 _DATE = rf"(?i)(?<!\d)({PRINTED_DATE})(?!\d)"
 _COLLECTION = rf"(?i)(?:collected|collection|specimen|draw|service|received)[^\n:]{{0,35}}[:#]?\s*({PRINTED_DATE})"
@@ -37,7 +38,7 @@ def is_boundary(line: Column) -> Column:
 
 def explode_segments(docs: DataFrame, opens: Callable[[Column], Column], keep: list[str]) -> DataFrame:
     """One row per run of lines that starts at a line for which ``opens`` holds (or at the first line)."""
-    marked = docs.withColumn("_marks", F.filter(
+    marked = compute_once(docs, _marks=F.filter(
         F.transform("lines", lambda line, i: F.when(opens(line), i)), lambda i: i.isNotNull()))
     first = F.coalesce(F.get("_marks", F.lit(0)), F.lit(-1))
     marked = marked.withColumn("_starts", F.when(first == 0, F.col("_marks")).otherwise(F.concat(F.array(F.lit(0)), F.col("_marks"))))

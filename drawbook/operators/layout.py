@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from drawbook.constants import COLUMN_LABELS, DATE_COLUMN_PAD, HEADER_WORDS, LINE_TOLERANCE, MULTIWORD_CELLS, PRINTED_DATE
 from drawbook.functions import cells, text
+from drawbook.functions.dates import let
+from drawbook.functions.plan import compute_once
 
 PAGE = ["doc_id", "page"]
 WORD = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
@@ -40,23 +42,32 @@ def repair_glyphs(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
     return j.select(*PAGE, F.transform("words", fix).alias("words"))
 
 
-def group_lines(pages: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
-    """Words by line: a line's centre is its first word's, so the fold carries that anchor. Exact, inside the row."""
+def page_lines(pages: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """Each page with its lines. A line's centre is its first word's, so drift never chains words together.
+
+    The fold keeps only one anchor per line; words then fall to the last anchor at or above their centre.
+    """
     centred = F.array_sort(F.transform("words", lambda w: F.struct(((w["y0"] + w["y1"]) / 2).alias("c"), w["x0"].alias("x"), w.alias("w"))))
-    shape = f"array<struct<line:int,w:{WORD}>>"
-    start = F.struct(F.lit(-1e9).alias("anchor"), F.lit(-1).alias("line"), F.array().cast(shape).alias("out"))
+    keyed = compute_once(pages, placed=centred)
 
-    def step(s: Column, e: Column) -> Column:
-        new = F.abs(e["c"] - s["anchor"]) > tolerance
-        line = s["line"] + new.cast("int")
-        return F.struct(F.when(new, e["c"]).otherwise(s["anchor"]).alias("anchor"), line.alias("line"),
-                        F.array_append(s["out"], F.struct(line.alias("line"), e["w"].alias("w"))).alias("out"))
+    def step(anchors: Column, e: Column) -> Column:
+        last = F.get(anchors, F.size(anchors) - 1)
+        return F.when(last.isNotNull() & (F.abs(e["c"] - last) <= tolerance), anchors).otherwise(F.array_append(anchors, e["c"]))
+
+    keyed = compute_once(keyed, anchors=F.aggregate("placed", F.array().cast("array<double>"), step))
+    nexts = F.concat(F.slice("anchors", F.lit(2), F.size("anchors")), F.array(F.lit(float("inf"))))
+    spans = F.arrays_zip(F.col("anchors").alias("a"), nexts.alias("n"))
 
-    folded = pages.select(*PAGE, F.aggregate(centred, start, step, lambda s: s["out"]).alias("placed"))
-    numbers = F.sequence(F.lit(0), F.greatest(F.coalesce(F.array_max(F.transform("placed", lambda p: p["line"])), F.lit(0)), F.lit(0)))
-    lines = folded.select(*PAGE, "placed", F.explode(numbers).alias("line_no"))
-    words = F.array_sort(F.transform(F.filter("placed", lambda p: p["line"] == F.col("line_no")), lambda p: p["w"]))
-    return lines.select(*PAGE, "line_no", words.alias("words")).filter(F.size("words") > 0)
+    def words_of(span: Column) -> Column:
+        return F.array_sort(F.transform(F.filter("placed", lambda p: (p["c"] >= span["a"]) & (p["c"] < span["n"])), lambda p: p["w"]))
+
+    lines = F.transform(spans, lambda span, i: F.struct(i.alias("line_no"), words_of(span).alias("words")))
+    return compute_once(keyed, lines=lines).select(*PAGE, "lines")
+
+
+def group_lines(pages: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """One row per line of words, left to right."""
+    return page_lines(pages, tolerance).select(*PAGE, F.inline("lines"))
 
 
 def line_text() -> Column:
@@ -65,7 +76,7 @@ def line_text() -> Column:
 
 def group_cells(lines: DataFrame) -> DataFrame:
     """Cells of each line: a gap wider than 0.6 of the smaller word height starts a new one; fixed phrases join."""
-    shape = f"array<struct<x0:double,x1:double,h:double,text:string>>"
+    shape = "array<struct<x0:double,x1:double,h:double,text:string>>"
     start = F.array().cast(shape)
 
     def step(out: Column, w: Column) -> Column:
@@ -81,7 +92,7 @@ def group_cells(lines: DataFrame) -> DataFrame:
         head = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
         return F.when(joins, F.array_append(head, merged)).otherwise(F.array_append(out, fresh))
 
-    return lines.withColumn("cells", F.aggregate("words", start, step))
+    return compute_once(lines, cells=F.aggregate("words", start, step))
 
 
 def header_token(col: Column) -> Column:
@@ -94,38 +105,56 @@ def is_header_line(words: Column) -> Column:
                                            | w["text"].rlike(r"^[/&]+\z") | w["text"].rlike(rf"(?i)^{PRINTED_DATE}\z"))
 
 
-def header_columns(lines: DataFrame) -> DataFrame:
-    """Column spans of each page's header line: longest label first; other words attach to the label before them.
+def with_header(pages: DataFrame) -> DataFrame:
+    """Pages of lines with the columns of their header line: longest label first; other words widen the label before.
 
-    Current sub-labels share one value column; each historical label is its own.
+    Current sub-labels share one value column; each historical label is its own. Pages without a header line, or
+    whose header has no result column, are dropped: nothing on them is read.
     """
     longest = max(len(label.split()) for _, label in COLUMN_LABELS)
     kinds = F.create_map(*[F.lit(x) for kind, label in COLUMN_LABELS for x in (label, kind)])
-    names = F.array(*[F.lit(x) for x in ("test", "tests", "analyte")])
-    starts_name = F.array_contains(names, header_token(F.get("words", F.lit(0))["text"]))
-    has_value = F.exists("words", lambda w: header_token(w["text"]).isin("current", "historical", "result", "in", "out"))
-    head = lines.filter(starts_name & has_value).groupBy(*PAGE).agg(F.min(F.struct("line_no", "words")).alias("h")).select(
-        *PAGE, F.col("h.line_no").alias("header_line"), F.col("h.words").alias("words"))
-    shape = "array<struct<kind:string,x0:double,x1:double>>"
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast(shape).alias("out"))
-    indexed = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+
+    def is_header(line: Column) -> Column:
+        named = header_token(F.get(line["words"], F.lit(0))["text"]).isin("test", "tests", "analyte")
+        return named & F.exists(line["words"], lambda w: header_token(w["text"]).isin("current", "historical", "result", "in", "out"))
+
+    head = pages.withColumn("head", F.get(F.filter("lines", is_header), F.lit(0))).filter(F.col("head").isNotNull()).select(
+        *PAGE, "lines", F.col("head.line_no").alias("header_line"), F.col("head.words").alias("words"))
+    head = head.withColumn("tokens", F.transform("words", lambda w: header_token(w["text"])))
+
+    def labelled(w: Column, i: Column) -> Column:
+        """The longest label that starts at word ``i``, if any."""
+
+        def of(n: int) -> Column:
+            key = F.array_join(F.slice("tokens", i + 1, F.lit(n)), " ")
+            end = F.get("words", i + n - 1)["x1"]
+            return let(F.try_element_at(kinds, key), lambda kind: F.when(
+                kind.isNotNull() & end.isNotNull(), F.struct(kind.alias("kind"), F.lit(n).alias("n"), end.alias("x1"))))
+
+        return F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), F.coalesce(*[of(n) for n in range(longest, 0, -1)]).alias("label"))
+
+    head = head.withColumn("marks", F.transform("words", labelled))
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<struct<kind:string,x0:double,x1:double>>").alias("out"))
 
     def step(s: Column, e: Column) -> Column:
-        span = [F.slice("words", e["i"] + 1, F.lit(n)) for n in range(longest, 0, -1)]
-        options = [F.when(F.size(ws) == n, F.struct(
-            F.try_element_at(kinds, F.array_join(F.transform(ws, lambda w: header_token(w["text"])), " ")).alias("kind"),
-            F.lit(n).alias("n"), F.get(ws, F.lit(n - 1))["x1"].alias("x1"))) for n, ws in zip(range(longest, 0, -1), span)]
-        best = F.coalesce(*[F.when(o["kind"].isNotNull(), o) for o in options])
-        last = F.get(s["out"], F.size(s["out"]) - 1)
-        grown = F.array_append(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.struct(
-            last["kind"].alias("kind"), last["x0"].alias("x0"), F.greatest(last["x1"], e["w"]["x1"]).alias("x1")))
-        placed = F.when(best.isNotNull(), F.array_append(s["out"], F.struct(
-            best["kind"].alias("kind"), e["w"]["x0"].alias("x0"), best["x1"].alias("x1")))).when(F.size(s["out"]) > 0, grown).otherwise(s["out"])
-        return F.struct(F.when(s["skip"] > 0, s["skip"] - 1).otherwise(F.coalesce(best["n"] - 1, F.lit(0))).alias("skip"),
-                        F.when(s["skip"] > 0, s["out"]).otherwise(placed).alias("out"))
-
-    found = head.select(*PAGE, "header_line", F.aggregate(indexed, start, step, lambda s: s["out"]).alias("columns"))
-    return found.filter((F.get("columns", F.lit(0))["kind"] == "name") & F.exists("columns", lambda c: c["kind"].isin("current", "historical")))
+        label, last = e["label"], F.get(s["out"], F.size(s["out"]) - 1)
+        made = F.struct(label["kind"].alias("kind"), e["x0"].alias("x0"), label["x1"].alias("x1"))
+        wider = F.struct(last["kind"].alias("kind"), last["x0"].alias("x0"), F.greatest(last["x1"], e["x1"]).alias("x1"))
+        rest = F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))
+        out = F.when((s["skip"] > 0) | (label.isNull() & last.isNull()), s["out"]).when(
+            label.isNotNull(), F.array_append(s["out"], made)).otherwise(F.array_append(rest, wider))
+        skip = F.when(s["skip"] > 0, s["skip"] - 1).otherwise(F.coalesce(label["n"] - 1, F.lit(0)))
+        return F.struct(skip.alias("skip"), out.alias("out"))
+
+    columns = F.aggregate("marks", start, step, lambda s: s["out"])
+    found = compute_once(head, columns=columns).select(*PAGE, "lines", "header_line", "columns")
+    found = found.filter((F.get("columns", F.lit(0))["kind"] == "name") & F.exists("columns", lambda c: c["kind"].isin("current", "historical")))
+    return with_bounds(found)
+
+
+def header_columns(pages: DataFrame) -> DataFrame:
+    """One row per column of each page's header."""
+    return with_header(pages).select(*PAGE, F.posexplode("columns").alias("column_no", "c")).select(*PAGE, "column_no", "c.*")
 
 
 def with_bounds(headers: DataFrame) -> DataFrame:
@@ -134,7 +163,7 @@ def with_bounds(headers: DataFrame) -> DataFrame:
     before = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("kind"), (-inf).alias("x0"), (-inf).alias("x1"))), F.col("columns"))
     after = F.concat(F.slice("columns", F.lit(2), F.size("columns")), F.array(F.struct(F.lit(None).cast("string").alias("kind"), inf.alias("x0"), inf.alias("x1"))))
     zipped = F.arrays_zip(F.col("columns").alias("c"), F.slice(before, F.lit(1), F.size("columns")).alias("p"), after.alias("n"))
-    return headers.withColumn("bounds", F.transform(zipped, lambda z, i: F.struct(
+    return compute_once(headers, bounds=F.transform(zipped, lambda z, i: F.struct(
         i.alias("no"), z["c"]["kind"].alias("kind"), z["c"]["x0"].alias("x0"), z["c"]["x1"].alias("x1"),
         ((z["p"]["x1"] + z["c"]["x0"]) / 2).alias("lo"), ((z["c"]["x1"] + z["n"]["x0"]) / 2).alias("hi"))))
 
@@ -143,10 +172,16 @@ def column_at(x: Column, bounds: Column) -> Column:
     return F.get(F.filter(bounds, lambda b: (x >= b["lo"]) & (x < b["hi"])), F.lit(0))
 
 
-def assign_columns(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def body_lines(pages: DataFrame) -> DataFrame:
+    """Lines below each page's header, with the header's column bounds."""
+    headed = with_header(pages)
+    below = F.filter("lines", lambda line: line["line_no"] > F.col("header_line"))
+    return headed.select(*PAGE, "columns", "bounds", F.inline(below))
+
+
+def assign_columns(pages: DataFrame) -> DataFrame:
     """Each word below a page's header with its column, and whether it sits inside a dated column's own label span."""
-    j = lines.join(with_bounds(headers), PAGE).filter(F.col("line_no") > F.col("header_line"))
-    words = j.select(*PAGE, "line_no", "bounds", F.explode("words").alias("w"))
+    words = body_lines(pages).select(*PAGE, "line_no", "bounds", F.explode("words").alias("w"))
     center = (F.col("w.x0") + F.col("w.x1")) / 2
     placed = words.withColumn("center", center).withColumn("col", column_at(F.col("center"), F.col("bounds")))
     inside = F.col("center").between(F.col("col.x0") - DATE_COLUMN_PAD, F.col("col.x1") + DATE_COLUMN_PAD)
@@ -174,17 +209,18 @@ def is_prose(name_right: Column) -> Column:
     return crossing | running
 
 
-def rows_from_cells(lines: DataFrame, headers: DataFrame) -> DataFrame:
+def rows_from_cells(pages: DataFrame, columns: int | None = None) -> DataFrame:
     """Observations of each table row: name, result, flag, unit and range by column role.
 
     One unreadable result excludes only itself (``reason``); a page without a header yields nothing. A row is
-    folded inside the row, so no pivot or shuffle is needed.
+    folded inside the row, so no pivot or shuffle is needed. ``columns`` restricts to headers of that many columns.
     """
-    j = lines.join(with_bounds(headers), PAGE).filter(F.col("line_no") > F.col("header_line"))
-    j = j.filter(~is_header_line(F.col("words")))
+    j = body_lines(pages).filter(~is_header_line(F.col("words")))
+    if columns is not None:
+        j = j.filter(F.size("columns") == columns)
     placed = F.transform("words", lambda w: F.struct(
         column_at((w["x0"] + w["x1"]) / 2, F.col("bounds")).alias("col"), ((w["x0"] + w["x1"]) / 2).alias("c"), w["text"].alias("text")))
-    j = j.withColumn("placed", placed)
+    j = compute_once(j, placed=placed)
 
     def printed(*kinds: str) -> Column:
         return F.array_join(F.transform(F.filter("placed", lambda p: p["col"]["kind"].isin(*kinds)), lambda p: p["text"]), " ")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from drawbook.functions.plan import compute_once
 from drawbook.operators import layout as L
 from drawbook.plans.registry import cte, query
-from drawbook.sources.tables import table
+from drawbook.sources.tables import spread, table
 
 _HEADER = ["Test", "Name", "Current", "Flag", "Units", "Reference", "Range", "Lab"]
 WORDS_PER_PAGE, WORDS_PER_LINE = 304, 8
@@ -25,7 +26,7 @@ SELECT * FROM w WHERE text <> ''""")
 
 def pages(spark, folder):
     words = F.split("text", "[ \\n]")
-    base = table(spark, folder, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("sizes"))
+    base = spread(table(spark, folder, "documents")).select("doc_id", F.transform(words, lambda w: F.length(w)).alias("sizes"))
     count = F.ceil(F.size("sizes") / WORDS_PER_PAGE).cast("int")
     base = base.select("doc_id", "sizes", F.explode(F.sequence(F.lit(0), count - 1)).alias("page")).select(
         "doc_id", F.col("page").cast("bigint").alias("page"), F.slice("sizes", F.col("page") * WORDS_PER_PAGE + 1, F.lit(WORDS_PER_PAGE)).alias("sizes"))
@@ -45,7 +46,7 @@ def pages(spark, folder):
         return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + F.least(F.length(text), F.lit(8)) * 4.0).cast("double").alias("x1"),
                         (y0 + 9.0).cast("double").alias("y1"), text.alias("text"))
 
-    return base.select("doc_id", "page", F.filter(F.transform("sizes", word), lambda w: w["text"] != "").alias("words"))
+    return compute_once(base, words=F.filter(F.transform("sizes", word), lambda w: w["text"] != "")).select("doc_id", "page", "words")
 
 
 def lines(spark, folder):
@@ -78,8 +79,7 @@ SELECT doc_id, page, CAST(column_no AS BIGINT) AS column_no, kind, CASE kind WHE
        CASE kind WHEN 'name' THEN 74 + 16 WHEN 'current' THEN 160 + 28 WHEN 'flag' THEN 220 + 16 WHEN 'units' THEN CASE WHEN last_i = 5 THEN 340 + 32 ELSE 280 + 20 END WHEN 'range' THEN 374 + 20 ELSE 460 + 12 END::DOUBLE AS x1
 FROM h JOIN c ON c.at_word <= h.last_i WHERE last_i >= 2""", ("positioned",))
 def header_columns(spark, folder):
-    return L.header_columns(lines(spark, folder)).select("doc_id", "page", F.posexplode("columns").alias("column_no", "c")).select(
-        "doc_id", "page", F.col("column_no").cast("bigint").alias("column_no"), "c.*")
+    return L.header_columns(L.page_lines(pages(spark, folder))).withColumn("column_no", F.col("column_no").cast("bigint"))
 
 
 @query("assign_columns", "J14", """
@@ -88,8 +88,7 @@ c AS (SELECT *, CASE i WHEN 0 THEN 'name' WHEN 1 THEN 'name' WHEN 2 THEN 'curren
       FROM p WHERE line_no > 0 AND last_i = 7)
 SELECT doc_id, page, kind, i, count(*) AS words FROM c GROUP BY ALL""", ("positioned",))
 def assign_columns(spark, folder):
-    rows = lines(spark, folder)
-    words = L.assign_columns(rows, L.header_columns(rows))
+    words = L.assign_columns(L.page_lines(pages(spark, folder)))
     return words.withColumn("i", F.floor((F.col("x0") - 40) / 60)).groupBy("doc_id", "page", "kind", "i").agg(F.count(F.lit(1)).alias("words"))
 
 
@@ -106,9 +105,7 @@ SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, name, reason, CASE WHEN
 FROM x""", ("positioned",))
 def table_rows(spark, folder):
     # Pages whose last line breaks off inside the header have no full table; they are read by no twin row either.
-    rows = lines(spark, folder)
-    full = L.header_columns(rows).filter(F.size("columns") == 6)
-    return L.rows_from_cells(rows, full).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return L.rows_from_cells(L.page_lines(pages(spark, folder)), columns=6).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("rule_bands", "J15", """
@@ -159,8 +156,9 @@ SELECT c.doc_id, c.page, c.name, c.disp, c.flag,
                              AND NOT contains(' ' || l.line || ' ', ' ' || c.disp || ' L ') END) AS verified
 FROM c""", ("positioned",))
 def verify_on_page(spark, folder):
-    rows = lines(spark, folder)
-    texts = rows.groupBy("doc_id", "page").agg(F.collect_list(L.line_text()).alias("lines"))
+    placed = L.page_lines(pages(spark, folder))
+    rows = placed.select("doc_id", "page", F.inline("lines"))
+    texts = placed.select("doc_id", "page", F.transform("lines", lambda n: F.array_join(F.transform(n["words"], lambda w: w["text"]), " ")).alias("lines"))
     word = lambda x: F.get(F.filter("words", lambda w: F.floor((w["x0"] - 40) / 60) == x), F.lit(0))["text"]
     claims = rows.filter(F.col("line_no") > 0).select(
         "doc_id", "page", F.concat(word(0), F.lit(" total")).alias("name"), word(2).alias("token"),
