@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drawbook.constants import AGE_TOLERANCE_YEARS, BONE_MINERAL_MAX, SCAN_WINDOW_DAYS
 from drawbook.functions import cells, scoring
+from drawbook.session import cut_lineage
 
 MASSES = ["total", "fat", "lean"]
 
@@ -155,8 +156,10 @@ def settle_fields(fields: DataFrame) -> DataFrame:
 
     Order: mass balance picks the only fitting candidate; a strict plurality confirmed on two pages; body fat
     confirmed by the kept masses; a value single reads saw on two pages; else withheld. Windows run over the
-    distinct candidates of one scan field, at most one per page of its document.
+    distinct candidates of one scan field, at most one per page of its document. The agreed fields feed several
+    branches, so they are checkpointed once instead of being read and agreed again for each.
     """
+    fields = cut_lineage(fields)
     agreed = fields.filter(F.col("value").isNotNull()).groupBy(*SCAN, "field", "value").agg(
         F.count(F.lit(1)).alias("pages"), F.min(F.struct(F.length("text").alias("l"), "text"))["text"].alias("text"),
         F.bool_or("estimated").alias("estimated"))

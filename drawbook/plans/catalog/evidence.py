@@ -8,7 +8,7 @@ from drawbook.operators import attention as A
 from drawbook.functions.plan import compute_once
 from drawbook.operators import evidence as V
 from drawbook.plans.registry import cte, query
-from drawbook.sources.tables import spread, table
+from drawbook.sources.tables import table
 
 TESTS = [f"T{i}" for i in range(12)]
 UNITS = {t: "mg/dL" if i % 2 == 0 else "ug/L" for i, t in enumerate(TESTS)}
@@ -32,7 +32,7 @@ def report_docs(spark, folder):
                           (i % 10).cast("string"), F.lit(" mg/dL"), F.when(i % 4 == 0, " H").otherwise(""), F.lit(" reference range 10-30"))
         return F.when(k == 0, order).when(k == 1, dated).when(k == 2, facts).when(k == 3, heading).when(k == 8, line).otherwise(result)
 
-    docs = spread(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
     return compute_once(docs.select("doc_id", "text"), lines=F.transform(F.split("text", "\n"), shape)).select("doc_id", "lines")
 
 
