@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 KEYS = ["subject_id", "test", "day"]
 
@@ -190,7 +189,3 @@ def draw_bounds(obs: DataFrame) -> DataFrame:
         days.cast("bigint").alias("days_between"), (days == 0).alias("single_draw"),
         F.col("lo.test").alias("baseline_test"), F.col("lo.disp").alias("baseline_disp"),
         F.col("hi.test").alias("latest_test"), F.col("hi.disp").alias("latest_disp"))
-
-
-def position_in_test() -> Window:
-    return Window.partitionBy("subject_id", "test").orderBy("day", "ord", "row_no")

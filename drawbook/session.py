@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Recording a Python stack for every Column call costs seconds on plans with many expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
