@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +18,13 @@ DEFAULTS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Python workers get long texts in batches of bounded bytes, not only of bounded rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Recording a Python stack for every Column call costs seconds on plans with many expressions.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
+_LOCAL: dict[str, str] = {}
 
 
 def build_session(app: str = "drawbook", master: str | None = None, **extra: str) -> SparkSession:
@@ -29,15 +36,45 @@ def build_session(app: str = "drawbook", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder so a lost executor never replays the whole plan.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a local folder is used only where none is set
-    (single-machine tests).
+    Where that is unset, a ``local[...]`` session gets a temporary folder, since driver and tasks are one process
+    there; any other session is an error, because a machine-local folder loses rows on a cluster.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return f"file://{_LOCAL[app]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint, so that a lost executor never replays the whole plan."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/drawbook/{label}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, with its path; smaller than a checkpoint of rows."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table written by :func:`write_table` through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
