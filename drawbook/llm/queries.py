@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drawbook.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -93,3 +96,52 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mix(read(spark, folder, "documents")).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         F.col("mix_taken").alias("taken"))
+
+
+@query("op2_ngram_join", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS set FROM d),
+n AS (SELECT doc_id, len(set)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(set) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+z AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, z.b FROM r JOIN z ON r.reach = z.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m ON n.doc_id = m.doc_id""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.gramjoin import ngram_components
+
+    return ngram_components(read(spark, folder, "documents"))
+
+
+@query("op1_subspace", """
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                                        AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.subspace import cosine_components
+
+    return cosine_components(read(spark, folder, "embeddings"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.quality import fit, held_out, score
+
+    docs = read(spark, folder, "documents")
+    model = fit(docs, read(spark, folder, "labels"))
+    return score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.maintext import extract_text, fit_field
+
+    pages = read(spark, folder, "pages")
+    return extract_text(pages.select("page_id", "url", "html"), fit_field(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
