@@ -237,6 +237,8 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_warc(spark, path: str, payload: bool = True) -> DataFrame:
+    """The records of an archive. Spark hands predicates to Python sources only where a session allows it, so this turns it on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
