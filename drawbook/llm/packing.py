@@ -9,6 +9,9 @@ to fit, so that only its last windows are partial, and those are cut to powers o
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -20,14 +23,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
+# The byte-level tokenizer's word pattern for texts in which \w is a letter, a digit or an underscore.
+PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+RARE_SPACE = re.compile(r"[\x1c-\x1f\x85]").search
 
 
 class IdEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, remembering the ids of words."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, remembering the ids of words.
+
+    The tokenizer cuts a text into words and encodes each by itself. Texts of common letters are cut by the standard
+    library's patterns, others by the tokenizer's own pattern; a text with special tokens or rare white space goes to the
+    tokenizer whole. Where the order of the merges is the order of the ids, new words are encoded by the faster of the two
+    libraries, from the same vocabulary.
+    """
 
     def __init__(self, vocabulary: str, end_id: int, pattern: str, special: tuple[str, ...]):
         import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -35,23 +49,46 @@ class IdEncoder:
         self.split = regex.compile(pattern).findall
         self.special = special
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.word_ids = lambda word: self.tokenizer.encode(word, add_special_tokens=False).ids
+        model = json.loads(vocabulary)["model"]
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged == sorted(merged):
+            letters = byte_letters()
+            ranks = {bytes(letters[c] for c in piece): k for piece, k in model["vocab"].items() if piece not in special}
+            self.word_ids = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if any(mark in text for mark in self.special):  # a special token's string is one id wherever it stands
-            return self._ids(text) + self.end
-        words, known = self.split(text), self.known
+        if any(mark in text for mark in self.special) or RARE_SPACE(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() + self.end
+        words, known = (PLAIN_WORDS if PLAIN(text) else self.split)(text), self.known
         for word in set(words):
             if word not in known:
-                known[word] = self._ids(word)
+                known[word] = array("I", self.word_ids(word)).tobytes()
         out = b"".join([known[word] for word in words]) + self.end
         if len(known) > CACHED_WORDS:
             known.clear()
         return out
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable bytes stand for themselves, the others follow at 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+_ENCODERS: dict[tuple, IdEncoder] = {}
+
+
+def encoder_of(vocabulary: str, end_id: int, pattern: str, special: tuple[str, ...]) -> IdEncoder:
+    """One encoder per Python worker, so that the words of earlier tasks stay known."""
+    key = (hash(vocabulary), end_id)
+    if key not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _ENCODERS[key] = IdEncoder(vocabulary, end_id, pattern, special)
+    return _ENCODERS[key]
+
+
 class LevelPacker:
     """Places items one by one; ``counts[level]`` is the number of open windows filled to ``level``."""
 
@@ -153,7 +190,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(shared.value, end_id, pattern, special)
+        encoder = encoder_of(shared.value, end_id, pattern, special)
         arrow_key = None
 
         def documents() -> Iterator[tuple[object, bytes]]:
