@@ -145,3 +145,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = read(spark, folder, "pages")
     return extract_text(pages.select("page_id", "url", "html"), fit_field(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_repeats")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.repeats import remove_repeats
+
+    return remove_repeats(read(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("rep_n_bytes").alias("n_bytes"), F.col("rep_n_removed").alias("n_removed"), F.col("rep_n_spans").alias("n_spans"),
+        F.col("rep_kept_sha256").alias("kept_sha256"))
+
+
+@query("op3_chroma")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Recordings of all turns; those of conversations divisible by 100 are looked up among all."""
+    from drawbook.llm.chroma import align, fingerprints, record_texts
+
+    prints = fingerprints(record_texts(read(spark, folder, "conversations").select("conv_id", "turn", "text")))
+    return align(prints, F.col("conv_id") % 100 == 0).select(
+        "conv_id", "turn", "n_prints", "n_queries", "shift", "overlap", "error_rate", F.crc32("prints").alias("prints_crc32"))
