@@ -31,8 +31,9 @@ from drawbook.session import write_table
 
 SLICES = 256
 ORDER_BITS = 20
-BLOCK_ENTRIES = 2_000_000
-FLUSH_ENTRIES = 2_000_000
+SIEVE_BITS = 22
+BLOCK_ENTRIES = 1_000_000
+FLUSH_ENTRIES = 1_000_000
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -50,25 +51,25 @@ def sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.nd
 
 
 def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(``key``, ``n``, ``sig``) of every document, and the task's counts of shingles in ``SLICES`` rows (``slice``, ``counts``)."""
+    """(``key``, ``th``, ``n``, ``sig``) of every document, and the task's counts of shingles in ``SLICES`` rows (``slice``, ``counts``)."""
     key = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.uint32)
-        names, kind = ["key", "n", "sig", "slice", "counts"], pa.int64()
+        names, kind = ["key", "th", "n", "sig", "slice", "counts"], pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
             for first, end, hashes, bounds, sigs in sets_of(batch, width):
                 counts += np.bincount((hashes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS).astype(np.uint32)
                 rows = end - first
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(np.diff(bounds)), pa.array(sigs),
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), batch.column(2).slice(first, rows), pa.array(np.diff(bounds)), pa.array(sigs),
                                                   pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if counts.any():
             parts = [x.tobytes() for x in np.split(counts, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), *(pa.nulls(SLICES, pa.int64()) for _ in range(3)),
                                               pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"key {key}, n long, sig long, slice int, counts binary")
+    return docs.mapInArrow(run, f"key {key}, th long, n long, sig long, slice int, counts binary")
 
 
 def shingle_order(rows: DataFrame) -> np.ndarray:
@@ -179,20 +180,34 @@ def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
     return out.groupby(["g", "sig", "n"], as_index=False, sort=False).agg(place=("place", "min"), w=("place", "size"))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(``sig``, ``members`` as sorted hashes) of the documents in ``wanted`` (``key``, ``want``)."""
-    key = docs.columns[0]
-    chosen = docs.join(wanted, docs[key].eqNullSafe(wanted["key"])).select(docs[key], docs[docs.columns[1]], "want")
+def whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(``sig``, ``members`` as sorted hashes) of the documents in ``wanted`` (``key``), and of few others.
+
+    The wanted ids are marked in a table of ``2 ** SIEVE_BITS`` bits, whatever their number, which is sent to all tasks; so
+    only texts of marked ids are read further, and no text is shuffled. Ids that share a mark give sets that no pair asks for.
+    """
+    mark = lambda key: F.pmod(F.xxhash64(F.col(key)), F.lit(1 << SIEVE_BITS))
+    word = F.shiftright(F.col("mark"), 6)
+    sieve = wanted.select(mark("key").alias("mark")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark % 64 as int))")).alias("bits"))
+    key, text = texts.columns[:2]
+    chosen = (
+        texts.withColumn("mark", mark(key)).withColumn("at", word).join(F.broadcast(sieve), F.col("at") == F.col("word"))
+        .where(F.getbit("bits", F.col("mark") % 64) == 1).select(key, text)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            want = batch.column(2).to_numpy(zero_copy_only=False)
             for first, end, hashes, bounds, sigs in sets_of(batch, width):
-                own = np.flatnonzero(sigs == want[first:end])
+                own = []
+                for d in range(end - first):
+                    if int(sigs[d]) not in seen:
+                        seen.add(int(sigs[d]))
+                        own.append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[own]), pa.array([hashes[bounds[d]: bounds[d + 1]].tobytes() for d in own], pa.binary())],
                                                  names=["sig", "members"])
 
-    return chosen.mapInArrow(run, "sig long, members binary").dropDuplicates(["sig"])
+    return chosen.mapInArrow(run, "sig long, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,19 +241,21 @@ def possible(n1: str, n2: str, place1: str, place2: str, percent: int) -> Column
     return (F.least(n1, n2) >= need) & (F.col(n1) - F.col(place1) >= need) & (F.col(n2) - F.col(place2) >= need)
 
 
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``n_shingles``, ``component_id``): one row per row of ``docs``.
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``key``, ``th``, ``n``, ``root``, ``least``) of every row: id, hash of the text, size of the set, component, its smallest id.
 
     Two documents are linked when 100 times their shared shingles reach ``percent`` times the shingles of both together.
-    ``component_id`` is the smallest id reachable by links. Null and empty texts have no shingles and no links, and are
-    their own component. Repeated rows are linked copies. A row without an id gets the smallest id of its component, null
-    if there is none. Extra columns are not read. An empty table gives an empty one.
+    ``root`` is a number shared by a component's rows; ``least`` is null for rows without shingles.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string"), text_hash(text_col).alias("th"))
     rows, _ = write_table(shingle_rows(texts, width), "shingle-rows")
     order = spark.sparkContext.broadcast(shingle_order(rows))
-    documents = rows.where("slice is null").select("key", "n", "sig")
+    documents = rows.where("slice is null").select("key", "th", "n", "sig")
     total = documents.agg(F.sum("n")).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-total * (100 - percent) // 100 // BLOCK_ENTRIES))
     entries = prefix_blocks(texts, order, width, percent, blocks)
@@ -247,8 +264,11 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     met = met.groupBy("g", "sig", "n").agg(F.min("place").alias("place"), F.sum("w").alias("w"))
 
     reps = documents.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"))
-    wanted = reps.join(met.select("sig").distinct(), "sig").select("key", F.col("sig").alias("want"))
-    sets, _ = write_table(whole_sets(texts, wanted, width), "whole-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs``, written."""
+        wanted = reps.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig")
+        return write_table(verify(pairs, whole_sets(texts, wanted, width), percent), "links")[0]
 
     leaders = met.groupBy("g").agg(F.min(F.struct("n", "sig", "place")).alias("m")).select(
         "g", F.col("m.sig").alias("l_sig"), F.col("m.n").alias("l_n"), F.col("m.place").alias("l_place"))
@@ -257,7 +277,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         .select(F.least("sig", "l_sig").alias("a"), F.greatest("sig", "l_sig").alias("b")).distinct()
     )
     first, _ = write_table(first, "first-pairs")
-    links, _ = write_table(verify(first, sets, percent), "first-links")
+    links = verified(first)
     joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
 
     placed = met.join(joined, "sig", "left").withColumn("joined", F.coalesce("joined", "sig"))
@@ -273,10 +293,43 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         .where("possible").where(F.col("overlap") + F.greatest(left_over("n"), left_over("o_n")) >= needed("n", "o_n", percent))
         .select("a", "b").join(first, ["a", "b"], "left_anti")
     )
-    more, _ = write_table(verify(rest, sets, percent), "more-links")
-    roots = components(links.union(more)).withColumnsRenamed({"node": "sig"})
+    rest, _ = write_table(rest, "other-pairs")
+    roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
 
     labelled = documents.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
-    return labelled.join(least, "root", "left").select(
+    return labelled.join(least, "root", "left").select("key", "th", "n", "root", F.when(F.col("n") > 0, F.col("least")).alias("least"))
+
+
+def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, ``n_shingles``, ``component_id``): one row per row of ``docs``.
+
+    Two documents are linked when 100 times their shared shingles reach ``percent`` times the shingles of both together.
+    ``component_id`` is the smallest id reachable by links. Null and empty texts have no shingles and no links, and are
+    their own component. Repeated rows are linked copies. A row without an id gets the smallest id of its component, null
+    if there is none. Extra columns are not read. An empty table gives an empty one.
+    """
+    return labelled_rows(docs, width, percent, id_col, text_col).select(
         F.col("key").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (no id: with the smallest hash of its text).
+
+    Rows without shingles all stay. Of rows that repeat the id and the text of a component's first row, one stays.
+    """
+    rows, _ = write_table(labelled_rows(docs, width, percent, id_col, text_col), "labelled-rows")
+    first = rows.where("n > 0").where(F.col("key").eqNullSafe(F.col("least"))).groupBy("root").agg(F.min(F.struct("key", "th")).alias("m"), F.count("*").alias("copies"))
+    first = first.select("root", F.col("m.key").alias("f_key"), F.col("m.th").alias("f_th"), "copies")
+    chosen = F.col("key").eqNullSafe(F.col("f_key")) & (F.col("th") == F.col("f_th"))
+    judged = rows.where("n > 0").join(first, "root")
+    gone = judged.where(~chosen).select("key", "th").distinct()
+    twice = judged.where(chosen & (F.col("copies") > 1)).select("key", "th").distinct()
+    marked = docs.withColumn("__th", text_hash(text_col))
+    same = lambda other: marked[id_col].eqNullSafe(other["key"]) & (marked["__th"] == other["th"])
+    kept = marked.join(gone, same(gone), "left_anti")
+    some, _ = write_table(twice, "twice")
+    if some.isEmpty():
+        return kept.drop("__th")
+    once = kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept["__th"] == some["th"]), "left_semi").dropDuplicates([id_col, "__th"])
+    return kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept["__th"] == some["th"]), "left_anti").union(once).drop("__th")
