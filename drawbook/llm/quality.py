@@ -1,7 +1,7 @@
 """Quality classifier on subword embeddings.
 
-A document's features are its words, pairs of neighbouring words and character n-grams of words, each hashed to one of a
-fixed number of vectors. The vectors are averaged and a softmax layer gives the label; both are trained by stochastic
+A document's features are its words, pairs of neighbouring words, character n-grams of words, and for each pair whether its
+words are equal and whether the document held it before; each is hashed to one of a fixed number of vectors. The vectors are averaged and a softmax layer gives the label; both are trained by stochastic
 gradient descent in numpy. Training uses a bounded sample of labelled rows and runs in one task; scoring covers every row
 of every partition. As the output is linear in the average, scoring needs one number per feature: its vector's share of
 the difference between the two outputs.
@@ -31,9 +31,16 @@ def bucket(hashes: np.ndarray, kind: int) -> np.ndarray:
 
 
 def pair_features(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of neighbouring words of one document, and the document."""
+    """Features of neighbouring words of one document, and the document: the pair itself, equality, and recurrence."""
     same = owner[1:] == owner[:-1]
-    return bucket(words[:-1][same] * PLACES[2] + words[1:][same] * PLACES[3], 1), owner[1:][same]
+    left, right, holder = words[:-1][same], words[1:][same], owner[1:][same]
+    if not len(left):
+        return np.zeros(0, np.int64), holder
+    pair = left * PLACES[2] + right * PLACES[3]
+    fresh = np.zeros(len(pair), bool)
+    fresh[np.unique(mix(pair + holder.astype(np.uint64) * PLACES[5]), return_index=True)[1]] = True
+    kinds = [bucket(pair, 1), bucket((left == right).astype(np.uint64), 6), bucket(fresh.astype(np.uint64), 7)]
+    return np.concatenate(kinds), np.concatenate([holder] * 3)
 
 
 def ngram_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +90,11 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 11) -> SubwordModel:
-    """Fits the model; the bias is then moved from the sample's share of label 1 to ``prior``."""
+    """Fits vectors and output. The bias is the log odds of ``prior`` and stays: a text of unknown words gets about that."""
     random = np.random.default_rng(seed)
-    model = SubwordModel(random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32))
+    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    bias = np.array([0.0, math.log(prior / (1 - prior))], np.float32)
+    model = SubwordModel(random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32), np.zeros((dim, 2), np.float32), bias)
     rows = [document_features(t) for t in texts]
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
@@ -100,11 +109,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 16, epo
             gradient[labels[k]] -= 1
             back = model.output @ gradient
             model.output -= lr * np.outer(hidden, gradient)
-            model.bias -= lr * gradient
             model.vectors[features] -= lr * back
-    share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
-    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    model.bias[1] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
     return model
 
 
