@@ -334,14 +334,18 @@ def fit_field(pages: DataFrame, sample: int = 150, variants: int = 6, html_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
-        model = train_field(labelled_pages(texts or [""], variants if texts else 100))
+        if not texts:
+            return
+        model = train_field(labelled_pages(texts, variants))
         names = [*model.weights, *(f"move:{a}{b}" for a in (0, 1) for b in (0, 1)), "start:0", "start:1"]
         values = [*model.weights.values(), *model.moves.ravel().tolist(), *model.start.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(values, pa.float64())], names=["name", "value"])
 
     got = {r["name"]: r["value"] for r in chosen.mapInArrow(run, "name string, value double").collect()}
+    if not got:
+        return train_field(labelled_pages([""], 100))
     moves = np.array([[got.pop(f"move:{a}{b}") for b in (0, 1)] for a in (0, 1)])
-    return FieldModel(got, moves, np.array([moves_start for moves_start in (got.pop("start:0"), got.pop("start:1"))]))
+    return FieldModel(got, moves, np.array([got.pop("start:0"), got.pop("start:1")]))
 
 
 def extract_text(pages: DataFrame, model: FieldModel, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -89,13 +89,18 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return features, (counts / len(every)).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 11) -> SubwordModel:
-    """Fits vectors and output. The bias is the log odds of ``prior`` and stays: a text of unknown words gets about that."""
+def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 16, epochs: int = 5, least_steps: int = 20_000, rate: float = 0.5,
+          seed: int = 11) -> SubwordModel:
+    """Fits vectors and output in ``epochs`` passes, or in more where the rows are few, so as to make ``least_steps`` steps.
+
+    The bias is the log odds of ``prior`` and stays: a text of unknown words gets about that.
+    """
     random = np.random.default_rng(seed)
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
     bias = np.array([0.0, math.log(prior / (1 - prior))], np.float32)
     model = SubwordModel(random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32), np.zeros((dim, 2), np.float32), bias)
     rows = [document_features(t) for t in texts]
+    epochs = max(epochs, -(-least_steps // max(1, len(rows))))
     steps, step = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in random.permutation(len(rows)):

@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     shards = max(spark.sparkContext.defaultParallelism, -(-(named // 4) * (width + (width - GRAM) // 2) // SHARD_BYTES))
     segments = segment_rows(long.join(runs, "th").select("th", "text", "owns", "copied"), width, shards)
     found = segments.groupBy("shard").applyInPandas(lambda frame: sort_shard(frame, width), "th long, lo long, hi long")
-    ranges = found.groupBy("th", "lo").agg(F.max("hi").alias("hi")).groupBy("th").agg(F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
+    ranges = found.groupBy("th", "lo").agg(F.max("hi").alias("hi")).groupBy(F.col("th").alias("__th")).agg(
+        F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
 
     new = ["rep_n_bytes", "rep_n_removed", "rep_n_spans", "rep_kept_sha256", "rep_text"]
     names = [c for c in docs.columns if c.lower() not in new]
@@ -307,6 +308,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *new])
 
     return (
-        docs.select(*names, F.xxhash64(text).alias("th"), text.alias("__body")).join(ranges, "th", "left")
+        docs.select(*names, F.xxhash64(text).alias("__th"), text.alias("__body")).join(ranges, "__th", "left")
         .select(*names, "__body", "__lo", "__hi").mapInArrow(cut, schema)
     )
