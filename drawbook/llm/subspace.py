@@ -27,7 +27,7 @@ from drawbook.llm.components import components
 from drawbook.session import write_table
 
 CHUNK = 16_384
-STRIP = 256
+TILE = 256, 1024
 SURVIVORS = 1 << 15
 SLACK = 1e-6
 
@@ -84,27 +84,32 @@ def count_links(left: np.ndarray, right: np.ndarray, masks: tuple[np.ndarray, np
     budget = [(2 - 2 * least) * (b - a) / len(turn) * (1 + SLACK) for a, b in bounds]
     x, y = rotated(left, turn), rotated(right, turn)
     a, b = bounds[own]
-    xb, yb = x[:, a:b].astype(np.float32), y[:, a:b].astype(np.float32)
-    yn = (yb * yb).sum(axis=1)
-    for s in range(0, len(x), STRIP):
-        strip = xb[s: s + STRIP]
-        near = (strip * strip).sum(axis=1)[:, None] + yn - 2 * (strip @ yb.T) <= budget[own] + 1e-4
-        i, j = np.nonzero(near)
-        i += s
-        ok = (masks[0][i] & masks[1][j]) == 0
-        if same:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        for k in range(0, len(i), SURVIVORS):
-            p, q = i[k: k + SURVIVORS], j[k: k + SURVIVORS]
-            linked = (left[p] * right[q]).sum(axis=1) >= least
-            p, q = p[linked], q[linked]
-            gap = (x[p] - y[q]) ** 2
-            first = gap[:, a:b].sum(axis=1) <= budget[own]
-            for other in range(own):
-                c, d = bounds[other]
-                first &= gap[:, c:d].sum(axis=1) > budget[other]
-            yield p[first], q[first]
+    # Rows (-2 x, |x|^2, 1) and columns (y, 1, |y|^2): their product is the squared distance. Tiles fit the cache.
+    square = lambda m: (m[:, a:b] ** 2).sum(axis=1, keepdims=True)
+    rows = np.hstack([-2 * x[:, a:b], square(x), np.ones((len(x), 1))]).astype(np.float32)
+    columns = np.ascontiguousarray(np.hstack([y[:, a:b], np.ones((len(y), 1)), square(y)]).astype(np.float32).T)
+    reach = np.float32(budget[own] + 1e-4)
+    for s in range(0, len(x), TILE[0]):
+        for t in range(s if same else 0, len(y), TILE[1]):
+            gaps = rows[s: s + TILE[0]] @ columns[:, t: t + TILE[1]]
+            if gaps.min() > reach:
+                continue
+            i, j = np.nonzero(gaps <= reach)
+            i, j = i + s, j + t
+            ok = (masks[0][i] & masks[1][j]) == 0
+            if same:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), SURVIVORS):
+                p, q = i[k: k + SURVIVORS], j[k: k + SURVIVORS]
+                linked = (left[p] * right[q]).sum(axis=1) >= least
+                p, q = p[linked], q[linked]
+                gap = (x[p] - y[q]) ** 2
+                first = gap[:, a:b].sum(axis=1) <= budget[own]
+                for other in range(own):
+                    c, d = bounds[other]
+                    first &= gap[:, c:d].sum(axis=1) > budget[other]
+                yield p[first], q[first]
 
 
 def cosine_components(vectors: DataFrame, least: float = 0.95, blocks: int = 4, grid_dims: int | None = None,
