@@ -41,9 +41,11 @@ def fact_rows(scored: DataFrame, reported: DataFrame, scans: DataFrame, systems:
 
 
 def compare_exact(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows missing from, or extra in, ``actual``."""
-    missing = expected.exceptAll(actual).withColumn("side", F.lit("missing"))
-    return missing.unionByName(actual.exceptAll(expected).withColumn("side", F.lit("extra")))
+    """Rows missing from, or extra in, ``actual``, as often as they are: one signed count per row."""
+    both = expected.withColumn("_n", F.lit(1)).unionByName(actual.withColumn("_n", F.lit(-1)))
+    off = both.groupBy(*expected.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "missing").otherwise("extra")
+    return off.withColumn("side", side).withColumn("_k", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int")))).drop("_n", "_k")
 
 
 def compare_subset(expected: DataFrame, actual: DataFrame) -> DataFrame:

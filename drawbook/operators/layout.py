@@ -209,15 +209,13 @@ def is_prose(name_right: Column) -> Column:
     return crossing | running
 
 
-def rows_from_cells(pages: DataFrame, columns: int | None = None) -> DataFrame:
+def rows_from_cells(pages: DataFrame) -> DataFrame:
     """Observations of each table row: name, result, flag, unit and range by column role.
 
     One unreadable result excludes only itself (``reason``); a page without a header yields nothing. A row is
-    folded inside the row, so no pivot or shuffle is needed. ``columns`` restricts to headers of that many columns.
+    folded inside the row, so no pivot or shuffle is needed.
     """
     j = body_lines(pages).filter(~is_header_line(F.col("words")))
-    if columns is not None:
-        j = j.filter(F.size("columns") == columns)
     placed = F.transform("words", lambda w: F.struct(
         column_at((w["x0"] + w["x1"]) / 2, F.col("bounds")).alias("col"), ((w["x0"] + w["x1"]) / 2).alias("c"), w["text"].alias("text")))
     j = compute_once(j, placed=placed)

@@ -23,14 +23,14 @@ def resolve_thresholds(rows: DataFrame, subjects: DataFrame, rules: DataFrame, r
                        overlays: DataFrame) -> DataFrame:
     """Library thresholds by sex (unknown: the rule's default sex) with the treatment overlay.
 
-    The three rule tables hold a few rows per known test and are broadcast; subjects join on their key.
+    A test without a rule stays, without limits. The three rule tables hold a few rows per known test.
     """
     people = subjects.select("subject_id", canonical_sex(F.col("sex")).alias("sex"), "on_trt", "bhrt")
-    base = rows.join(people, "subject_id", "left").join(F.broadcast(rules), "test")
+    base = rows.join(people, "subject_id", "left").join(rules, "test", "left")
     base = base.withColumn("range_sex", F.coalesce("sex", "default_sex"))
-    limits = F.broadcast(ranges.select(F.col("test"), F.col("sex").alias("range_sex"), F.col("lo").alias("s_lo"),
-                                       F.col("hi").alias("s_hi")))
-    joined = base.join(limits, ["test", "range_sex"], "left").join(F.broadcast(overlays), "test", "left")
+    limits = ranges.select(F.col("test"), F.col("sex").alias("range_sex"), F.col("lo").alias("s_lo"),
+                                       F.col("hi").alias("s_hi"))
+    joined = base.join(limits, ["test", "range_sex"], "left").join(overlays, "test", "left")
     overlaid = F.coalesce(F.col("sex") == "female", F.lit(False)) & F.coalesce(
         F.col("bhrt"), F.lit(False)) & F.col("o_lo").isNotNull()
     return joined.select(
@@ -45,7 +45,7 @@ def missing_threshold() -> Column:
     return (F.when(F.col("kind") == "bounded",
                    F.col("optimal").isNull() | F.col("moderate").isNull() | F.col("direction").isNull())
             .when(F.col("kind") == "range", F.col("lo").isNull() | F.col("hi").isNull())
-            .otherwise(F.lit(False)))
+            .otherwise(F.col("kind").isNull()))  # a test without a rule
 
 
 def apply_fallbacks(markers: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

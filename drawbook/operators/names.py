@@ -50,7 +50,7 @@ def resolve_panel(rows: DataFrame, dim_panel: DataFrame) -> DataFrame:
     """A row printed under a panel's own lab code is a separate test of its own."""
     dim = dim_panel.select(F.col("panel_name"), F.upper("panel_code").alias("panel_code"), "shown_name", "shown_group")
     keyed = rows.withColumn("panel_key", F.lower(text.squash(F.col("raw_name"))))
-    return (keyed.join(F.broadcast(dim), (F.col("panel_key") == F.col("panel_name"))
+    return (keyed.join(dim, (F.col("panel_key") == F.col("panel_name"))
                        & (F.upper(F.trim("lab_code")) == F.col("panel_code")), "left")
             .select(*rows.columns, "shown_name", "shown_group"))
 
@@ -70,7 +70,7 @@ def check_unsectioned(rows: DataFrame, scoped_names: DataFrame) -> DataFrame:
     # Keyed by document, name, value and flag, so one long document spreads over its rows.
     same = ((F.col("doc_id") == F.col("r_doc")) & (F.col("key") == F.col("r_key"))
             & F.col("value").eqNullSafe(F.col("r_value")) & F.col("flag").eqNullSafe(F.col("r_flag")))
-    marked = rows.join(repeated, same, "left").join(F.broadcast(scope), "key", "left")
+    marked = rows.join(repeated, same, "left").join(scope, "key", "left")
     out_of_scope = F.col("allowed").isNotNull() & ~F.exists(
         "allowed", lambda word: F.contains(F.upper(F.col("section")), word))
     verdict = (F.when(F.col("section").isNull() & F.col("repeats"), "repeat_ignored")
@@ -97,7 +97,7 @@ def apply_allowlist(items: DataFrame, known: DataFrame) -> DataFrame:
     """
     key = F.lower(text.squash(F.col("raw_name")))
     dim = known.select(F.col("name").alias("known_name"), "handling", F.col("results").alias("allowed"))
-    joined = items.join(F.broadcast(dim), (key == F.col("known_name")) & (F.col("handled_as") == F.col("handling")), "left")
+    joined = items.join(dim, (key == F.col("known_name")) & (F.col("handled_as") == F.col("handling")), "left")
     results = F.transform("results", lambda r: F.regexp_replace(F.lower(text.squash(r)), r"\s*:\z", ""))
     allowed = F.col("allowed").isNull() | ((F.size(results) > 0) & (F.size(F.array_except(results, "allowed")) == 0))
     known_here = F.col("handling").isNotNull() & allowed

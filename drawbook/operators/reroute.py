@@ -32,13 +32,13 @@ def apply_fasting(obs: DataFrame, status: DataFrame, fasting_only: DataFrame) ->
     """
     known = status.select("subject_id").distinct().withColumn("prints_status", F.lit(True))
     draws = status.select("subject_id", "day", F.col("status").alias("status_"))
-    joined = (obs.join(F.broadcast(fasting_only), "test", "left")
+    joined = (obs.join(fasting_only, "test", "left")
               .join(draws, ["subject_id", "day"], "left").join(known, "subject_id", "left"))
     moved = (F.col("shown_name").isNotNull() & F.coalesce("prints_status", F.lit(False))
              & ~F.col("status_").eqNullSafe("Y") & has_result())
     note = (F.when(F.col("status_") == "N",
-                   "This sample was drawn without fasting, so it is shown as reported and not scored.")
-            .otherwise("Fasting was not confirmed for this sample, so it is shown as reported and not scored."))
+                   "This sample was taken without fasting; the result is listed and gets no score.")
+            .otherwise("No record says that this sample was fasting; the result is listed and gets no score."))
     return joined.select(
         *obs.columns, moved.alias("moved"), F.when(moved, F.col("shown_name")).alias("shown_name"),
         F.when(moved, F.col("shown_group")).alias("shown_group"), F.when(moved, note).alias("note"))
@@ -53,7 +53,7 @@ def basis_ratio_differs(printed_range: Column, basis: Column, ratio: float = RAN
 
 def assay_differs(rows: DataFrame, listed: DataFrame, ratio: float = RANGE_BASIS_RATIO) -> DataFrame:
     """Reason a printed result must not be scored: a listed assay, a far-off range, or another unit."""
-    joined = rows.join(F.broadcast(listed.select("test").withColumn("listed", F.lit(True))), "test", "left")
+    joined = rows.join(listed.select("test").withColumn("listed", F.lit(True)), "test", "left")
     basis = F.coalesce("hi", "optimal")
     unit_differs = ((F.coalesce("unit", F.lit("")) != "") & (F.coalesce("library_unit", F.lit("")) != "")
                     & (text.unit_key(F.col("unit")) != text.unit_key(F.col("library_unit"))))
@@ -74,7 +74,7 @@ def apply_assay_changes(obs: DataFrame, rules: DataFrame, basis: DataFrame,
     facts = rows.groupBy("subject_id", "test").agg(F.min("own").alias("own_lo"), F.max("own").alias("own_hi"))
     dims = rules.select("test", F.coalesce("hi", "optimal").alias("library_basis")).join(
         basis.select("test", cells.range_numbers(F.col("basis")).alias("basis_key")), "test", "left")
-    joined = rows.join(facts, ["subject_id", "test"]).join(F.broadcast(dims), "test", "left")
+    joined = rows.join(facts, ["subject_id", "test"]).join(dims, "test", "left")
     across = F.coalesce(F.col("own_lo") != F.col("own_hi"), F.lit(False))
     off_basis = F.coalesce(
         (F.col("own_lo") != F.col("basis_key")) | (F.col("own_hi") != F.col("basis_key")), F.lit(False))
@@ -126,7 +126,7 @@ def match_reported(rows: DataFrame, dim: DataFrame) -> DataFrame:
     lib = dim.groupBy(F.col("alias").alias("k"), (F.col("grp") == "Urinalysis").alias("urine")).agg(
         F.min("canonical").alias("lo"), F.max("canonical").alias("hi"), F.min("grp").alias("grp"))
     lib = lib.filter(F.col("lo") == F.col("hi")).select("k", "urine", F.col("lo").alias("lib_name"), F.col("grp").alias("lib_group"))
-    joined = keyed.join(F.broadcast(lib), ["k", "urine"], "left")
+    joined = keyed.join(lib, ["k", "urine"], "left")
     flagged = F.col("flag").isNotNull()
     readable = (F.coalesce("unit", F.lit("")) != "") | (F.coalesce("range_display", F.lit("")) != "")
     matched = F.col("lib_name").isNotNull()
@@ -189,7 +189,7 @@ def drop_duplicates_shown(reported: DataFrame, scored: DataFrame, own_entry: Dat
     """
     exempt = own_entry.select("item").distinct().withColumn("exempt", F.lit(True))
     seen = scored.select("subject_id", "test", "day").distinct().withColumn("seen", F.lit(True))
-    j = reported.join(F.broadcast(exempt), "item", "left").join(seen, ["subject_id", "test", "day"], "left")
+    j = reported.join(exempt, "item", "left").join(seen, ["subject_id", "test", "day"], "left")
     duplicate = F.coalesce("seen", F.lit(False)) & ~F.coalesce("exempt", F.lit(False))
     return j.select(*reported.columns, duplicate.alias("duplicate"))
 
@@ -229,6 +229,7 @@ def review_items(rows: DataFrame) -> DataFrame:
 
 def coverage_gaps(rows: DataFrame, scored: DataFrame, shown: DataFrame, staff: DataFrame) -> DataFrame:
     """Printed rows that reached neither the scores, the shown list nor the staff list."""
+    folded = F.lower(text.squash(F.col("name")))  # names differ in case and spaces only
     names = (scored.select("subject_id", "name").unionByName(shown.select("subject_id", "name"))
-             .unionByName(staff.select("subject_id", "name")).distinct())
-    return rows.join(names, ["subject_id", "name"], "left_anti")
+             .unionByName(staff.select("subject_id", "name")).select("subject_id", folded.alias("_name")).distinct())
+    return rows.withColumn("_name", folded).join(names, ["subject_id", "_name"], "left_anti").drop("_name")

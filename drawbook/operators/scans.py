@@ -85,7 +85,7 @@ def pair_scans(scans: DataFrame, draws: DataFrame, window: int = SCAN_WINDOW_DAY
     The current offset is one aggregate per subject, joined back; a subject without a candidate is unchanged.
     """
     offset = F.datediff("day", "latest_draw")
-    dated = scans.join(draws.select("subject_id", "latest_draw"), "subject_id").withColumn("days", offset)
+    dated = scans.join(draws.select("subject_id", "latest_draw"), "subject_id", "left").withColumn("days", offset)
     candidate = has_composition() & (F.abs("days") <= window)
     current = dated.groupBy("subject_id").agg(F.max(F.when(candidate, F.col("days"))).alias("current_days"))
     j = dated.join(current, "subject_id")

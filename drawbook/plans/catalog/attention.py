@@ -88,18 +88,18 @@ WITH t AS (
 x AS (SELECT *, CASE WHEN u <> '' AND coalesce(then_disp, '') <> '' THEN then_disp || ' ' || u ELSE coalesce(then_disp, '') END AS tt,
              CASE WHEN u <> '' AND coalesce(now_disp, '') <> '' THEN now_disp || ' ' || u ELSE coalesce(now_disp, '') END AS nt FROM t)
 SELECT subject_id, test, {SIDE} AS side,
-  CASE WHEN unscored_reason = 'missing_threshold' THEN 'Not scored, no range printed' WHEN NOT again AND latest_reported IS NOT NULL THEN 'See lab-reported'
-       WHEN NOT again THEN 'Not retested' WHEN {CENSORED} THEN 'Reported as a limit, not scored'
-       WHEN now_tier IS NULL OR now_tier = 'unscored' THEN 'Shown as reported, not scored'
+  CASE WHEN unscored_reason = 'missing_threshold' THEN 'no range, no score' WHEN NOT again AND latest_reported IS NOT NULL THEN 'in the reported list'
+       WHEN NOT again THEN 'no later result' WHEN {CENSORED} THEN 'a limit, no score'
+       WHEN now_tier IS NULL OR now_tier = 'unscored' THEN 'listed, no score'
        WHEN now_tier = 'optimal' THEN 'Optimal' WHEN now_tier = 'moderate' THEN 'Moderate' ELSE 'Flagged' END AS chip,
   coalesce(now_flag IN ('H', 'L') AND now_tier = 'optimal', FALSE) AND NOT {CENSORED} AS flag_differs,
-  CASE WHEN again THEN CASE WHEN dated THEN test || ' moved from ' || tt || ' on ' || {_US.format('then_day')} || ' to ' || nt ELSE test || ' measured ' || nt END
-            || ' on ' || {_US.format('now_day')} || '.' || CASE now_tier WHEN 'optimal' THEN ' That result is optimal.' WHEN 'moderate' THEN ' That result is moderate.'
-                 WHEN 'flag' THEN ' That result is flagged.' ELSE '' END
+  CASE WHEN again THEN CASE WHEN dated THEN test || ' went from ' || tt || ' on ' || {_US.format('then_day')} || ' to ' || nt ELSE test || ' came to ' || nt END
+            || ' on ' || {_US.format('now_day')} || '.' || CASE now_tier WHEN 'optimal' THEN ' Rated optimal.' WHEN 'moderate' THEN ' Rated moderate.'
+                 WHEN 'flag' THEN ' Rated flagged.' ELSE '' END
        WHEN latest_reported IS NOT NULL THEN CASE WHEN dated THEN test || ' was ' || tt || ' on ' || {_US.format('then_day')} || '; its ' ELSE test || '''s ' END
-            || {_US.format('latest_reported')} || ' result is shown as lab-reported, not scored.'
-       WHEN dated THEN test || ' was ' || tt || ' on ' || {_US.format('then_day')} || ' and was not retested this round.'
-       ELSE test || ' was not retested this round.' END AS sentence
+            || {_US.format('latest_reported')} || ' result is in the reported list.'
+       WHEN dated THEN test || ' was ' || tt || ' on ' || {_US.format('then_day')} || ', without a later result.'
+       ELSE test || ' has no later result.' END AS sentence
 FROM x""", ("kept_markers",))
 def narrative_columns(spark, folder):
     return A.with_narrative(kept_markers(spark, folder)).select("subject_id", "test", "side", "chip", "flag_differs", "sentence")
@@ -120,11 +120,11 @@ def not_retested(spark, folder):
 @query("next_steps", "C24", f"""
 WITH f AS (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n FROM ranked),
 e AS (SELECT DISTINCT subject_id FROM scored)
-SELECT e.subject_id, coalesce(f.test, 'Stay the course') AS next_30,
-       CASE WHEN f.test IS NULL THEN 'No flagged or moderate markers' WHEN f.precedence = 0 THEN 'Not retested since ' || {_US.format('f.then_day')}
+SELECT e.subject_id, coalesce(f.test, 'none open') AS next_30,
+       CASE WHEN f.test IS NULL THEN 'no open test' WHEN f.precedence = 0 THEN 'last result ' || {_US.format('f.then_day')}
             ELSE f.now_disp || ' on ' || {_US.format('f.now_day')} END AS next_30_sub,
-       CASE WHEN f.n > 0 THEN 'Retest and reassess' ELSE 'Maintain' END AS next_90,
-       CASE WHEN f.n = 1 THEN '1 marker to recheck' WHEN f.n > 1 THEN f.n || ' markers to recheck' ELSE 'All scored markers optimal' END AS next_90_sub
+       CASE WHEN f.n > 0 THEN 'repeat' ELSE 'keep' END AS next_90,
+       CASE WHEN f.n > 0 THEN f.n || ' open' ELSE 'all optimal' END AS next_90_sub
 FROM e LEFT JOIN f ON f.subject_id = e.subject_id AND f.place = 1""", ("ranked", "scored"))
 def next_steps(spark, folder):
     return A.next_steps(scored(spark, folder))
@@ -141,9 +141,9 @@ def earlier_draw_results(spark, folder):
 SELECT subject_id,
        CASE count(DISTINCT then_day) WHEN 0 THEN '' WHEN 1 THEN {_US.format('min(then_day)')} ELSE 'Earlier' END AS earlier,
        CASE count(DISTINCT now_day) WHEN 0 THEN '' WHEN 1 THEN {_US.format('min(now_day)')} ELSE 'Latest' END AS latest
-FROM scored WHERE test IN ('T0', 'T1') GROUP BY subject_id""", ("scored",))
+FROM scored GROUP BY subject_id""", ("scored",))
 def column_dates(spark, folder):
-    return A.column_dates(scored(spark, folder).filter(F.col("test").isin("T0", "T1")))
+    return A.column_dates(scored(spark, folder))
 
 
 _EFFECTS = [("P0", 1, "raises", "T3"), ("P0", 2, "raises", "T10"), ("P1", 1, "lowers", "T0"), ("P1", 2, "lowers", "T2"),
@@ -154,13 +154,13 @@ values_cte("item_systems", ["item", "system"], _ITEM_SYSTEMS)
 cte("protocol", """
 SELECT o_custkey AS subject_id, 'P' || (o_orderkey % 5) AS item,
        min(CASE o_orderkey % 4 WHEN 0 THEN 'Start' WHEN 1 THEN 'Continue' WHEN 2 THEN 'Stop' ELSE 'Adjust' END) AS action
-FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL""")
+FROM orders GROUP BY ALL""")
 
 
 def protocol(spark, folder):
     key = F.col("o_orderkey")
     action = F.when(key % 4 == 0, "Start").when(key % 4 == 1, "Continue").when(key % 4 == 2, "Stop").otherwise("Adjust")
-    return table(spark, folder, "orders").filter(key % 3 == 0).groupBy(
+    return table(spark, folder, "orders").groupBy(
         F.col("o_custkey").alias("subject_id"), F.concat(F.lit("P"), (key % 5).cast("string")).alias("item")).agg(
         F.min(action).alias("action"))
 
@@ -173,8 +173,8 @@ j AS (SELECT p.subject_id, p.item, p.action, e.effect_no, e.effect, e.test, t.sy
       FROM protocol p LEFT JOIN effects e USING (item) LEFT JOIN t ON t.subject_id = p.subject_id AND t.test = e.test WHERE p.action <> 'Stop'),
 b AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY rank, item, effect_no NULLS FIRST) AS n FROM j)
 SELECT subject_id, rank, CASE rank WHEN 0 THEN CASE action WHEN 'Start' THEN 'Starting' WHEN 'Continue' THEN 'Continuing' ELSE 'Adjusting' END || ' ' || item
-         || ' supports your ' || test || ' and moves your ' || system || ' toward optimized.'
-       WHEN 1 THEN 'Your protocol includes ' || item || ', which acts on ' || test || '.' ELSE 'Continuing your protocol supports this goal.' END AS line
+         || ' acts on ' || test || ' within ' || system || ' in the wanted direction.'
+       WHEN 1 THEN 'On the list: ' || item || ', aimed at ' || test || '.' ELSE 'Nothing on the list matches.' END AS line
 FROM b WHERE n = 1""", ("protocol", "effects", "scored"))
 def regimen_lines(spark, folder):
     effects = spark.createDataFrame(_EFFECTS, "item string, effect_no int, effect string, test string")
@@ -197,7 +197,7 @@ values_cte("copy_dim", ["test", "description", "clause"], _COPY)
 @query("fixed_copy", "C30", f"""
 WITH m AS (SELECT s.*, {SIDE} AS side FROM scored s)
 SELECT m.subject_id, m.test, c.description, CASE WHEN then_value <> now_value AND side IS NOT NULL AND clause IS NOT NULL AND system IS NOT NULL
-       THEN clause || '. Yours is ' || side || ' the optimized range, which holds this part of your ' || system || ' back.' END AS explanation
+       THEN clause || ', now ' || side || ' the range, part of ' || system || '.' END AS explanation
 FROM m LEFT JOIN copy_dim c USING (test)""", ("scored", "copy_dim"))
 def fixed_copy(spark, folder):
     return A.with_copy(scored(spark, folder), spark.createDataFrame(_COPY, "test string, description string, clause string"))

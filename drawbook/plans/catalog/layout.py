@@ -104,16 +104,15 @@ SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, name, reason, CASE WHEN
        CASE WHEN rn IS NOT NULL THEN 10::DOUBLE END AS range_lo, (20 + rn % 20)::DOUBLE AS range_hi
 FROM x""", ("positioned",))
 def table_rows(spark, folder):
-    # Pages whose last line breaks off inside the header have no full table; they are read by no twin row either.
-    return L.rows_from_cells(L.page_lines(pages(spark, folder)), columns=6).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return L.rows_from_cells(L.page_lines(pages(spark, folder))).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("rule_bands", "J15", """
 WITH q AS (SELECT DISTINCT doc_id, page FROM positioned)
-SELECT doc_id, page, CAST(line_no // 4 AS BIGINT) AS band, count(*) AS words FROM positioned WHERE line_no < 36 GROUP BY ALL""", ("positioned",))
+SELECT doc_id, page, CAST(line_no // 4 AS BIGINT) AS band, count(*) AS words FROM positioned GROUP BY ALL""", ("positioned",))
 def rule_bands(spark, folder):
     p = pages(spark, folder)
-    rules = p.select("doc_id", "page", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i * 48.0)).alias("y"))
+    rules = p.select("doc_id", "page", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i * 48.0)).alias("y"))
     return L.assign_bands(p, rules).groupBy("doc_id", "page", F.col("band").cast("bigint").alias("band")).agg(F.count(F.lit(1)).alias("words"))
 
 

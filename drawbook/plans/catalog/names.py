@@ -116,7 +116,7 @@ def people(spark, folder):
     """Entered and printed two-word names built from nation and segment words."""
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     customers = table(spark, folder, "customer")
-    joined = customers.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     letters = F.translate(F.col("n_nationkey").cast("string"), "0123456789", "abcdefghij")
     first = F.concat(F.lit("Na"), letters)
     last = F.initcap("c_mktsegment")
@@ -215,7 +215,7 @@ def threshold_coverage(spark, folder):
 
     tests = table(spark, folder, "part").select(
         F.concat(F.lit("T"), (F.col("p_partkey") % 12).cast("string")).alias("test")).distinct()
-    sexes = tests.join(F.broadcast(B.rules(spark)), "test").withColumn("sex", F.explode(F.array(F.lit("male"), F.lit("female"))))
-    cells = sexes.join(F.broadcast(B.rule_ranges(spark)), ["test", "sex"], "left").withColumn(
+    sexes = tests.join(B.rules(spark), "test").withColumn("sex", F.explode(F.array(F.lit("male"), F.lit("female"))))
+    cells = sexes.join(B.rule_ranges(spark), ["test", "sex"], "left").withColumn(
         "cell", F.when(missing_threshold(), "missing").otherwise(F.col("kind")))
     return cells.groupBy("test").pivot("sex", ["male", "female"]).agg(F.first("cell"))

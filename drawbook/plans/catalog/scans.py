@@ -103,7 +103,7 @@ def scan_changes(spark, folder):
 
 
 cte("paired_scans", f"""
-WITH d AS (SELECT s.*, date_diff('day', l.latest_draw, s.day) AS days FROM scans s JOIN latest_draws l USING (subject_id)),
+WITH d AS (SELECT s.*, date_diff('day', l.latest_draw, s.day) AS days FROM scans s LEFT JOIN latest_draws l USING (subject_id)),
 c AS (SELECT subject_id, max(days) AS current_days FROM d WHERE {COMPLETE} AND abs(days) <= 400 GROUP BY subject_id)
 SELECT d.subject_id, d.doc_id, d.day, d.days, CASE WHEN c.current_days IS NULL THEN 'unpaired' WHEN d.days > c.current_days THEN 'excluded'
        WHEN d.days = c.current_days AND {COMPLETE} THEN 'current' ELSE 'history' END AS role

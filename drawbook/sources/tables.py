@@ -1,31 +1,9 @@
-"""Reading the base tables. Column pruning and filters reach the scan; nothing is cached."""
+"""Reading the base tables. Column pruning and filters reach the scan; nothing is cached or shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables whose per-row work is worth more tasks than a single small file gives.
-GROWING = {"lineitem", "orders", "events", "documents"}
-
-
-_SPLITS: dict[tuple[str, str], int] = {}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name not in GROWING:
-        return df
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SPLITS:  # planning a scan to count its splits is done once per table and session
-        _SPLITS[key] = df.rdd.getNumPartitions()
-    return spread(df, _SPLITS[key])
-
-
-def spread(df: DataFrame, splits: int) -> DataFrame:
-    """Give per-row work as many tasks as there are cores when the scan yields fewer splits than that.
-
-    A table in many files already has enough splits and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if splits < cores else df
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
