@@ -7,12 +7,13 @@ comes from a table of counts of fixed size.
 
 The kept entries are cut into blocks of columns, which travel as arrays. A block's task multiplies its columns: it lists
 which rows meet in a column, and how many columns have just these rows. Overlap counts are summed over blocks per pair,
-and a pair is dropped where sizes, positions and counts show that the rest of the two rows can't reach the overlap that
-their sizes require. What is left is verified on whole sets.
+and a pair is dropped where sizes, positions and counts show that the two rows can't reach the overlap that their sizes
+require. What is left is verified on whole sets.
 
-Links are only needed up to reachability, so a group of many copies isn't multiplied out: at first each row is paired
-with the first row of each column. Rows that these verified pairs join need no further comparison; all other pairs of
-rows that meet and lie in different components are then verified in the same way. No pair is capped or left out.
+Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: in a few turns each row
+is paired with some hubs of its columns. Rows that verified pairs join need no further comparison. The rows of columns that
+still hold several components are then multiplied with each other, in blocks of rows, and the blocks return the links that
+join components. No pair is capped or left out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from drawbook.session import write_table
 SLICES = 256
 ORDER_BITS = 20
 SIEVE_BITS = 22
+HUBS, HUB_TURNS = 6, 3
+CHUNK_ROWS, CHUNK_ENTRIES = 1024, 1_000_000
 BLOCK_ENTRIES = 1_000_000
 FLUSH_ENTRIES = 1_000_000
 
@@ -241,6 +244,100 @@ def possible(n1: str, n2: str, place1: str, place2: str, percent: int) -> Column
     return (F.least(n1, n2) >= need) & (F.col(n1) - F.col(place1) >= need) & (F.col(n2) - F.col(place2) >= need)
 
 
+def unsettled(met: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Rows of the columns that rows of more than one component share, with their component ``joined``."""
+    if joined is None:
+        return met.withColumn("joined", F.col("sig"))
+    placed = met.join(joined, "sig", "left").withColumn("joined", F.coalesce("joined", "sig"))
+    mixed = placed.groupBy("g").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo < hi").select("g")
+    return placed.join(mixed, "g")
+
+
+def hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each row with the hubs of its columns that lie in other components.
+
+    A column's hubs are its least rows under ``HUBS`` hash functions, so that columns with mostly the same rows have mostly
+    the same hubs, and each is an aggregate with map-side combine.
+    """
+    fields = ("sig", "n", "place", "joined")
+    hub = lambda k: F.min(F.struct(F.xxhash64("sig", F.lit(turn * HUBS + k)).alias("h"), *fields))
+    hubs = rows.groupBy("g").agg(F.array(*(hub(k) for k in range(HUBS))).alias("hubs"))
+    apart = F.filter("hubs", lambda h: h["joined"] != F.col("joined"))
+    return (
+        rows.join(hubs, "g").select("sig", "n", "place", F.explode(F.array_distinct(apart)).alias("h"))
+        .select("sig", "n", "place", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("sig", "n", "place")))
+        .where(possible("n", "h_n", "place", "h_place", percent))
+        .select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
+    )
+
+
+def matchable(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` without those that no row of the column could match, given the least size there and the row's place."""
+    least = rows.groupBy("g").agg(F.min("n").alias("m"))
+    partner = f"greatest(m, ({percent} * n + 99) div 100)"
+    able = rows.join(least, "g").where(F.expr(f"n - place >= ({percent} * (n + {partner}) + {99 + percent}) div {100 + percent}")).drop("m")
+    mixed = able.groupBy("g").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo < hi").select("g")
+    return able.join(mixed, "g")
+
+
+def multiply_open(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between components among the rows of each column, as a spanning forest per block.
+
+    The rows of a column are cut into chunks of bounded size; each pair of chunks is a block, whose task multiplies the two
+    parts of the matrix and returns no more links than it has rows.
+    """
+    parts = rows.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_ENTRIES)).cast("int").alias("parts"))
+    dealt = (
+        rows.select("g", "sig", "joined").join(parts, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("g", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"), "sig", "joined")
+    )
+
+    def multiply(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        same = keys[1] == keys[2]
+        frame = frame.drop_duplicates(["sig"] if same else ["sig", "right"])
+        sides = [frame, frame] if same else [frame[~frame["right"]], frame[frame["right"]]]
+        out_a, out_b = [], []
+        if all(len(f) for f in sides) and frame["joined"].nunique() > 1:
+            members = [[np.frombuffer(x, np.uint64) for x in f["members"]] for f in sides]
+            sizes = [np.array([len(m) for m in ms]) for ms in members]
+            columns = [np.unique(np.concatenate(ms)) for ms in members]
+            shared = np.intersect1d(*columns, assume_unique=True)
+            overlap = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+            for k in range(0, len(shared), 2048):  # dense strips of the shared columns
+                part = shared[k: k + 2048]
+                dense = []
+                for ms in members:
+                    m = np.zeros((len(ms), len(part)), np.float32)
+                    for row, x in enumerate(ms):
+                        at = np.searchsorted(part, x)
+                        at[at == len(part)] = 0
+                        m[row, at[part[at] == x]] = 1
+                    dense.append(m)
+                overlap += dense[0] @ dense[1].T
+            linked = 100 * overlap >= percent * (sizes[0][:, None] + sizes[1][None, :] - overlap)
+            labels = [f["joined"].to_numpy() for f in sides]
+            linked &= labels[0][:, None] != labels[1][None, :]
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            sigs = [f["sig"].to_numpy() for f in sides]
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = find(int(labels[0][i])), find(int(labels[1][j]))
+                if x != y:
+                    root[x] = y
+                    out_a.append(sigs[0][i])
+                    out_b.append(sigs[1][j])
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+    return dealt.join(sets, "sig").groupBy("g", "lo", "hi").applyInPandas(multiply, "a long, b long")
+
+
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -270,31 +367,19 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         wanted = reps.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig")
         return write_table(verify(pairs, whole_sets(texts, wanted, width), percent), "links")[0]
 
-    leaders = met.groupBy("g").agg(F.min(F.struct("n", "sig", "place")).alias("m")).select(
-        "g", F.col("m.sig").alias("l_sig"), F.col("m.n").alias("l_n"), F.col("m.place").alias("l_place"))
-    first = (
-        met.join(leaders, "g").where(F.col("sig") != F.col("l_sig")).where(possible("n", "l_n", "place", "l_place", percent))
-        .select(F.least("sig", "l_sig").alias("a"), F.greatest("sig", "l_sig").alias("b")).distinct()
-    )
-    first, _ = write_table(first, "first-pairs")
-    links = verified(first)
-    joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
-
-    placed = met.join(joined, "sig", "left").withColumn("joined", F.coalesce("joined", "sig"))
-    mixed = placed.groupBy("g").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).where("lo < hi").select("g")
-    open_rows, _ = write_table(placed.join(mixed, "g"), "open-rows")
-    other = open_rows.select("g", *(F.col(c).alias(f"o_{c}") for c in ("sig", "n", "place", "joined")))
-    left_over = lambda n: F.expr(f"{n} - ({n} * {100 - percent}) div 100 - 1")  # noqa: E731  shingles behind the kept ones
-    rest = (
-        open_rows.join(other, "g").where(F.col("sig") < F.col("o_sig")).where(F.col("joined") != F.col("o_joined"))
-        .where(F.least("n", "o_n") >= needed("n", "o_n", percent))
-        .groupBy(F.col("sig").alias("a"), F.col("o_sig").alias("b"), "n", "o_n")
-        .agg(F.sum("w").alias("overlap"), F.max(possible("n", "o_n", "place", "o_place", percent)).alias("possible"))
-        .where("possible").where(F.col("overlap") + F.greatest(left_over("n"), left_over("o_n")) >= needed("n", "o_n", percent))
-        .select("a", "b").join(first, ["a", "b"], "left_anti")
-    )
-    rest, _ = write_table(rest, "other-pairs")
-    roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
+    seen = links = joined = None
+    for turn in range(HUB_TURNS):
+        open_rows = unsettled(met, joined)
+        pairs = hub_pairs(open_rows, turn, percent)
+        pairs, _ = write_table(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "hub-pairs")
+        found = verified(pairs)
+        seen, links = (pairs, found) if seen is None else (seen.union(pairs), links.union(found))
+        joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
+
+    open_rows, _ = write_table(matchable(unsettled(met, joined), percent), "open-rows")
+    wanted = reps.join(open_rows.select("sig").distinct(), "sig")
+    more, _ = write_table(multiply_open(open_rows, whole_sets(texts, wanted, width), percent), "more-links")
+    roots = components(links.union(more)).withColumnsRenamed({"node": "sig"})
 
     labelled = documents.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
