@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.llm.induced import repeated_windows
+from drawbook.llm.sieve import sieved
 from drawbook.llm.shingles import RAW_LETTERS, chunks, prefix_hash, span_hashes
 from drawbook.session import write_table
 
@@ -255,7 +256,7 @@ def cut_ranges(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int,
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``rep_n_bytes``, ``rep_n_removed``, ``rep_n_spans``, ``rep_kept_sha256`` and ``rep_text``.
+    """``docs`` (``text_col`` a string) with ``rep_n_bytes``, ``rep_n_removed``, ``rep_n_spans``, ``rep_kept_sha256`` and ``rep_text``.
 
     A byte of a text in UTF-8 goes if a string of ``width`` bytes that covers it also starts at another place: of another
     row, or of the same text, overlapping or not. Strings are judged on the input, never across rows. Null is an empty text.
@@ -282,7 +283,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     runs, _ = write_table(runs, "runs")
     named = runs.agg(F.sum(F.aggregate("owns", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-(named // 4) * (width + (width - GRAM) // 2) // SHARD_BYTES))
-    segments = segment_rows(long.join(runs, "th").select("th", "text", "owns", "copied"), width, shards)
+    segments = segment_rows(sieved(long, "th", runs, "th").join(runs, "th").select("th", "text", "owns", "copied"), width, shards)
     found = segments.groupBy("shard").applyInPandas(lambda frame: sort_shard(frame, width), "th long, lo long, hi long")
     ranges = found.groupBy("th", "lo").agg(F.max("hi").alias("hi")).groupBy(F.col("th").alias("__th")).agg(
         F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
@@ -292,11 +293,13 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     schema = docs.select(*names, F.lit(0).cast("long").alias(new[0]), F.lit(0).cast("long").alias(new[1]), F.lit(0).cast("long").alias(new[2]),
                          F.lit("").alias(new[3]), F.lit("").alias(new[4])).schema
 
+    place = [c.lower() for c in names].index(text_col.lower())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
+            n = batch.num_columns - 2
             out = []
-            for body, lo, hi in zip(batch.column(n - 3), batch.column(n - 2), batch.column(n - 1), strict=True):
+            for body, lo, hi in zip(batch.column(place), batch.column(n), batch.column(n + 1), strict=True):
                 body = body.as_buffer().to_pybytes() if body.is_valid else b""
                 if lo.is_valid:
                     kept, removed, spans = cut_ranges(body, np.array(lo.values), np.array(hi.values))
@@ -305,9 +308,9 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
                 out.append((len(body), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
             columns = zip(*out, strict=True) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *new])
 
     return (
-        docs.select(*names, F.xxhash64(text).alias("__th"), text.alias("__body")).join(ranges, "__th", "left")
-        .select(*names, "__body", "__lo", "__hi").mapInArrow(cut, schema)
+        docs.select(*names, F.xxhash64(text).alias("__th")).join(ranges, "__th", "left")
+        .select(*names, "__lo", "__hi").mapInArrow(cut, schema)
     )
