@@ -43,10 +43,10 @@ def explode_segments(docs: DataFrame, opens: Callable[[Column], Column], keep: l
     first = F.coalesce(F.get("_marks", F.lit(0)), F.lit(-1))
     marked = marked.withColumn("_starts", F.when(first == 0, F.col("_marks")).otherwise(F.concat(F.array(F.lit(0)), F.col("_marks"))))
     ends = F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("lines")))
-    zipped = marked.withColumn("_ends", ends).select(
-        *keep, "lines", F.posexplode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_ends").alias("e"))).alias("segment", "_se"))
-    return zipped.select(*keep, "segment", F.col("_se.s").alias("start"), F.slice(
-        "lines", F.col("_se.s") + 1, F.col("_se.e") - F.col("_se.s")).alias("lines")).withColumn(
+    # Each segment takes its own slice before the explode, so that a row never carries the lines of the whole document.
+    spans = F.zip_with("_starts", ends, lambda s, e: F.struct(s.alias("s"), F.slice("lines", s + 1, e - s).alias("lines")))
+    parts = marked.select(*keep, F.posexplode(spans).alias("segment", "_part"))
+    return parts.select(*keep, "segment", F.col("_part.s").alias("start"), F.col("_part.lines").alias("lines")).withColumn(
         "opener", F.get("lines", F.lit(0)))
 
 

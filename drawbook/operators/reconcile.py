@@ -1,12 +1,12 @@
 """Source-priority de-duplication and reconciliation to first, latest and history.
 
-Every step is an aggregate with map-side combine over (subject, test[, day]); no window or collected list ever
-holds all rows of a subject, so one subject with a third of the rows costs no more than its share.
+Every step is an aggregate with map-side combine over (subject, test[, day]); the one window holds a row per known test of
+a subject, so one subject with a third of the rows costs no more than its share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["subject_id", "test", "day"]
@@ -104,18 +104,27 @@ def distinct_results(rows: DataFrame) -> DataFrame:
             .select("subject_id", "test", "day", "value", "p.*"))
 
 
-def reconcile(rows: DataFrame, latest: DataFrame | None = None) -> DataFrame:
+def reconcile(rows: DataFrame, latest: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """First (then) and latest (now) result per subject and test.
 
     A single result that is older than the subject's latest dated row is *then* only. ``latest`` may carry
-    (subject_id, latest_day) when the rows passed in are already reduced.
+    (subject_id, latest_day) when the rows passed in are already reduced. ``unique`` says that a subject, test and day
+    has one row at most, as after de-duplication: the rows are then read once, and the subject's latest day is taken over
+    its tests' latest days.
     """
-    results = distinct_results(rows)
-    ends = results.groupBy("subject_id", "test").agg(
-        F.count(F.lit(1)).alias("results"), F.min(F.struct(*POINT)).alias("first"), F.max(F.struct(*POINT)).alias("last"))
-    if latest is None:
-        latest = rows.groupBy("subject_id").agg(F.max("day").alias("latest_day"))
-    ends = ends.join(latest, "subject_id")
+    keys = ["subject_id", "test"]
+    if unique and latest is None:
+        point = F.when(has_result(), F.struct(*POINT))
+        ends = rows.groupBy(*keys).agg(
+            F.count(point).alias("results"), F.min(point).alias("first"), F.max(point).alias("last"), F.max("day").alias("top"))
+        ends = ends.withColumn("latest_day", F.max("top").over(Window.partitionBy("subject_id"))).filter("results > 0").drop("top")
+    else:
+        results = distinct_results(rows)
+        ends = results.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("results"), F.min(F.struct(*POINT)).alias("first"), F.max(F.struct(*POINT)).alias("last"))
+        if latest is None:
+            latest = rows.groupBy("subject_id").agg(F.max("day").alias("latest_day"))
+        ends = ends.join(latest, "subject_id")
     stale = (F.col("results") == 1) & (F.col("first.day") != F.col("latest_day"))
     then = F.when((F.col("results") > 1) | stale, F.col("first"))
     now = F.when(~stale, F.col("last"))

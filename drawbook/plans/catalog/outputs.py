@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from drawbook.operators import compare as P
@@ -13,6 +11,7 @@ from drawbook.plans.catalog.scans import scans
 from drawbook.plans.catalog.scores import answers, overall_sql, scored
 from drawbook.plans.registry import cte, query
 from drawbook.sources import bindings as B
+from drawbook.session import new_path
 from drawbook.sources import stores
 from drawbook.sources.tables import table
 from drawbook.streaming import jobs
@@ -134,22 +133,12 @@ def stale_keys(spark, folder):
     return jobs.stale_keys(key_events(spark, folder), F.lit("2024-01-31 10:00:00"), gap_seconds=6 * 3600)
 
 
-def work_folder(spark) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/drawbook-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 @query("silent_sessions_stream", "X1")
 def silent_sessions_stream(spark, folder):
     source = spark.readStream.schema(table(spark, folder, "events").schema).option("maxFilesPerTrigger", 1).option(
         "pathGlobFilter", "events.parquet").parquet(folder)
     events = source.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    at = work_folder(spark)
+    at = new_path(spark, "stream")
     jobs.write_sessions(events, f"{at}/sessions", f"{at}/state", gap_seconds=6 * 3600).awaitTermination()
     return spark.read.schema("key bigint, first_seen timestamp, last_seen timestamp, events bigint").parquet(f"{at}/sessions")
 
@@ -171,7 +160,7 @@ def incremental_reconcile(spark, folder):
         F.lit("final").alias("status"), F.floor("value").cast("double").alias("value"), F.floor("value").cast("string").alias("disp"),
         F.lit(None).cast("string").alias("flag"), F.lit(None).cast("double").alias("range_lo"), F.lit(None).cast("double").alias("range_hi"),
         F.lit(None).cast("string").alias("range_display"), F.lit(None).cast("string").alias("unit"))
-    at = work_folder(spark)
+    at = new_path(spark, "stream")
     jobs.reconcile_stream(rows, f"{at}/observations", f"{at}/results", f"{at}/state").awaitTermination()
     return jobs.current_results(spark, f"{at}/results").select(
         "subject_id", "test", "results", "then_day", "then_value", "now_day", "now_value")

@@ -105,7 +105,7 @@ JOIN latest l ON l.subject_id = f.subject_id""", ("placed", "latest"))
 
 
 def reconciled(spark, folder):
-    return R.reconcile(accepted(spark, folder))
+    return R.reconcile(accepted(spark, folder), unique=True)
 
 
 @query("reconcile_then_now", "A3", "SELECT * FROM reconciled", ("reconciled",))

@@ -50,7 +50,7 @@ def reconcile_stream(stream: DataFrame, observations: str, results: str, checkpo
         stored = spark.read.option("basePath", observations).schema(schema).parquet(observations).filter(F.col("batch") <= batch_id)
         touched = spark.read.parquet(f"{observations}/batch={batch_id}").select("subject_id").distinct()
         rows = stored.drop("batch").join(touched, "subject_id", "left_semi")
-        R.reconcile(R.accepted(R.dedupe_sources(rows))).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+        R.reconcile(R.accepted(R.dedupe_sources(rows)), unique=True).write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
