@@ -5,15 +5,14 @@ row), and of each row only the rarest columns are kept: two sets of similarity `
 ``n - ceil(t n) + 1`` shingles of each, in any one order of shingles. Rare first keeps common passages out. The order
 comes from a table of counts of fixed size.
 
-The kept entries are cut into blocks of columns, which travel as arrays. A block's task multiplies its columns: it lists
-which rows meet in a column, and how many columns have just these rows. Overlap counts are summed over blocks per pair,
-and a pair is dropped where sizes, positions and counts show that the two rows can't reach the overlap that their sizes
-require. What is left is verified on whole sets.
+The kept entries are cut into blocks of columns, which travel as arrays. A block's task lists which rows meet in a column;
+columns with the same rows count as one. A pair of rows is dropped where their sizes and the places of the shared column
+show that they can't reach the overlap that their sizes require. What is left is verified on whole sets.
 
 Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: in a few turns each row
 is paired with some hubs of its columns. Rows that verified pairs join need no further comparison. The rows of columns that
-still hold several components are then multiplied with each other, in blocks of rows, and the blocks return the links that
-join components. No pair is capped or left out.
+still hold several components are then multiplied with each other, in blocks of rows that add up overlap counts strip by
+strip of columns, and return the links that join components. No pair is capped or left out.
 """
 
 from __future__ import annotations
@@ -27,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.llm.components import components
+from drawbook.llm.sieve import sieved
 from drawbook.llm.shingles import chunks, mix, shingle_sets
 from drawbook.session import write_table
 
 SLICES = 256
 ORDER_BITS = 20
-SIEVE_BITS = 22
-HUBS, HUB_TURNS = 6, 3
+HUBS, HUB_TURNS = 8, 2
 CHUNK_ROWS, CHUNK_ENTRIES = 1024, 1_000_000
 BLOCK_ENTRIES = 1_000_000
 FLUSH_ENTRIES = 1_000_000
@@ -152,12 +151,11 @@ def prefix_blocks(docs: DataFrame, order, width: int, percent: int, blocks: int)
 
 
 def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows that meet in the block's columns: (``g``, ``sig``, ``n``, ``place``, ``w``).
+    """The rows that meet in the block's columns: (``g``, ``sig``, ``n``, ``place``).
 
-    ``g`` stands for a set of rows that meet in ``w`` columns of the block, ``place`` is the row's first place among them.
+    ``g`` stands for the columns in which just these rows meet, ``place`` is the row's first place among them.
     """
-    empty = pd.DataFrame({"g": np.zeros(0, np.int64), "sig": np.zeros(0, np.int64), "n": np.zeros(0, np.int64),
-                          "place": np.zeros(0, np.int64), "w": np.zeros(0, np.int64)})
+    empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("g", "sig", "n", "place")})
     sig = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(r, np.uint32)] for s, r in zip(frame["sigs"], frame["rows"], strict=True)])
     size = np.concatenate([np.frombuffer(s, np.uint32)[np.frombuffer(r, np.uint32)] for s, r in zip(frame["sizes"], frame["rows"], strict=True)])
     column = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["hashes"]])
@@ -180,23 +178,15 @@ def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
     out = out[np.repeat(lengths > 1, lengths)]
     if not len(out):
         return empty
-    return out.groupby(["g", "sig", "n"], as_index=False, sort=False).agg(place=("place", "min"), w=("place", "size"))
+    return out.groupby(["g", "sig", "n"], as_index=False, sort=False).agg(place=("place", "min"))
 
 
 def whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(``sig``, ``members`` as sorted hashes) of the documents in ``wanted`` (``key``), and of few others.
 
-    The wanted ids are marked in a table of ``2 ** SIEVE_BITS`` bits, whatever their number, which is sent to all tasks; so
-    only texts of marked ids are read further, and no text is shuffled. Ids that share a mark give sets that no pair asks for.
+    Texts of other ids are sieved out before they are cut into shingles, and no text is shuffled.
     """
-    mark = lambda key: F.pmod(F.xxhash64(F.col(key)), F.lit(1 << SIEVE_BITS))
-    word = F.shiftright(F.col("mark"), 6)
-    sieve = wanted.select(mark("key").alias("mark")).groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark % 64 as int))")).alias("bits"))
-    key, text = texts.columns[:2]
-    chosen = (
-        texts.withColumn("mark", mark(key)).withColumn("at", word).join(F.broadcast(sieve), F.col("at") == F.col("word"))
-        .where(F.getbit("bits", F.col("mark") % 64) == 1).select(key, text)
-    )
+    chosen = sieved(texts, texts.columns[0], wanted, "key").select(*texts.columns[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -356,9 +346,10 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
     total = documents.agg(F.sum("n")).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-total * (100 - percent) // 100 // BLOCK_ENTRIES))
     entries = prefix_blocks(texts, order, width, percent, blocks)
-    met = entries.groupBy("block").applyInPandas(multiply_block, "g long, sig long, n long, place long, w long")
+    met = entries.groupBy("block").applyInPandas(multiply_block, "g long, sig long, n long, place long")
     met, _ = write_table(met, "met-rows")
-    met = met.groupBy("g", "sig", "n").agg(F.min("place").alias("place"), F.sum("w").alias("w"))
+    order.destroy()
+    met = met.groupBy("g", "sig", "n").agg(F.min("place").alias("place"))
 
     reps = documents.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_WORDS = 700_000
+CACHED_WORDS = 250_000
 # The byte-level tokenizer's word pattern for texts in which \w is a letter, a digit or an underscore.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall

@@ -118,12 +118,26 @@ def train(texts: list[str], labels: np.ndarray, prior: float, dim: int = 16, epo
     return model
 
 
+@dataclass
+class FoldedModel:
+    """One number per bucket, and the log odds of a text without features."""
+
+    folded: np.ndarray
+    log_odds: float
+
+    def weights(self) -> np.ndarray:
+        return self.folded
+
+    def intercept(self) -> float:
+        return self.log_odds
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> SubwordModel:
-    """Model from at most ``rows_per_label`` labelled documents of each label, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FoldedModel:
+    """Model, folded for scoring, from at most ``rows_per_label`` labelled documents of each label, none of them held out.
 
     The sample is the smallest hashes of the ids. Labels other than 0 and 1 and ids with both are left out. Without any
     usable label the model gives every text 0.5.
@@ -145,14 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 3000, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         model = train([t or "" for t, _ in rows], np.array([y for _, y in rows], np.int64), prior)
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (model.vectors, model.output, model.bias)],
-                                         names=["vectors", "output", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()], pa.binary()), pa.array([model.intercept()])], names=["weights", "intercept"])
 
     if not totals:
-        return SubwordModel(np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 2), np.float32), np.zeros(2, np.float32))
-    row = texts.mapInArrow(run, "vectors binary, output binary, bias binary").first()
-    vectors, output = (np.frombuffer(row[c], np.float32) for c in ("vectors", "output"))
-    return SubwordModel(vectors.reshape(BUCKETS, -1), output.reshape(-1, 2), np.frombuffer(row["bias"], np.float32))
+        return FoldedModel(np.zeros(BUCKETS, np.float32), 0.0)
+    row = texts.mapInArrow(run, "weights binary, intercept double").first()
+    return FoldedModel(np.frombuffer(row["weights"], np.float32), row["intercept"])
 
 
 def chunk_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercept: float) -> np.ndarray:
@@ -171,7 +183,7 @@ def chunk_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, int
     return 1 / (1 + np.exp(-(intercept + total / np.maximum(number, 1))))
 
 
-def score(docs: DataFrame, model: SubwordModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: SubwordModel | FoldedModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``: the probability of label 1, from the text alone.
 
     Null and empty texts have no features and get the model's prior. A column named ``score_col`` is replaced; other

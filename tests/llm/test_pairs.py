@@ -46,9 +46,9 @@ def similar_texts():
     return texts + [None, "", "  \n", "one two", "One\ttwo", "one two three", "é É", "a b c d e", "x " * 5000]
 
 
-@pytest.mark.parametrize("block_entries", [1_000_000, 50])
-def test_ngram_components(spark, monkeypatch, block_entries):
-    monkeypatch.setattr(gramjoin, "BLOCK_ENTRIES", block_entries)
+def test_ngram_components(spark, monkeypatch):
+    for name, small in (("BLOCK_ENTRIES", 50), ("FLUSH_ENTRIES", 100), ("HUBS", 1), ("CHUNK_ROWS", 3)):
+        monkeypatch.setattr(gramjoin, name, small)
     texts = similar_texts()
     rows = [(k * 3 + 1, t, k) for k, t in enumerate(texts)] + [(7, texts[2], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
