@@ -15,7 +15,7 @@ UNITS = {t: "mg/dL" if i % 2 == 0 else "ug/L" for i, t in enumerate(TESTS)}
 
 
 def report_docs(spark, folder):
-    """Documents as printed reports: header, heading and result lines take the place of most prose lines."""
+    """Documents as printed reports: header, heading and result lines made from the text, then the document's own lines."""
     d = F.col("doc_id")
 
     def shape(line, i):
@@ -33,7 +33,7 @@ def report_docs(spark, folder):
         return F.when(k == 0, order).when(k == 1, dated).when(k == 2, facts).when(k == 3, heading).when(k == 8, line).otherwise(result)
 
     docs = table(spark, folder, "documents")
-    return compute_once(docs.select("doc_id", "text"), lines=F.transform(F.split("text", "\n"), shape)).select("doc_id", "lines")
+    return compute_once(docs.select("doc_id", "text"), lines=F.concat(F.transform(F.split("text", "\n"), shape), F.split("text", "\n"))).select("doc_id", "lines")
 
 
 cte("report_lines", """
@@ -44,8 +44,9 @@ SELECT doc_id, i AS line_no, raw, n, k,
          WHEN 3 THEN CASE (doc_id + i) % 3 WHEN 0 THEN 'LIPID PANEL' WHEN 1 THEN 'URINALYSIS' ELSE 'Progress Summary' END
          WHEN 8 THEN raw ELSE 'T' || (n % 12) || ' ' || CASE WHEN i % 5 = 0 THEN '<' ELSE '' END || (n % 97) || '.' || (i % 10) || ' mg/dL' || CASE WHEN i % 4 = 0 THEN ' H' ELSE '' END || ' reference range 10-30' END AS line,
   us, strftime(make_date(CAST(2020 + i % 5 AS INTEGER), CAST(1 + (doc_id + i) % 12 AS INTEGER), CAST(1 + n % 28 AS INTEGER)), '%Y-%m-%d') AS iso
-FROM (SELECT *, length(raw) AS n, i % 9 AS k, (1 + (doc_id + i) % 12) || '/' || (1 + length(raw) % 28) || '/' || (2020 + i % 5) AS us
-      FROM (SELECT doc_id, i, l[i + 1] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(len(l))) AS t(i)))""")
+FROM (SELECT *, length(raw) AS n, (1 + (doc_id + i) % 12) || '/' || (1 + length(raw) % 28) || '/' || (2020 + i % 5) AS us
+      FROM (SELECT doc_id, i, i % 9 AS k, l[i + 1] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(len(l))) AS t(i)
+            UNION ALL SELECT doc_id, len(l) + i, 8, l[i + 1] FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(len(l))) AS t(i)))""")
 # A prose line can mention a test only by chance; the derived lines are the only ones that do.
 cte("evidence_rows", """
 WITH r AS (SELECT *, 'T' || (n % 12) AS test FROM report_lines WHERE k BETWEEN 4 AND 7 AND (n % 12) % 2 = 0),
