@@ -94,10 +94,6 @@ def measure(col: Column) -> Column:
         number.cast("double").alias("value"), number.alias("text"), col.rlike(_ESTIMATE).alias("estimated")))
 
 
-def measure_unreadable(col: Column) -> Column:
-    return col.isNotNull() & measure(col).isNull()
-
-
 def is_text_result(result: Column, reference: Column) -> Column:
     """A word, a dipstick grade or a count range that is not the row's own reference range."""
     folded = F.trim(F.regexp_replace(F.coalesce(result, F.lit("")), r"(?U)\s+", " "))
