@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drawbook.constants import AGE_TOLERANCE_YEARS, BONE_MINERAL_MAX, SCAN_WINDOW_DAYS
 from drawbook.functions import cells, scoring
-from drawbook.session import cut_lineage
+from drawbook.functions.plan import compute_once
 
 MASSES = ["total", "fat", "lean"]
 
@@ -149,77 +149,102 @@ def agree_fields(reads: DataFrame, page_numbers: DataFrame) -> DataFrame:
 
 
 SCAN = ["doc_id", "day"]
+SETTLED = [*MASSES, "body_fat"]
 
 
 def settle_fields(fields: DataFrame) -> DataFrame:
     """One value per scan and field across the pages that print it, with how it was settled.
 
     Order: mass balance picks the only fitting candidate; a strict plurality confirmed on two pages; body fat
-    confirmed by the kept masses; a value single reads saw on two pages; else withheld. Windows run over the
-    distinct candidates of one scan field, at most one per page of its document. The agreed fields feed several
-    branches, so they are checkpointed once instead of being read and agreed again for each.
+    confirmed by the kept masses; a value single reads saw on two pages; else withheld. A scan has a few pages and the
+    four ``SETTLED`` fields, so its outcomes are gathered in one row and decided there: one exchange, no window.
     """
-    fields = cut_lineage(fields)
-    agreed = fields.filter(F.col("value").isNotNull()).groupBy(*SCAN, "field", "value").agg(
-        F.count(F.lit(1)).alias("pages"), F.min(F.struct(F.length("text").alias("l"), "text"))["text"].alias("text"),
-        F.bool_or("estimated").alias("estimated"))
-
-    def settled(name: str) -> Column:
-        v = F.when(F.col("field") == name, F.col("value"))
-        return F.when(F.min(v) == F.max(v), F.min(v))
-
-    masses = agreed.groupBy(*SCAN).agg(*[settled(m).alias(f"s_{m}") for m in MASSES])
-    w = Window.partitionBy(*SCAN, "field")
-    j = agreed.join(masses, SCAN)
-    bone = (F.when(F.col("field") == "total", F.col("value") - F.col("s_fat") - F.col("s_lean"))
-            .when(F.col("field") == "fat", F.col("s_total") - F.col("s_lean") - F.col("value"))
-            .when(F.col("field") == "lean", F.col("s_total") - F.col("s_fat") - F.col("value")))
-    fits = F.coalesce((bone > 0) & (bone <= BONE_MINERAL_MAX), F.lit(False))
-    j = j.withColumn("fits", fits).withColumn("n", F.count(F.lit(1)).over(w)).withColumn(
-        "n_fits", F.sum(F.col("fits").cast("int")).over(w)).withColumn("balanced", (F.col("n") > 1) & (F.col("n_fits") == 1))
-    j = j.filter(~F.col("balanced") | F.col("fits"))
-    top = F.max("pages").over(w)
-    j = j.withColumn("left", F.count(F.lit(1)).over(w)).withColumn("top", top).withColumn(
-        "at_top", F.sum((F.col("pages") == F.col("top")).cast("int")).over(w))
-    voted = (F.col("left") > 1) & (F.col("top") >= 2) & (F.col("at_top") == 1)
-    how = (F.when(F.col("balanced"), "mass_balance").when(F.col("left") == 1, "agreed")
-           .when(voted & (F.col("pages") == F.col("top")), "page_vote"))
-    picked = j.filter(how.isNotNull()).select(*SCAN, "field", "value", "text", "estimated", how.alias("how"))
-    contested = j.filter((F.col("left") > 1) & ~voted).select(*SCAN, "field", "value", "text", "estimated", F.lit(True).alias("by_page"))
-
-    # Values one read printed where no page's reads agree: confirmed when two pages saw the same one.
-    lone = fields.filter(F.col("outcome").isin("one_read", "differ")).select(
-        *SCAN, "field", "page", F.explode(F.array(F.struct(F.col("a_value").alias("value"), F.col("a_text").alias("text")),
-                                                  F.struct(F.col("b_value").alias("value"), F.col("b_text").alias("text")))).alias("o")
-    ).select(*SCAN, "field", "page", "o.*").filter(F.col("value").isNotNull())
-    lone = lone.groupBy(*SCAN, "field", "value", "page").agg(F.min("text").alias("text")).groupBy(*SCAN, "field", "value").agg(
-        F.count(F.lit(1)).alias("pages"), F.min("text").alias("text"))
-    lone = lone.join(agreed.select(*SCAN, "field").distinct(), [*SCAN, "field"], "left_anti")
-    lone = lone.withColumn("top", F.max("pages").over(w)).withColumn(
-        "at_top", F.sum((F.col("pages") == F.col("top")).cast("int")).over(w))
-    crossed = (F.col("top") >= 2) & (F.col("at_top") == 1)
-    cross = lone.filter(crossed & (F.col("pages") == F.col("top"))).select(
-        *SCAN, "field", "value", "text", F.lit(False).alias("estimated"), F.lit("cross_page").alias("how"))
-    singles = lone.filter(~crossed).select(*SCAN, "field", "value", "text", F.lit(False).alias("estimated"), F.lit(False).alias("by_page"))
-
-    decided = picked.unionByName(cross)
-    open_options = contested.unionByName(singles)
+    item = F.struct("field", "page", "outcome", "value", "text", "estimated", "a_value", "a_text", "b_value", "b_text")
+    rows = fields.filter(F.col("field").isin(*SETTLED)).groupBy(*SCAN).agg(F.collect_list(item).alias("items"))
+
+    def least(texts: Column) -> Column:
+        return F.array_min(F.transform(texts, lambda t: F.struct(F.length(t).alias("l"), t.alias("text"))))["text"]
+
+    def candidates(name: str) -> Column:
+        """Agreed values of a field: value, pages, text, estimated."""
+        own = F.filter("items", lambda x: (x["field"] == name) & x["value"].isNotNull())
+
+        def one(v: Column) -> Column:
+            same = F.filter(own, lambda x: x["value"] == v)
+            return F.struct(v.alias("value"), F.size(same).alias("pages"), least(F.transform(same, lambda x: x["text"])).alias("text"),
+                            F.exists(same, lambda x: x["estimated"]).alias("estimated"))
+
+        return F.transform(F.array_distinct(F.transform(own, lambda x: x["value"])), one)
+
+    def lone(name: str) -> Column:
+        """Values that single reads printed: value, pages, text, estimated."""
+        own = F.filter("items", lambda x: (x["field"] == name) & x["outcome"].isin("one_read", "differ"))
+        seen = F.filter(F.flatten(F.transform(own, lambda x: F.array(
+            F.struct(x["a_value"].alias("value"), x["a_text"].alias("text"), x["page"].alias("page")),
+            F.struct(x["b_value"].alias("value"), x["b_text"].alias("text"), x["page"].alias("page"))))), lambda o: o["value"].isNotNull())
+
+        def one(v: Column) -> Column:
+            same = F.filter(seen, lambda o: o["value"] == v)
+            return F.struct(v.alias("value"), F.size(F.array_distinct(F.transform(same, lambda o: o["page"]))).alias("pages"),
+                            F.array_min(F.transform(same, lambda o: o["text"])).alias("text"), F.lit(False).alias("estimated"))
+
+        return F.transform(F.array_distinct(F.transform(seen, lambda o: o["value"])), one)
+
+    rows = compute_once(rows, **{f"c_{n}": candidates(n) for n in SETTLED}, **{f"l_{n}": lone(n) for n in SETTLED})
+    only = {m: F.when(F.size(f"c_{m}") == 1, F.get(f"c_{m}", F.lit(0))["value"]) for m in MASSES}
+    rows = compute_once(rows, **{f"s_{m}": only[m] for m in MASSES})
+
+    def fitting(name: str) -> Column:
+        v = {m: F.col(f"s_{m}") for m in MASSES}
+
+        def fits(c: Column) -> Column:
+            v[name] = c["value"]
+            bone = v["total"] - v["fat"] - v["lean"]
+            return F.coalesce((bone > 0) & (bone <= BONE_MINERAL_MAX), F.lit(False))
+
+        return F.filter(f"c_{name}", fits) if name in MASSES else F.slice(f"c_{name}", 1, 0)
+
+    rows = compute_once(rows, **{f"f_{n}": fitting(n) for n in SETTLED})
+    balanced = {n: (F.size(f"c_{n}") > 1) & (F.size(f"f_{n}") == 1) for n in SETTLED}
+    rows = compute_once(rows, **{f"o_{n}": F.when(balanced[n], F.col(f"f_{n}")).otherwise(F.col(f"c_{n}")) for n in SETTLED})
+
+    def top(options: str) -> Column:
+        """The options printed on most pages."""
+        most = F.array_max(F.transform(options, lambda c: c["pages"]))
+        return F.filter(options, lambda c: c["pages"] == most)
+
+    def decision(name: str) -> Column:
+        options, alone = f"o_{name}", f"l_{name}"
+        voted = F.filter(top(options), lambda c: c["pages"] >= 2)
+        crossed = F.filter(top(alone), lambda c: c["pages"] >= 2)
+
+        def pick(c: Column, how: str) -> Column:
+            return F.struct(c["value"].alias("value"), c["text"].alias("text"), c["estimated"].alias("estimated"), F.lit(how).alias("how"))
+
+        first = F.get(options, F.lit(0))
+        return (F.when(balanced[name], pick(first, "mass_balance")).when(F.size(options) == 1, pick(first, "agreed"))
+                .when((F.size(options) > 1) & (F.size(voted) == 1), pick(F.get(voted, F.lit(0)), "page_vote"))
+                .when((F.size(options) == 0) & (F.size(crossed) == 1), pick(F.get(crossed, F.lit(0)), "cross_page")))
+
+    rows = compute_once(rows, **{f"d_{n}": decision(n) for n in SETTLED})
     # Body fat: the one printed candidate equal to the scan's own kept fat / (fat + lean), to one decimal.
-    kept = decided.filter(F.col("field").isin("fat", "lean")).groupBy(*SCAN).agg(
-        F.max(F.when(F.col("field") == "fat", F.col("value"))).alias("k_fat"),
-        F.max(F.when(F.col("field") == "lean", F.col("value"))).alias("k_lean"))
-    ratio = F.bround(F.col("k_fat") / (F.col("k_fat") + F.col("k_lean")) * 100, 1)
-    fat_options = open_options.filter(F.col("field") == "body_fat").join(kept, SCAN).filter(F.bround("value", 1) == ratio)
-    confirmed = fat_options.groupBy(*SCAN, "field").agg(
-        F.min("value").alias("value"), F.max("value").alias("hi"), F.min(F.struct(F.length("text").alias("l"), "text"))["text"].alias("text"),
-        F.bool_or("estimated").alias("estimated")).filter(F.col("value") == F.col("hi")).select(
-        *SCAN, "field", "value", "text", "estimated", F.lit("masses_confirm").alias("how"))
-    done = decided.unionByName(confirmed)
-    withheld = fields.filter(~F.col("outcome").isin("absent", "day_in_one_read")).select(*SCAN, "field").distinct().join(
-        done.select(*SCAN, "field"), [*SCAN, "field"], "left_anti").select(
-        *SCAN, "field", F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("text"),
-        F.lit(None).cast("boolean").alias("estimated"), F.lit("withheld").alias("how"))
-    return done.unionByName(withheld)
+    ratio = F.bround(F.col("d_fat.value") / (F.col("d_fat.value") + F.col("d_lean.value")) * 100, 1)
+    open_options = F.when(F.size("o_body_fat") > 0, F.col("o_body_fat")).otherwise(F.col("l_body_fat"))
+    rows = compute_once(rows, confirmed=F.filter(open_options, lambda c: F.coalesce(F.bround(c["value"], 1) == ratio, F.lit(False))))
+    values = F.transform("confirmed", lambda c: c["value"])
+    fat = F.when(F.array_min(values) == F.array_max(values), F.struct(
+        F.array_min(values).alias("value"), least(F.transform("confirmed", lambda c: c["text"])).alias("text"),
+        F.exists("confirmed", lambda c: c["estimated"]).alias("estimated"), F.lit("masses_confirm").alias("how")))
+    rows = rows.withColumn("d_body_fat", F.coalesce("d_body_fat", fat))
+
+    def outcome(name: str) -> Column:
+        seen = F.exists("items", lambda x: (x["field"] == name) & ~x["outcome"].isin("absent", "day_in_one_read"))
+        d = F.col(f"d_{name}")
+        how = F.coalesce(d["how"], F.when(seen, "withheld"))
+        return F.when(how.isNotNull(), F.struct(F.lit(name).alias("field"), d["value"].alias("value"), d["text"].alias("text"),
+                                                d["estimated"].alias("estimated"), how.alias("how")))
+
+    return rows.select(*SCAN, F.inline(F.array_compact(F.array(*[outcome(n) for n in SETTLED]))))
 
 
 def attribute_pages(page_reads: DataFrame, page_days: DataFrame, expected: DataFrame, tolerance: int = AGE_TOLERANCE_YEARS) -> DataFrame:
