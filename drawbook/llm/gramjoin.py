@@ -10,9 +10,9 @@ columns with the same rows count as one. A pair of rows is dropped where their s
 show that they can't reach the overlap that their sizes require. What is left is verified on whole sets.
 
 Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: in a few turns each row
-is paired with some hubs of its columns. Rows that verified pairs join need no further comparison. The rows of columns that
-still hold several components are then multiplied with each other, in blocks of rows that add up overlap counts strip by
-strip of columns, and return the links that join components. No pair is capped or left out.
+is paired with some hubs of its columns. Rows that verified pairs join need no further comparison. Of columns that still
+hold several components, blocks of rows list the pairs that lie apart and may match; these are verified too. No pair is
+capped or left out.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from drawbook.session import write_table
 SLICES = 256
 ORDER_BITS = 20
 HUBS, HUB_TURNS = 8, 2
-CHUNK_ROWS, CHUNK_ENTRIES = 1024, 1_000_000
+CHUNK_ROWS = 1024
 BLOCK_ENTRIES = 1_000_000
 FLUSH_ENTRIES = 1_000_000
 
@@ -270,62 +270,43 @@ def matchable(rows: DataFrame, percent: int) -> DataFrame:
     return able.join(mixed, "g")
 
 
-def multiply_open(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) between components among the rows of each column, as a spanning forest per block.
+def open_pairs(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """Distinct pairs (``a``, ``b``) of rows that share a column, lie in different components and may match.
 
-    The rows of a column are cut into chunks of bounded size; each pair of chunks is a block, whose task multiplies the two
-    parts of the matrix and returns no more links than it has rows.
+    The rows of a column are cut into chunks of bounded size, and each pair of chunks is a block of its own. Blocks list
+    their pairs as arrays, dealt by the pair's hash to the tasks that drop repeats.
     """
-    parts = rows.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_ENTRIES)).cast("int").alias("parts"))
+    parts = rows.groupBy("g").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("parts"))
     dealt = (
-        rows.select("g", "sig", "joined").join(parts, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+        rows.select("g", "sig", "n", "place", "joined").join(parts, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("g", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"), "sig", "joined")
+        .select("g", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"),
+                "sig", "n", "place", "joined")
     )
 
-    def multiply(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        same = keys[1] == keys[2]
-        frame = frame.drop_duplicates(["sig"] if same else ["sig", "right"])
-        sides = [frame, frame] if same else [frame[~frame["right"]], frame[frame["right"]]]
-        out_a, out_b = [], []
-        if all(len(f) for f in sides) and frame["joined"].nunique() > 1:
-            members = [[np.frombuffer(x, np.uint64) for x in f["members"]] for f in sides]
-            sizes = [np.array([len(m) for m in ms]) for ms in members]
-            columns = [np.unique(np.concatenate(ms)) for ms in members]
-            shared = np.intersect1d(*columns, assume_unique=True)
-            overlap = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
-            for k in range(0, len(shared), 2048):  # dense strips of the shared columns
-                part = shared[k: k + 2048]
-                dense = []
-                for ms in members:
-                    m = np.zeros((len(ms), len(part)), np.float32)
-                    for row, x in enumerate(ms):
-                        at = np.searchsorted(part, x)
-                        at[at == len(part)] = 0
-                        m[row, at[part[at] == x]] = 1
-                    dense.append(m)
-                overlap += dense[0] @ dense[1].T
-            linked = 100 * overlap >= percent * (sizes[0][:, None] + sizes[1][None, :] - overlap)
-            labels = [f["joined"].to_numpy() for f in sides]
-            linked &= labels[0][:, None] != labels[1][None, :]
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            sigs = [f["sig"].to_numpy() for f in sides]
-            for i, j in zip(*np.nonzero(linked), strict=True):
-                x, y = find(int(labels[0][i])), find(int(labels[1][j]))
-                if x != y:
-                    root[x] = y
-                    out_a.append(sigs[0][i])
-                    out_b.append(sigs[1][j])
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return dealt.join(sets, "sig").groupBy("g", "lo", "hi").applyInPandas(multiply, "a long, b long")
+    def meet(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame, frame] if keys[1] == keys[2] else [frame[~frame["right"]], frame[frame["right"]]]
+        (sig, n, place, joined), (o_sig, o_n, o_place, o_joined) = (tuple(f[c].to_numpy() for c in ("sig", "n", "place", "joined")) for f in sides)
+        need = -(-percent * (n[:, None] + o_n[None, :]) // (100 + percent))
+        may = (joined[:, None] != o_joined[None, :]) & (np.minimum(n[:, None], o_n[None, :]) >= need)
+        may &= ((n - place)[:, None] >= need) & ((o_n - o_place)[None, :] >= need)
+        if keys[1] == keys[2]:
+            may &= sig[:, None] < o_sig[None, :]
+        i, j = np.nonzero(may)
+        a, b = np.minimum(sig[i], o_sig[j]), np.maximum(sig[i], o_sig[j])
+        block = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(blocks)).astype(np.int64)
+        turn = np.argsort(block, kind="stable")
+        cuts = np.searchsorted(block[turn], np.arange(blocks + 1))
+        own = [(k, turn[cuts[k]: cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
+        return pd.DataFrame({"block": np.array([k for k, _ in own], np.int32), "a": [a[x].tobytes() for _, x in own], "b": [b[x].tobytes() for _, x in own]})
+
+    def once(frame: pd.DataFrame) -> pd.DataFrame:
+        both = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("a", "b")], axis=1)
+        both = np.unique(both, axis=0)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    lists = dealt.groupBy("g", "lo", "hi").applyInPandas(meet, "block int, a binary, b binary")
+    return lists.groupBy("block").applyInPandas(once, "a long, b long")
 
 
 def text_hash(text_col: str) -> Column:
@@ -368,9 +349,8 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
 
     open_rows, _ = write_table(matchable(unsettled(met, joined), percent), "open-rows")
-    wanted = reps.join(open_rows.select("sig").distinct(), "sig")
-    more, _ = write_table(multiply_open(open_rows, whole_sets(texts, wanted, width), percent), "more-links")
-    roots = components(links.union(more)).withColumnsRenamed({"node": "sig"})
+    rest, _ = write_table(open_pairs(open_rows, percent, blocks).join(seen, ["a", "b"], "left_anti"), "open-pairs")
+    roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
 
     labelled = documents.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
