@@ -158,9 +158,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_chroma")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    """Recordings of all turns; those of conversations divisible by 100 are looked up among all."""
+    """Recordings of all turns; those of conversations divisible by 100 are looked up among all.
+
+    ``cls`` names the turn's class; ``matches``, on the first turn of a class, lists the other query classes that match it.
+    """
     from drawbook.llm.chroma import align, fingerprints, record_texts
 
     prints = fingerprints(record_texts(read(spark, folder, "conversations").select("conv_id", "turn", "text")))
     return align(prints, F.col("conv_id") % 100 == 0).select(
-        "conv_id", "turn", "n_prints", "n_queries", "shift", "overlap", "error_rate", F.crc32("prints").alias("prints_crc32"))
+        "conv_id", "turn", "n_prints", "n_queries", "shift", "overlap", "error_rate", F.crc32("prints").alias("prints_crc32"), "cls", "matches")
