@@ -164,6 +164,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     """
     from drawbook.llm.chroma import align, fingerprints, record_texts
 
-    prints = fingerprints(record_texts(read(spark, folder, "conversations").select("conv_id", "turn", "text")))
-    return align(prints, F.col("conv_id") % 100 == 0).select(
+    recordings = record_texts(read(spark, folder, "conversations").select("conv_id", "turn", "text"))
+    prints = fingerprints(recordings.withColumn("sound", F.when(F.octet_length("audio") > 0, F.xxhash64("audio"))))
+    return align(prints, F.col("conv_id") % 100 == 0, sound_col="sound").select(
         "conv_id", "turn", "n_prints", "n_queries", "shift", "overlap", "error_rate", F.crc32("prints").alias("prints_crc32"), "cls", "matches")
