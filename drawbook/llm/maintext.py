@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of HTML by how they take part in the flow of text.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr "
+             "audio canvas maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover "
+             "iframe noscript object semantics svg video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg object math canvas audio video".split())
-HIDDEN = set("head title textarea select datalist".split())
+RAW = {"script", "style"}
+PLAIN = {"title", "textarea"}
+IN_HEAD = set("base basefont bgsound link meta noscript template".split()) | RAW | PLAIN
+HIDDEN = set("head select datalist".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_NESTING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words in class and id names that tell what an element is for.
@@ -91,8 +95,11 @@ def leaf_blocks(page: str) -> list[Block]:
     at = 0
     while True:
         m = TAG.search(page, at)
+        between = page[at: m.start() if m else len(page)]
+        if hidden and stack[-1][0] == "head" and between.strip():  # so does text
+            pop(1)
         if not hidden:
-            add(page[at: m.start() if m else len(page)])
+            add(between)
         if m is None:
             break
         at = m.end()
@@ -112,10 +119,15 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
             continue
         attributes = m[3] or m[6] or ""
-        if name in RAW:
+        if hidden:  # an element of the page's flow closes what cannot hold it
+            for k in range(len(stack)):
+                if stack[k][0] in HIDDEN and (name not in IN_HEAD and name != "head" if stack[k][0] == "head" else name in CLOSES_P and name != "hr"):
+                    pop(len(stack) - k)
+                    break
+        if name in RAW or name in PLAIN:
             if not attributes.rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else len(page)
+                at = close.end() if close else len(page) if name in RAW else at
             continue
         if name in VOID:
             continue

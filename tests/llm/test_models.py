@@ -114,3 +114,17 @@ def test_extraction(spark, tmp_path):
     assert not wrong
     assert [r["text"] for r in got if r["url"] in (None, "u")] == ["", "", ""]
     assert maintext.extract_text(pages.limit(0), maintext.fit_field(pages.limit(0))).count() == 0
+
+
+def test_no_text_is_dropped_before_the_field():
+    texts = lambda page: [b.text for b in maintext.leaf_blocks(page)]
+    assert texts("<html><head><title>T</title><meta charset=x><body><p>One.</p>") == ["One."]
+    assert texts("<head><title>T <b> x</title><link rel=x><style>p{}</style><p>One.</p>") == ["One."]
+    assert texts("<head><title>T</title>Bare text<p>One.") == ["Bare text", "One."]
+    assert texts("<head><noscript><link rel=x></noscript><title>T</title></head><body><p>One.") == ["One."]
+    for tag in ("object", "svg", "math", "canvas", "audio", "video", "template", "noscript", "iframe"):
+        assert "The rest." in texts(f"<p>One.</p><{tag}><p>Two.</p><div>The rest.</div>"), tag
+    for tag in ("title", "textarea", "select", "datalist"):
+        assert "The rest." in texts(f"<p>One.</p><{tag}><option>x</option><div>The rest.</div>"), tag
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><noscript><p>Plain.</p></noscript><object>Old.</object></article>") == ["Let x=2 hold.", "Plain.", "Old."]
+    assert texts("<p>One.</p><script>var a = '<p>';</script><style>p{}</style><select><option>No</option></select><p>Two.</p>") == ["One.", "Two."]
