@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ SURVIVORS = 1 << 15
 SLACK = 1e-6
 
 
+@lru_cache(maxsize=64)
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(7).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -117,7 +119,7 @@ def cosine_components(vectors: DataFrame, least: float = 0.95, blocks: int = 4,
     """(``id_col``, ``n_links``, ``component_id``, ``kept``): one row per row of ``vectors``.
 
     Two vectors are linked when their cosine in double precision is at least ``least``. Vectors that are null, empty or
-    zero, hold null or non-finite components, or are not of the commonest length (the larger one in a tie) have no links.
+    zero, or hold null or non-finite components have no links; vectors of different lengths are never linked.
     ``component_id`` is the smallest id reachable; ``kept`` is whether that is the row's own. Repeated rows are linked
     copies and count each. A row without an id takes part, but names no component; where no row has an id it is null, and
     ``kept`` false. Extra columns are not read. An empty table gives an empty one.
@@ -130,53 +132,53 @@ def cosine_components(vectors: DataFrame, least: float = 0.95, blocks: int = 4,
     cleaned = vectors.select(F.col(id_col).alias("key"), F.col(vector_col).cast("array<double>").alias("v")).select(
         "key", F.when(F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.col("v")).alias("v"))
     rows, _ = write_table(cleaned.select("key", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("cls"), "v"), "vectors")
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = lengths["dim"] if lengths else 1
-    rows = rows.withColumn("cls", F.when(F.size("v") == dim, F.col("cls")))
-    classes, _ = write_table(rows.where("cls is not null").groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("mult")), "vector-classes")
-
-    bounds = block_bounds(dim, blocks)
-    turn = rotation(dim)
-    radius = [math.sqrt((2 - 2 * least) * (b - a) / dim * (1 + SLACK)) + 1e-9 for a, b in bounds]
+    classes, _ = write_table(
+        rows.where("cls is not null").groupBy("cls").agg(F.first("v").alias("v"), F.count("*").alias("mult")), "vector-classes")
+
     if grid_dims is None:
         grid_dims = max(1, math.ceil(math.log(max(classes.count(), 1) / CHUNK, 3))) if least < 1 else 1
-    dims = [min(grid_dims, b - a, 5) for a, b in bounds]
+
+    def grid(dim: int) -> list[tuple[int, int, float]]:
+        """(first coordinate, gridded coordinates, radius) of each block of vectors of length ``dim``."""
+        return [(a, min(grid_dims, b - a, 5), math.sqrt((2 - 2 * least) * (b - a) / dim * (1 + SLACK)) + 1e-9) for a, b in block_bounds(dim, blocks)]
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, mult, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            all_cls, all_mult, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for v in batch.column(2):
-                packed.append(np.asarray(v.as_py(), np.float64).tobytes())
-            if not packed:
-                continue
-            x = rotated(unit_rows(packed, dim), turn)
-            for block, (a, _) in enumerate(bounds):
-                scaled = x[:, a: a + dims[block]] / (2 * radius[block])
-                home = np.floor(scaled).astype(np.int64)
-                below = scaled - home <= 0.5
-                for mask in range(1 << dims[block]):
-                    down = np.array([(mask >> k) & 1 for k in range(dims[block])])
-                    own = np.flatnonzero((below | (down == 0)).all(axis=1))
-                    if len(own):
-                        cell = ((home[own] - down + 512) * 1024 ** np.arange(dims[block])).sum(axis=1)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(own), block, np.int32)), pa.array(cell), pa.array(np.full(len(own), mask, np.int32)),
-                             pa.array(cls[own]), pa.array(mult[own]), pa.array([packed[k] for k in own], pa.binary())],
-                            names=["block", "cell", "mask", "cls", "mult", "v"])
-
-    cells = classes.select("cls", "mult", "v").mapInArrow(to_cells, "block int, cell long, mask int, cls long, mult long, v binary")
+                vectors.append(np.asarray(v.as_py(), np.float64).tobytes())
+            lengths = np.array([len(v) // 8 for v in vectors], np.int64)
+            for dim in np.unique(lengths).tolist():
+                these = np.flatnonzero(lengths == dim)
+                cls, mult, packed = all_cls[these], all_mult[these], [vectors[k] for k in these]
+                x = rotated(unit_rows(packed, dim), rotation(dim))
+                for block, (a, dims, radius) in enumerate(grid(dim)):
+                    scaled = x[:, a: a + dims] / (2 * radius)
+                    home = np.floor(scaled).astype(np.int64)
+                    below = scaled - home <= 0.5
+                    for mask in range(1 << dims):
+                        down = np.array([(mask >> k) & 1 for k in range(dims)])
+                        own = np.flatnonzero((below | (down == 0)).all(axis=1))
+                        if len(own):
+                            cell = ((home[own] - down + 512) * 1024 ** np.arange(dims)).sum(axis=1)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(own), dim, np.int32)), pa.array(np.full(len(own), block, np.int32)), pa.array(cell), pa.array(np.full(len(own), mask, np.int32)),
+                                 pa.array(cls[own]), pa.array(mult[own]), pa.array([packed[k] for k in own], pa.binary())],
+                                names=["dim", "block", "cell", "mask", "cls", "mult", "v"])
+
+    cells = classes.select("cls", "mult", "v").mapInArrow(to_cells, "dim int, block int, cell long, mask int, cls long, mult long, v binary")
     cells, _ = write_table(cells, "cells")
-    crowds = cells.groupBy("block", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    crowds = cells.groupBy("dim", "block", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
     part = F.pmod("cls", F.col("parts")).cast("int")
     dealt = (
-        cells.join(crowds, ["block", "cell"]).withColumn("part", part)
+        cells.join(crowds, ["dim", "block", "cell"]).withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("block", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"),
+        .select("dim", "block", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"),
                 "mask", "cls", "mult", "v")
     )
 
     def compare(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        block, _, lo, hi = keys
+        dim, block, _, lo, hi = keys
         frame = frame.sort_values("cls", kind="stable")
         sides = [frame, frame] if lo == hi else [frame[~frame["right"]], frame[frame["right"]]]
         none = pd.DataFrame({"cls": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
@@ -188,7 +190,7 @@ def cosine_components(vectors: DataFrame, least: float = 0.95, blocks: int = 4,
         cls = np.concatenate([f["cls"].to_numpy() for f in sides]) if lo != hi else sides[0]["cls"].to_numpy()
         shift = len(left) if lo != hi else 0
         links, forest = np.zeros(len(cls), np.int64), Forest(len(cls))
-        for p, q in count_links(left, right, masks, block, bounds, turn, least, lo == hi):
+        for p, q in count_links(left, right, masks, block, block_bounds(dim, blocks), rotation(dim), least, lo == hi):
             np.add.at(links, p, mult[1][q])
             np.add.at(links, q + shift, mult[0][p])
             forest.join(p, q + shift)
@@ -196,7 +198,7 @@ def cosine_components(vectors: DataFrame, least: float = 0.95, blocks: int = 4,
         return pd.DataFrame({"cls": cls[own], "links": links[own], "root": cls[forest.label[own]]})
 
     found, _ = write_table(
-        dealt.groupBy("block", "cell", "lo", "hi").applyInPandas(compare, "cls long, links long, root long"), "links")
+        dealt.groupBy("dim", "block", "cell", "lo", "hi").applyInPandas(compare, "cls long, links long, root long"), "links")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "cls"})
 

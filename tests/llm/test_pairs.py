@@ -107,6 +107,23 @@ def test_cosine_odd_tables(spark):
     assert sorted(str(tuple(r)) for r in got) == sorted(["(None, 1, None, False)", "(None, 1, None, False)", "(3, 0, 3, True)"])
 
 
+def test_cosine_of_every_length(spark):
+    random = np.random.default_rng(9)
+    rows = []
+    for dim, bases in ((8, 12), (5, 6), (2, 3), (1, 1)):
+        for _ in range(bases):
+            base = random.standard_normal(dim)
+            rows += [(base + random.normal(0, 0.1, dim)).tolist() for _ in range(4)]
+    rows += [list(rows[-6]), list(rows[-6]), [1.0, 0.0, 0.0], [2.0, 0.0, 0.0]]
+    schema = "vec_id long, embedding array<double>"
+    got = subspace.cosine_components(spark.createDataFrame(list(enumerate(rows)), schema).repartition(3)).collect()
+    unit = [np.array(v) / np.linalg.norm(v) for v in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if len(rows[a]) == len(rows[b]) and unit[a] @ unit[b] >= 0.95]
+    want = closure(range(len(rows)), links)
+    assert {len(rows[a]) for a, _ in links} == {1, 2, 3, 5, 8}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (sum(k in x for x in links), want[k]) for k in range(len(rows))}
+
+
 def test_components(spark):
     random = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 60, (45, 2))] + [(100 + k, 101 + k) for k in range(20)] + [(500, k) for k in range(501, 520)]
