@@ -168,3 +168,74 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     prints = fingerprints(recordings.withColumn("sound", F.when(F.octet_length("audio") > 0, F.xxhash64("audio"))))
     return align(prints, F.col("conv_id") % 100 == 0, sound_col="sound").select(
         "conv_id", "turn", "n_prints", "n_queries", "shift", "overlap", "error_rate", F.crc32("prints").alias("prints_crc32"), "cls", "matches")
+
+
+def _license_sql() -> str:
+    from drawbook.llm.licenses import scan_sql
+
+    return scan_sql()
+
+
+@query("op11_license_rules", _license_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.licenses import scan_licenses
+
+    return scan_licenses(read(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("lic_words").alias("n_words"), F.size("lic_places").cast("long").alias("n_base"),
+        F.get("lic_places", F.lit(0)).cast("long").alias("first_word"), F.get("lic_places", F.size("lic_places") - 1).cast("long").alias("last_word"),
+        F.array_join("lic_base_labels", ",").alias("base_labels"), F.array_join("lic_labels", ",").alias("labels"), F.col("lic_score").alias("score"))
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Rounds written out; a distance and a centroid's number are one integer, so the least one settles ties."""
+    each = ",".join
+    parts = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, q FROM v ORDER BY h, q LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        squared = "list_sum(list_transform(range(1, %d), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT" % (dims + 1)
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT v.id, min({squared} * {k} + c.c) AS best FROM v, c{r} c GROUP BY v.id)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (SELECT best % {k} AS c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{r} JOIN v ON a{r}.id = v.id, unnest(range(1, {dims + 1})) AS u(i) GROUP BY ALL),
+n{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN n{r} n ON o.c = n.c)""")
+    return f"""WITH {each(parts)}
+SELECT vec_id, (best % {k})::INTEGER AS cluster, (best // {k})::BIGINT AS distance, (sum(best // {k}) OVER (PARTITION BY best % {k}))::BIGINT AS cluster_inertia,
+       (sum(best // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(f.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v ON a{rounds}.id = v.id JOIN c{rounds} f ON f.c = best % {k}"""
+
+
+@query("op12_centroid_tables", _centroid_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.centroids import cluster_vectors
+
+    return cluster_vectors(read(spark, folder, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_prefix_trie", r"""
+WITH table256 AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+dig AS (SELECT *, left(sha256(length(role)::VARCHAR || ':' || role || text), 32) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM src),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS n, digest, words FROM dig),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM src), table256),
+r AS (SELECT c.conv_id, n, digest, words FROM c JOIN o ON o.conv_id = c.base AND n <= h UNION ALL SELECT c.conv_id, n, digest, words FROM c JOIN o ON o.conv_id = c.conv_id AND n > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS key, words FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM (SELECT conv_id, depth, key, words FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM c)),
+g AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY key, depth),
+k AS MATERIALIZED (SELECT g.key, g.depth, count(x.key) AS n_children FROM g LEFT JOIN g x ON x.depth = g.depth + 1 AND left(x.key, length(x.key) - 32) = g.key GROUP BY g.key, g.depth),
+a AS (SELECT d.key, d.depth, u.up, d.n_convs, d.words, d.n_children FROM (SELECT g.*, k.n_children FROM g JOIN k ON g.key = k.key) d, unnest(range(d.depth + 1)) AS u(up)),
+s AS (SELECT left(key, up * 32) AS key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM a GROUP BY ALL)
+SELECT g.conv_id, g.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, g.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved::BIGINT AS saved_tokens, g.ends_sha256
+FROM g JOIN k ON g.key = k.key JOIN s ON g.key = s.key LEFT JOIN g b ON g.depth > 0 AND b.key = left(g.key, length(g.key) - 32)""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from drawbook.llm.trie import prefix_trie
+
+    return prefix_trie(read(spark, folder, "conversations"))
