@@ -38,20 +38,20 @@ gpl-3.0 | covered | you may convey covered works to others for the sole purpose
 agpl-3.0 | network | if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network
 agpl-3.0 | affero | the gnu affero general public license is a free copyleft license for software and other kinds of works
 lgpl-2.1 | lesser | this license the lesser general public license applies to some specially designated software packages
-lgpl-3.0 | additional | this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+lgpl-3.0 | lesser | this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
 gfdl | document | the purpose of this license is to make a manual textbook or other functional and useful document free
-mpl-1.1 | covered | the contents of this file are subject to the mozilla public license version 1 1
+mpl-1.1 | mozilla | the contents of this file are subject to the mozilla public license version 1 1
 mpl-2.0 | source | this source code form is subject to the terms of the mozilla public license v 2 0
 epl-1.0 | agreement | the accompanying program is provided under the terms of this eclipse public license agreement
 epl-2.0 | eclipse | this program and the accompanying materials are made available under the terms of the eclipse public license(?: v| version)? 2 0
-cddl-1.0 | cddl | the contents of this file are subject to the terms of the common development and distribution license
+cddl-1.0 | development | the contents of this file are subject to the terms of the common development and distribution license
 cpl-1.0 | common | the accompanying program is provided under the terms of this common public license agreement
 zlib | origin | the origin of this software must not be misrepresented you must not claim that you wrote the original software
 zlib | altered | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 unlicense | unencumbered | this is free and unencumbered software released into the public domain
 wtfpl | want | you just do what the fuck you want to
 cc0-1.0 | waives | affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
-cc-by | attribution | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by | credit | you must give appropriate credit provide a link to the license and indicate if changes were made
 cc-by-sa | transform | if you remix transform or build upon the material you must distribute your contributions under the same license as the original
 cc-by-nc | commercial | you may not use the material for commercial purposes
 cc-by-nd | transform | if you remix transform or build upon the material you may not distribute the modified material
@@ -63,14 +63,14 @@ ofl-1.1 | font | the fonts? (?:and derivatives )?(?:is|are)(?: \S+){0,4} license
 ofl-1.1 | font | the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects
 python-2.0 | python | psf is making python available to licensee on an as is basis
 openssl | openssl | this product includes software developed by the openssl project for use in the openssl toolkit
-ms-pl | microsoft | this license governs use of the accompanying software if you use the software you accept this license
+ms-pl | accompanying | this license governs use of the accompanying software if you use the software you accept this license
 odbl-1.0 | database | the licensor is not liable for any use of the database
 bsl-1.1 | production | the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
 sspl-1.0 | service | if you make the functionality of the program or a modified version available to third parties as a service
 elastic-2.0 | hosted | you may not provide the software to third parties as a hosted or managed service
-openrail | restrictions | you agree not to use the model or derivatives of the model in any way that violates
+openrail | violates | you agree not to use the model or derivatives of the model in any way that violates
 all-rights-reserved | reproduced | no part of this (?:publication|book|work|document) may be reproduced(?: \S+){0,12} without(?: the)? prior(?: written)? permission
-proprietary | confidential | this (?:document|file|software) (?:is|contains)(?: \S+){0,3} (?:confidential|proprietary)(?: and (?:confidential|proprietary))? information
+proprietary | information | this (?:document|file|software) (?:is|contains)(?: \S+){0,3} (?:confidential|proprietary)(?: and (?:confidential|proprietary))? information
 [notice]
 apache-2.0 | apache | licensed under the apache license version 2 0(?: the license)?
 apache-2.0 | apache | (?:released|distributed|available|published|provided) under (?:the )?(?:terms of the )?apache license(?: version 2| v 2| v2| 2)(?: 0)?
@@ -116,7 +116,7 @@ perl | perl | you can redistribute it and or modify it under the same terms as p
 unlicense | unlicense | (?:licensed|released|distributed|available) (?:under|into|with) (?:the )?unlicense
 wtfpl | wtfpl | (?:licensed|released|distributed|available) under (?:the )?wtfpl
 ofl-1.1 | font | (?:licensed|released|distributed|available) under (?:the )?(?:sil )?open font licen[cs]e
-cc-by-nc-sa | noncommercial | (?:licensed|released|distributed|available|published) under (?:a|the) creative commons attribution non ?commercial share ?alike
+cc-by-nc-sa | creative | (?:licensed|released|distributed|available|published) under (?:a|the) creative commons attribution non ?commercial share ?alike
 cc-by-nc-nd | derivs | (?:licensed|released|distributed|available|published) under (?:a|the) creative commons attribution non ?commercial no derivs
 cc-by-nc | cc | (?:licensed|released|distributed|available|published) under (?:a |the )?cc by nc(?: [1234] [05])?
 cc-by-sa | cc | (?:licensed|released|distributed|available|published) under (?:a |the )?cc by sa(?: [1234] [05])?
@@ -245,9 +245,12 @@ boost-1.0 | boost | boost software licen[cs]e(?: version 1 0| v 1 0| v1 0| 1 0)
 artistic-2.0 | artistic | artistic licen[cs]e(?: version 2| v 2| v2| 2)(?: 0)?
 ofl-1.1 | font | (?:sil )?open font licen[cs]e(?: version 1 1| v 1 1| v1 1| 1 1)
 eupl-1.2 | european | european union public licen[cs]e(?: version 1 2| v 1 2| v1 2| 1 2)
-bsd-4-clause | bsd | (?:original bsd|4 clause bsd|bsd 4 clause)(?: licen[cs]e)?
-bsd-3-clause | bsd | (?:new bsd|modified bsd|revised bsd|3 clause bsd|three clause bsd|bsd 3 clause)(?: licen[cs]e)?
-bsd-2-clause | bsd | (?:simplified bsd|2 clause bsd|two clause bsd|bsd 2 clause)(?: licen[cs]e)?
+bsd-4-clause | bsd | (?:original|4 clause) bsd(?: licen[cs]e)?
+bsd-4-clause | bsd | bsd 4 clause(?: licen[cs]e)?
+bsd-3-clause | bsd | (?:new|modified|revised|3 clause|three clause) bsd(?: licen[cs]e)?
+bsd-3-clause | bsd | bsd 3 clause(?: licen[cs]e)?
+bsd-2-clause | bsd | (?:simplified|2 clause|two clause) bsd(?: licen[cs]e)?
+bsd-2-clause | bsd | bsd 2 clause(?: licen[cs]e)?
 cc-by-nc-sa-4.0 | cc | cc by nc sa 4 0
 cc-by-nc-nd-4.0 | cc | cc by nc nd 4 0
 cc-by-nc-4.0 | cc | cc by nc 4 0
@@ -318,7 +321,7 @@ permissive | permissive | permissive(?: open source| free software)? licen[cs]e
 open-source | source | open source licen[cs]e
 free-software | software | free software licen[cs]e
 license-file | file | see(?: the)? licen[cs]e file(?: for details)?
-license-reference | licensed | (?:licensed|released) under(?: the| a)?(?: \S+){1,4}? licen[cs]e
+license-reference | under | (?:licensed|released) under(?: the| a)?(?: \S+){1,4}? licen[cs]e
 terms-of-use | terms | subject to (?:the|these|our) terms (?:of use|of service|and conditions)
 copyright | copyright | copyright(?: c)? (?:19|20)\S+
 """
