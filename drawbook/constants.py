@@ -116,3 +116,23 @@ HEADER_WORDS = [
 TREND_TITLES = ["progress summary", "trend summary", "cumulative summary"]
 LINE_TOLERANCE = 3.0
 DATE_COLUMN_PAD = 6.0
+
+# Words of header lines under a table's first header line, and what they name.
+TIER_WORDS = ["optimal", "moderate", "high", "low", "borderline"]
+UPPER_TIER_WORDS = ["moderate", "high", "borderline"]
+CURRENT_SUBLABELS = ["non-optimal", "in range", "out of range"]
+STANDALONE_FLAGS = ["H", "L", "HH", "LL"]
+PHRASE_GAP = 12.0
+RULE_LEFT_TOLERANCE = 12.0
+SECTION_TITLE = r"(?i)^[A-Za-z][A-Za-z&/-]*(?:\s+[A-Za-z][A-Za-z&/-]*){0,7}\s+Report\z"
+# The layout with four labelled columns, one accession and one collection date a page.
+ACCESSION_HEADER = ["Test", "Name", "Results", "Reference", "Range", "Units"]
+ACCESSION_LABELS = ["Acc#", "Coll. Date:", "Report Status:"]
+ACCESSION_WORDS = [
+    "negative", "positive", "trace", "normal", "abnormal", "yellow", "straw", "amber", "colorless", "clear", "hazy",
+    "cloudy", "turbid", "n/a", "none seen", "not detected", "detected", "rare", "few", "moderate", "many", "small",
+    "large", "1+", "2+", "3+", "4+",
+]
+ACCESSION_NOTES = ["stage", "grade", "class", "risk", "probability", "morning", "afternoon", "evening", "note", "comment",
+                   "method", "performed", "reference"]
+ACCESSION_INDENT = 8.0
