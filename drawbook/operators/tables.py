@@ -290,8 +290,8 @@ def is_table_header(tokens: Column, above: Column) -> Column:
 
 
 def line_facts(pages: DataFrame) -> DataFrame:
-    """Pages of lines with ``facts``: what each line is by itself."""
-    base = compute_once(pages, said=F.transform("lines", lambda line: F.struct(
+    """Pages with ``facts``: what each of their lines is by itself."""
+    base = compute_once(page_lines(pages), said=F.transform("lines", lambda line: F.struct(
         line["line_no"].alias("no"), line["words"].alias("words"), joined(line["words"]).alias("text"), F.transform(line["words"], lambda w: header_token(w["text"])).alias("tokens")))).drop("lines")
 
     def fact(e: Column, i: Column) -> Column:
@@ -318,24 +318,27 @@ def line_facts(pages: DataFrame) -> DataFrame:
                         accession=found(page_text, r"Acc#\s*([A-Za-z0-9-]+)"))
 
 
-def with_open_state(pages: DataFrame) -> DataFrame:
-    """What earlier pages of a document leave open: title, section, trend; and the day of each order of the document."""
+def open_state(pages: DataFrame) -> DataFrame:
+    """What earlier pages of a document leave open, for each page: title, section, trend; the day of each order of the
+    document, and its layout. Pages take part with their few titles and openers only."""
     w = Window.partitionBy("doc_id").orderBy("page")
     earlier, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    titles = F.transform(F.filter("facts", lambda f: f["title"].isNotNull()), lambda f: f["title"])
-    opened = F.filter("facts", lambda f: f["order"].isNotNull() | f["day"].isNotNull())
+    events = F.transform(F.filter("facts", lambda f: f["title"].isNotNull() | f["trend"] | f["header"]), lambda f: F.struct(
+        f["title"].alias("title"), f["trend"].alias("trend"), f["header"].alias("header"), f["inline"].alias("inline")))
+    opened = F.transform(F.filter("facts", lambda f: f["order"].isNotNull() | f["day"].isNotNull()), lambda f: F.struct(f["order"].alias("order"), f["day"].alias("day")))
 
     def section(s: Column, e: Column) -> Column:
         order = F.when(e["order"].isNotNull(), e["order"]).when(e["day"].isNotNull() & F.coalesce(s["day"] != e["day"], F.lit(False)), F.lit(None)).otherwise(s["order"])
         return F.struct(order.alias("order"), F.coalesce(e["day"], F.when(e["order"].isNull() | s["order"].isNull() | (e["order"] == s["order"]), s["day"])).alias("day"))
 
     nothing = F.struct(F.lit(None).cast("string").alias("order"), F.lit(None).cast("string").alias("day"))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(opened), F.lit(1))), lambda n: F.aggregate(F.slice(opened, F.lit(1), n), nothing, section)),
-                     lambda p: p["order"].isNotNull() & p["day"].isNotNull())
-    read = compute_once(pages, last_title=last_of(titles), page_section=F.when(F.size(opened) > 0, F.aggregate(opened, nothing, section)), pairs=pairs)
+    read = compute_once(pages.select(*PAGE, "looks_accession", "facts"), events=events, opened=opened).drop("facts")
+    states = F.transform(F.sequence(F.lit(1), F.greatest(F.size("opened"), F.lit(1))), lambda n: F.aggregate(F.slice("opened", F.lit(1), n), nothing, section))
+    read = compute_once(read, states=F.when(F.size("opened") > 0, states).otherwise(F.array())).drop("opened")
     read = read.withColumns({
-        "in_title": F.last("last_title", ignorenulls=True).over(earlier), "in_section": F.last("page_section", ignorenulls=True).over(earlier),
-        "accession_layout": F.max("looks_accession").over(whole), "orders": F.flatten(F.collect_list("pairs").over(whole))})
+        "in_title": F.last(last_of(F.filter(F.transform("events", lambda e: e["title"]), lambda t: t.isNotNull())), ignorenulls=True).over(earlier),
+        "in_section": F.last(last_of(F.col("states")), ignorenulls=True).over(earlier), "accession_layout": F.max("looks_accession").over(whole),
+        "orders": F.flatten(F.collect_list(F.filter("states", lambda p: p["order"].isNotNull() & p["day"].isNotNull())).over(whole))})
 
     def event(s: Column, e: Column) -> Column:
         changed = e["title"].isNotNull() & ~e["title"].eqNullSafe(s["title"])
@@ -343,9 +346,8 @@ def with_open_state(pages: DataFrame) -> DataFrame:
         return F.struct(F.coalesce(e["title"], s["title"]).alias("title"), trend.alias("trend"))
 
     start = F.struct(F.col("in_title").alias("title"), F.lit(None).cast("boolean").alias("trend"))
-    read = compute_once(read, page_trend=F.when(F.exists("facts", lambda f: f["trend"]) | F.col("in_title").isNotNull() | F.exists("facts", lambda f: f["header"]),
-                                                F.aggregate("facts", start, event)["trend"]))
-    return read.withColumn("in_trend", F.coalesce(F.last("page_trend", ignorenulls=True).over(earlier), F.lit(False))).drop("last_title", "page_section", "pairs", "page_trend", "looks_accession")
+    read = compute_once(read, page_trend=F.aggregate("events", start, event)["trend"])
+    return read.select(*PAGE, "in_title", "in_section", "accession_layout", "orders", F.coalesce(F.last("page_trend", ignorenulls=True).over(earlier), F.lit(False)).alias("in_trend"))
 
 
 ROLE = "struct<no:int,role:string,header:int,order:string,day:string>"
@@ -413,7 +415,10 @@ def roles_by_accession() -> Column:
 
 def page_roles(pages: DataFrame) -> DataFrame:
     """Pages (``words``) with ``facts``, ``roles`` of all lines, ``layout`` and ``problem`` (why nothing on the page is read)."""
-    state = with_open_state(line_facts(page_lines(pages)))
+    # Pages are spread by page, so that a long document is no task of its own; only the summaries meet by document.
+    facts = line_facts(pages.repartition(*PAGE)).drop("looks_accession")
+    # A sort-merge join keeps them spread, where a broadcast of few pages would leave them with the summaries' documents.
+    state = facts.hint("merge").join(open_state(line_facts(pages.repartition(*PAGE))), PAGE)
     read = compute_once(state, roles=F.when(F.col("accession_layout"), roles_by_accession()).otherwise(roles_in_columns()))
     has = lambda role: F.exists("roles", lambda r: r["role"] == role)
     printed = F.coalesce(F.col("acc_printed"), F.col("acc_day"))
@@ -433,7 +438,7 @@ def line_roles(pages: DataFrame) -> DataFrame:
 
 def tables_of(header: Column) -> Column:
     """The table of header line ``header`` of a page: bounds of its columns, and the right edge of the names."""
-    fact = lambda no: F.get(F.filter("facts", lambda f: f["no"] == no), F.lit(0))
+    fact = lambda no: F.get("facts", no)
     above = F.transform(F.flatten(F.transform(F.filter("facts", lambda f: (f["no"] < header) & (f["no"] >= header - 3) & ~f["header"]), lambda f: f["words"])), lambda w: F.struct(
         w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text")))
     more = F.transform(F.filter("roles", lambda r: (r["role"] == "refining") & (r["header"] == header)), lambda r: fact(r["no"])["words"])
@@ -471,30 +476,45 @@ def table_lines(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     heads = F.transform(F.filter("roles", lambda r: r["role"] == "header"), lambda r: r["no"])
     read = compute_once(read, tables=F.when(F.col("problem").isNull(), F.transform(heads, tables_of)).otherwise(F.array()))
 
+    def told(r: Column) -> Column:
+        words = F.transform(F.get("facts", r["no"])["words"], lambda w: F.struct(
+            r["no"].alias("ln"), w["x0"].alias("x0"), w["x1"].alias("x1"), (w["y1"] - w["y0"]).alias("h"), w["text"].alias("text"), ((w["y0"] + w["y1"]) / 2).alias("c"),
+            (is_cell(w["text"]) | is_threshold(w["text"])).alias("result")))
+        return F.struct(r["no"].alias("no"), r["header"].alias("header"), r["role"].alias("role"), r["order"].alias("order"), r["day"].alias("day"), words.alias("words"))
+
+    read = compute_once(read, body=F.transform(F.filter("roles", lambda r: r["role"].isin("row", "heading")), told)).drop("facts", "roles")
+
+    def row(first: Column, title: Column, ruled: bool, right: Column, held: Column, words: Column) -> Column:
+        return F.struct(first["no"].alias("line_no"), title.alias("title"), F.lit(ruled).alias("ruled"), right.alias("right"), held.alias("held"), words.alias("words"),
+                        first["order"].alias("order_id"), first["day"].alias("section_day"))
+
     def rows(t: Column) -> Column:
-        mine = F.filter("roles", lambda r: (r["header"] == t["header"]) & r["role"].isin("row", "heading"))
-        flat = F.flatten(F.transform(mine, lambda r: let(F.get(F.filter("facts", lambda f: f["no"] == r["no"]), F.lit(0)), lambda f: F.transform(f["words"], lambda w: F.struct(
-            f["no"].alias("ln"), w["x0"].alias("x0"), w["x1"].alias("x1"), (w["y1"] - w["y0"]).alias("h"), w["text"].alias("text"), ((w["y0"] + w["y1"]) / 2).alias("c"),
-            (is_cell(w["text"]) | is_threshold(w["text"])).alias("result"))))))
         near = F.filter("rules", lambda u: (F.abs(u["x0"] - t["left"]) < C.RULE_LEFT_TOLERANCE) & (u["x1"] > F.get(t["bounds"], F.lit(0))["x1"]))
-        edge = F.array_min(F.transform(F.filter(near, lambda u: u["x1"] < t["right"]), lambda u: u["x1"]))
-        ys = F.array_sort(F.array_distinct(F.transform(F.filter(near, lambda u: u["x1"] >= edge - 1), lambda u: F.round(u["y"], 2))))
-        plain_rows = F.transform(mine, lambda r: F.struct(r["no"].alias("line_no"), (r["role"] == "heading").alias("title"), F.lit(False).alias("ruled"), t["right"].alias("right"), F.lit(True).alias("held"),
-                                                          F.filter(flat, lambda w: w["ln"] == r["no"]).alias("words")))
 
-        def banded(s: Column) -> Column:
-            bands = F.transform(s["ys"], lambda y, i: F.filter(s["flat"], lambda w: (w["c"] >= y) & (w["c"] < F.get(s["ys"], i + 1))))
-            apart = F.filter(s["flat"], lambda w: ~F.coalesce((w["c"] >= F.array_min(s["ys"])) & (w["c"] < F.array_max(s["ys"])), F.lit(False)))
-            both = F.concat(F.transform(bands, lambda b: F.struct(F.lit(True).alias("held"), b.alias("words"))), F.array(F.struct(F.lit(False).alias("held"), apart.alias("words"))))
-            return F.transform(F.filter(both, lambda b: F.size(b["words"]) > 0), lambda b: F.struct(
-                F.get(b["words"], F.lit(0))["ln"].alias("line_no"), F.lit(False).alias("title"), F.lit(True).alias("ruled"), s["edge"].alias("right"), b["held"].alias("held"), b["words"].alias("words")))
+        def placed(s: Column) -> Column:
+            def banded(ys: Column) -> Column:
+                flat = F.flatten(F.transform(s["mine"], lambda m: m["words"]))
+                band = lambda w: F.size(F.filter(ys, lambda y: y <= w["c"]))
+                sorted_in = F.transform(flat, lambda w: F.struct(band(w).alias("band"), w.alias("w")))
+
+                def gathered(all_words: Column) -> Column:
+                    last = F.size(ys)
+                    bands = F.array_sort(F.array_distinct(F.transform(all_words, lambda a: a["band"])))
+                    of = lambda b: F.transform(F.filter(all_words, lambda a: a["band"] == b), lambda a: a["w"])
+                    return F.transform(bands, lambda b: let(of(b), lambda words: row(
+                        F.get(F.filter(s["mine"], lambda m: m["no"] == F.get(words, F.lit(0))["ln"]), F.lit(0)), F.lit(False), True, s["edge"], (b > 0) & (b < last), words)))
 
-        return F.when(edge.isNotNull(), let(F.struct(ys.alias("ys"), flat.alias("flat"), edge.alias("edge")), banded)).otherwise(plain_rows)
+                return let(sorted_in, gathered)
+
+            ys = F.array_sort(F.array_distinct(F.transform(F.filter(s["near"], lambda u: u["x1"] >= s["edge"] - 1), lambda u: F.round(u["y"], 2))))
+            plain = F.transform(s["mine"], lambda m: row(m, m["role"] == "heading", False, t["right"], F.lit(True), m["words"]))
+            return F.when(s["edge"].isNotNull(), let(ys, banded)).otherwise(plain)
+
+        edge = F.array_min(F.transform(F.filter(near, lambda u: u["x1"] < t["right"]), lambda u: u["x1"]))
+        return let(F.struct(F.filter("body", lambda b: b["header"] == t["header"]).alias("mine"), near.alias("near"), edge.alias("edge")), placed)
 
-    section = lambda no: F.get(F.filter("roles", lambda r: r["no"] == no), F.lit(0))
     listed = F.flatten(F.transform("tables", lambda t: F.transform(rows(t), lambda r: F.struct(
-        t.alias("table"), r["line_no"].alias("line_no"), r["title"].alias("title"), r["ruled"].alias("ruled"), r["right"].alias("right"), r["held"].alias("held"), r["words"].alias("words"),
-        section(r["line_no"])["order"].alias("order_id"), section(r["line_no"])["day"].alias("section_day")))))
+        t.alias("table"), *[r[c].alias(c) for c in ("line_no", "title", "ruled", "right", "held", "words", "order_id", "section_day")]))))
     return compute_once(read, listed=listed).select(*PAGE, "layout", "problem", F.inline_outer("listed"))
 
 
@@ -638,10 +658,8 @@ def read_tables(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
             .when(row_is_prose(c("words"), c("right"), bounds), "note").when(~F.exists("tokens", within) & ~F.exists("tokens", lambda t: t["ambiguous"]), "note")
             .when(c("printed_name") == "", "nameless").otherwise("result"))
     rows = compute_once(rows, kind=kind)
-    by_section = Window.partitionBy("doc_id", F.when(acc, F.lit("")).otherwise(F.concat_ws("|", "order_id", "section_day"))).orderBy("page", "line_no")
     title = F.when(c("kind") == "heading", F.when(acc, F.trim(F.regexp_replace("band", _CONTINUED, ""))).otherwise(c("band")))
-    rows = rows.withColumn("heading", F.last(title, ignorenulls=True).over(by_section.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.filter(~c("kind").isin("heading", "note") & ~((c("kind") == "page") & c("problem").isNull()))
+    rows = rows.withColumn("own_title", title).filter((c("kind") != "note") & ~((c("kind") == "page") & c("problem").isNull()))
 
     acc_text = F.transform("tokens", lambda t: F.when(one_of(F.lower(t["text"]), C.ACCESSION_WORDS), F.struct(
         t["own"].alias("own"), t["text"].alias("text"), F.array(t["text"]).alias("parts"), t["start"].alias("start"), F.lit(True).alias("shaped"), t["eligible"].alias("eligible"),
@@ -657,8 +675,10 @@ def read_tables(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     nothing = "array<struct<column_no:int,column_kind:string,printed_day:string,text:string,flag:string,bad:string>>"
     alone = F.array(F.struct(*[F.lit(None) for _ in range(6)])).cast(nothing)
     out = rows.withColumn("one", F.when(c("kind") == "result", one.cast(nothing)).otherwise(alone)).select(
-        *PAGE, "line_no", table["header"].alias("header_line"), "layout", "order_id", "heading", "kind", row_reason.alias("row_reason"), "printed_name", "flag_text", "unit", "lab_code", "range_said", "tiers",
+        *PAGE, "line_no", table["header"].alias("header_line"), "layout", "order_id", "section_day", "own_title", "kind", row_reason.alias("row_reason"), "printed_name", "flag_text", "unit", "lab_code", "range_said", "tiers",
         F.inline("one"))
+    by_section = Window.partitionBy("doc_id", F.when(acc, F.lit("")).otherwise(F.concat_ws("|", "order_id", "section_day"))).orderBy("page", "line_no")
+    out = out.withColumn("heading", F.last("own_title", ignorenulls=True).over(by_section.rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter(c("kind") != "heading")
     code = F.when(c("lab_code") != "", F.concat(F.lit("("), c("lab_code"), F.lit(")")))
     name = text.squash(F.regexp_replace(F.when(code.isNotNull(), F.replace("printed_name", code, F.lit(""))).otherwise(c("printed_name")), r"\(\d+\)", ""))
     day = dates.valid_day(dates.date_key(c("printed_day")))

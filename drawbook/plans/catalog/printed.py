@@ -11,15 +11,16 @@ from drawbook.operators import tables as T
 from drawbook.plans.registry import cte, query
 from drawbook.sources.tables import table
 
-ROWS = 24
+ROWS, WORDS = 24, 8
 _WORDS = ", ".join(f"'{w}'" for w in NOT_PERFORMED_WORDS + QUALITATIVE_WORDS)
 
-# Every word of every document becomes a printed row: its letters are part of the name, its length decides what the cells
-# print. Pages of four documents in five hold two tables of twelve rows in the columns layout, every third page with rules
+# Every eight words of every document become a printed row: their letters are part of the name, their length decides what
+# the cells print. Pages of four documents in five hold two tables of twelve rows in the columns layout, every third page with rules
 # around the rows and names on two lines; those of the fifth hold one table in the accession layout.
 cte("printed_words", rf"""
 WITH t AS (SELECT doc_id, regexp_split_to_array(text, '[ \n]') AS l FROM documents),
-k AS (SELECT doc_id, k, length(l[k + 1]) AS n, regexp_replace(lower(l[k + 1]), '[^a-z]', '', 'g') AS w FROM t, unnest(range(len(l))) AS u(k))
+g AS (SELECT doc_id, k, array_to_string(l[{WORDS} * k + 1:{WORDS} * k + {WORDS}], '') AS j FROM t, unnest(range((len(l) + {WORDS} - 1) // {WORDS})) AS u(k)),
+k AS (SELECT doc_id, k, length(j) AS n, regexp_replace(lower(j), '[^a-z]', '', 'g') AS w FROM g)
 SELECT doc_id, k // {ROWS} AS page, k % {ROWS} AS r, n, n % 10 AS v, w, doc_id % 5 = 4 AS acc, (k // {ROWS}) % 3 = 2 AS ruled, (k // {ROWS}) % 2 = 1 AS odd,
        make_date(2026, CAST(doc_id % 12 + 1 AS INTEGER), CAST((k // {ROWS}) % 27 + 1 AS INTEGER)) AS day FROM k""")
 
@@ -53,7 +54,8 @@ UNION ALL SELECT *, 'GENERAL CHEMISTRY' FROM (SELECT * FROM g UNION ALL SELECT *
 def printed_pages(spark, folder):
     """Pages of positioned words; see the view ``printed_words``."""
     word_list = F.split("text", "[ \\n]")
-    items = F.transform(word_list, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(F.lower(w), "[^a-z]", "").alias("w")))
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(word_list) / WORDS).cast("int") - 1), lambda i: F.array_join(F.slice(word_list, i * WORDS + 1, F.lit(WORDS)), ""))
+    items = F.transform(groups, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(F.lower(w), "[^a-z]", "").alias("w")))
     base = table(spark, folder, "documents").select("doc_id", items.alias("items"))
     last = F.ceil(F.size("items") / ROWS).cast("int") - 1
     base = base.select("doc_id", "items", F.explode(F.sequence(F.lit(0), last)).alias("page")).select(
