@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.constants import BODY_FAT_BANDS, GOAL_SCORE, TIER_SCORES, VAT_BANDS
+from drawbook.functions import cells
 from drawbook.functions.plan import compute_once
 
 
@@ -54,7 +55,8 @@ def range_pct(tier, away, lab) -> Column:
 def with_score(df: DataFrame, prefix: str, value: str, lo: Column, hi: Column) -> DataFrame:
     """Add ``<prefix>_pct`` and ``<prefix>_tier``.
 
-    Distance, tier and percentage are separate projections, so each is evaluated once per row and the generated
+    A categorical result is the printed word of ``<prefix>_disp``: expected words are good, others moderate, and a test
+    without a word has no score. Distance, tier and percentage are separate projections, so each is evaluated once per row and the generated
     code stays small enough to be compiled.
     """
     c = F.col
@@ -64,10 +66,13 @@ def with_score(df: DataFrame, prefix: str, value: str, lo: Column, hi: Column) -
     treated = F.coalesce(c("on_trt"), F.lit(False))
     df = df.withColumns({"_lo": lo, "_hi": hi})
     df = df.withColumn("_away", widths_outside(v, c("_lo"), c("_hi")))
+    worded = c("kind") == "categorical"
+    printed = F.coalesce(c(f"{prefix}_disp"), F.lit("")) if f"{prefix}_disp" in df.columns else F.lit("")
+    good = F.when(v.isNull() & (printed != ""), cells.is_good(printed))
     df = df.withColumn("_tier", F.when(bounded, bounded_tier(
-        v, c("direction"), c("optimal"), c("moderate"), c("inclusive"), c("moderate_inclusive"))).otherwise(
+        v, c("direction"), c("optimal"), c("moderate"), c("inclusive"), c("moderate_inclusive"))).when(worded, categorical_tier(good)).otherwise(
         range_tier(v, c("_lo"), c("_hi"), away, lab)))
-    df = df.withColumn("_pct", F.when(bounded, bounded_pct(tier, v, c("direction"), c("optimal"), c("moderate"))).otherwise(
+    df = df.withColumn("_pct", F.when(bounded, bounded_pct(tier, v, c("direction"), c("optimal"), c("moderate"))).when(worded, categorical_pct(good)).otherwise(
         range_pct(tier, away, lab)))
     return compute_once(df, **{
         f"{prefix}_pct": F.when(low, F.when(treated, 96).otherwise(20)).otherwise(F.bround(c("_pct")).cast("int")),

@@ -83,7 +83,7 @@ def score_markers(markers: DataFrame) -> DataFrame:
     """Scores of now and then, with the treatment rule for low values; no *then* value, no *then* score."""
     scored = scoring.with_score(markers, "now", "now_value", F.col("lo"), F.col("hi"))
     scored = scoring.with_score(scored, "then", "then_value", F.col("then_lo"), F.col("then_hi"))
-    scored = scored.withColumn("then_tier", F.when(F.col("then_value").isNotNull(), F.col("then_tier")))
+    scored = scored.withColumn("then_tier", F.when(F.col("then_value").isNotNull() | (F.col("kind") == "categorical"), F.col("then_tier")))
     return scored.withColumn("system", system_of(F.col("category")))
 
 

@@ -179,13 +179,15 @@ def latest_per_subject(rows: DataFrame) -> DataFrame:
 
 
 def contributing_pages(obs: DataFrame) -> DataFrame:
-    """Label of the copies behind one result in one document; the page list is bounded by that document."""
-    return obs.groupBy("subject_id", "doc_id", "test", "day").agg(
+    """Label of the copies behind one result in one document, with the section ``heading`` of its first copy where the
+    rows carry one; the page list is bounded by that document."""
+    heading = F.col("heading") if "heading" in obs.columns else F.lit(None).cast("string")
+    grouped = obs.withColumn("heading", heading).groupBy("subject_id", "doc_id", "test", "day").agg(
         F.array_join(F.array_sort(F.collect_set("page")), ", ").alias("pages"),
-        F.count(F.lit(1)).alias("copies"),
-    ).withColumn("label", F.concat(
-        F.lit("Order "), F.col("doc_id").cast("string"), F.lit(" (collected "), F.date_format("day", "MM/dd/yyyy"),
-        F.lit("); pages "), F.col("pages")))
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("ord", "row_no", "heading"))["heading"].alias("heading"))
+    return grouped.withColumn("label", F.concat(
+        F.lit("Order "), F.col("doc_id").cast("string"), F.lit(" (collected "), F.date_format("day", "MM/dd/yyyy"), F.lit(")"),
+        F.coalesce(F.concat(F.lit("; "), F.nullif("heading", F.lit(""))), F.lit("")), F.lit("; pages "), F.col("pages"))).drop("heading")
 
 
 def draw_bounds(obs: DataFrame) -> DataFrame:

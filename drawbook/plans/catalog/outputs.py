@@ -118,10 +118,13 @@ def key_events(spark, folder):
     return table(spark, folder, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("silent_sessions", "X1", """
+_SESSIONS = """
 WITH g AS (SELECT user_id AS key, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 21600000000 THEN 0 ELSE 1 END AS opens FROM events),
 s AS (SELECT *, sum(opens) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events FROM s GROUP BY key, n""")
+SELECT key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events FROM s GROUP BY key, n"""
+
+
+@query("silent_sessions", "X1", _SESSIONS)
 def silent_sessions(spark, folder):
     return jobs.sessions(key_events(spark, folder), gap_seconds=6 * 3600)
 
@@ -133,13 +136,14 @@ def stale_keys(spark, folder):
     return jobs.stale_keys(key_events(spark, folder), F.lit("2024-01-31 10:00:00"), gap_seconds=6 * 3600)
 
 
-@query("silent_sessions_stream", "X1")
+@query("silent_sessions_stream", "X1", _SESSIONS)
 def silent_sessions_stream(spark, folder):
     source = spark.readStream.schema(table(spark, folder, "events").schema).option("maxFilesPerTrigger", 1).option(
         "pathGlobFilter", "events.parquet").parquet(folder)
     events = source.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     at = new_path(spark, "stream")
-    jobs.write_sessions(events, f"{at}/sessions", f"{at}/state", gap_seconds=6 * 3600).awaitTermination()
+    for run in (jobs.write_sessions, jobs.close_sessions):
+        run(events, f"{at}/sessions", f"{at}/state", gap_seconds=6 * 3600).awaitTermination()
     return spark.read.schema("key bigint, first_seen timestamp, last_seen timestamp, events bigint").parquet(f"{at}/sessions")
 
 
@@ -161,6 +165,6 @@ def incremental_reconcile(spark, folder):
         F.lit(None).cast("string").alias("flag"), F.lit(None).cast("double").alias("range_lo"), F.lit(None).cast("double").alias("range_hi"),
         F.lit(None).cast("string").alias("range_display"), F.lit(None).cast("string").alias("unit"))
     at = new_path(spark, "stream")
-    jobs.reconcile_stream(rows, f"{at}/observations", f"{at}/results", f"{at}/state").awaitTermination()
-    return jobs.current_results(spark, f"{at}/results").select(
+    jobs.reconcile_stream(rows, f"{at}/verdicts", f"{at}/state").awaitTermination()
+    return jobs.current_results(spark, f"{at}/verdicts").select(
         "subject_id", "test", "results", "then_day", "then_value", "now_day", "now_value")

@@ -151,14 +151,15 @@ def coalesce_mentions(spark, folder):
 
 
 @query("provenance_labels", "C33", """
-WITH p AS (SELECT subject_id, doc_id, test, day, count(*) AS copies FROM obs GROUP BY ALL),
+WITH p AS (SELECT subject_id, doc_id, test, day, count(*) AS copies, first(CASE page % 3 WHEN 0 THEN 'LIPID PANEL' WHEN 1 THEN '' END ORDER BY ord, row_no) AS heading FROM obs GROUP BY ALL),
 u AS (SELECT DISTINCT subject_id, doc_id, test, day, page FROM obs),
 l AS (SELECT subject_id, doc_id, test, day, string_agg(page, ', ' ORDER BY page) AS pages FROM u GROUP BY ALL)
 SELECT subject_id, doc_id, test, day, pages, copies,
-       'Order ' || doc_id || ' (collected ' || strftime(day, '%m/%d/%Y') || '); pages ' || pages AS label
+       'Order ' || doc_id || ' (collected ' || strftime(day, '%m/%d/%Y') || ')' || coalesce('; ' || nullif(heading, ''), '') || '; pages ' || pages AS label
 FROM p JOIN l USING (subject_id, doc_id, test, day)""", ("obs",))
 def provenance_labels(spark, folder):
-    return R.contributing_pages(B.observations(spark, folder))
+    heading = F.when(F.col("page") % 3 == 0, "LIPID PANEL").when(F.col("page") % 3 == 1, "")
+    return R.contributing_pages(B.observations(spark, folder).withColumn("heading", heading))
 
 
 @query("draw_bounds", "W1", """

@@ -1,12 +1,15 @@
 """Conservation, order-independence, skew and the stream jobs."""
 
 import datetime as dt
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from drawbook.operators import checks as C
 from drawbook.operators import layout as L
+from drawbook.operators import ledger as G
 from drawbook.operators import reads as D
 from drawbook.operators import reconcile as R
 from drawbook.sources import stores
@@ -119,13 +122,86 @@ def test_gap_of_exactly_the_limit_is_one_session(spark):
     assert sorted(r.events for r in jobs.sessions(df, 120).collect()) == [1, 2]
 
 
-def test_stream_reconciles_late_batches_like_one_batch(spark, tmp_path):
+@pytest.fixture
+def late_batches(spark, tmp_path):
+    """Observations in three files, read one a batch."""
     rows = obs_rows(120)
     source = tmp_path / "in"
     for i in range(3):
         frame(spark, rows[i::3]).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(stores.OBSERVATION_DDL).option("maxFilesPerTrigger", 1).parquet(str(source))
-    jobs.reconcile_stream(stream, str(tmp_path / "o"), str(tmp_path / "r"), str(tmp_path / "s")).awaitTermination()
+    jobs.reconcile_stream(stream, str(tmp_path / "v"), str(tmp_path / "s")).awaitTermination()
+    return rows, stream, tmp_path
+
+
+def test_stream_reconciles_late_batches_like_one_batch(spark, late_batches):
+    rows, stream, at = late_batches
     want = R.reconcile(R.accepted(R.dedupe_sources(frame(spark, rows))))
-    got = jobs.current_results(spark, str(tmp_path / "r")).select(*want.columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = lambda: sorted(map(str, jobs.current_results(spark, str(at / "v")).select(*want.columns).collect()))
+    assert got() == sorted(map(str, want.collect()))
+    # Compacted verdicts give the same; a run without new rows changes nothing.
+    jobs.compact_verdicts(spark, str(at / "v"), str(at / "c"))
+    assert sorted(map(str, jobs.current_results(spark, str(at / "c")).select(*want.columns).collect())) == got()
+    jobs.reconcile_stream(stream, str(at / "v"), str(at / "s")).awaitTermination()
+    assert got() == sorted(map(str, want.collect()))
+
+
+def test_a_batch_touches_its_own_keys_only(spark, late_batches):
+    _, _, at = late_batches
+    keys = lambda df: {tuple(r) for r in df.select("subject_id", "test", "day").collect()}
+    written = [spark.read.parquet(str(at / "v" / f"batch={k}")) for k in range(3)]
+    sources = [keys(spark.read.parquet(str(f))) for f in sorted((at / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)]
+    assert sorted(len(keys(w)) for w in written) == sorted(map(len, sources)) and {frozenset(keys(w)) for w in written} == {frozenset(s) for s in sources}
+
+
+def test_open_sessions_come_out_when_the_stream_ends(spark, tmp_path):
+    schema = "key long, ts timestamp"
+    make = lambda rows: spark.createDataFrame([(k, dt.datetime(2024, 1, 1, 0, m)) for k, m in rows], schema)
+    first, second = [(1, 0), (1, 1), (2, 3), (None, 4)], [(1, 2), (2, 30), (3, 30)]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    ends = (str(tmp_path / "out"), str(tmp_path / "state"))
+    out = lambda: sorted(map(str, spark.read.schema("key long, first_seen timestamp, last_seen timestamp, events long").parquet(ends[0]).collect()))
+    for rows in (first, second):
+        make(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.write_sessions(source, *ends, 120).awaitTermination()
+    whole = sorted(map(str, jobs.sessions(make(first + second), 120).collect()))
+    assert out() != whole
+    jobs.close_sessions(source, *ends, 120).awaitTermination()
+    assert out() == whole
+
+
+def test_names_are_compared_without_the_lab_code(spark):
+    schema = "doc_id long, page long, read_no long, name string, section string, result_text string, flag string, reference string, illegible boolean, column_role string, lab_code string"
+    row = lambda read, name, code=None: (1, 1, read, name, "S", "5", None, "1-9", False, "in_range", code)
+    rows = [row(0, "TESTOSTERONE, MS AMD", "AMD"), row(1, "TESTOSTERONE,  MS"), row(0, "ESTROGENS, TOTAL, IA", "IA"), row(1, "ESTROGENS, TOTAL, IA"), row(0, "IRON (AMD)"), row(1, " IRON"), row(0, "AMD"), row(1, "AMD")]
+    pages = spark.createDataFrame([(1, 1, 2)], "doc_id long, page long, reads int")
+    got = {r["name"]: r["agreed"] for r in D.agree(spark.createDataFrame(rows, schema), pages).collect()}
+    assert got == {"TESTOSTERONE, MS": True, "ESTROGENS, TOTAL, IA": True, "IRON": True, "AMD": True}
+
+
+def test_faults_of_a_read_are_named_by_their_path(spark):
+    row = {"name": "T", "result_text": "5", "flag": None, "illegible": False, "column": "in_range", "reference_range": None, "lab_code": None, "page": 3, "section": None}
+    page = {"page": 3, "specimen_id": None, "collected": None, "footer": None, "patient_name": None, "date_of_birth": None, "illegible": False, "rows": [row, row],
+            "out_of_range_summary": None, "urine_note_printed": False}
+    entry = {"name": None, "result_text": None, "flag": "L", "illegible": True}
+    cases = [
+        (page, None, None), ({**page, "out_of_range_summary": [entry]}, None, None), ({**page, "rows": []}, None, None), ("[1]", "type", "$"), ("{", "invalid_json", "$"), ("null", "type", "$"),
+        ({**page, "more": 1}, "keys", "$"), ({k: v for k, v in page.items() if k != "footer"}, "keys", "$"), ({**page, "rows": None}, "type", "$.rows"), ({**page, "page": 3.5}, "type", "$.page"),
+        ({**page, "page": True}, "type", "$.page"), ({**page, "illegible": None}, "type", "$.illegible"), ({**page, "footer": 5}, "type", "$.footer"),
+        ({**page, "rows": [row, {**row, "flag": "HH"}]}, "enum", "$.rows[1].flag"), ({**page, "rows": [row, {**row, "extra": 1}]}, "keys", "$.rows[1]"),
+        ({**page, "rows": [{**row, "column": 7}]}, "type", "$.rows[0].column"), ({**page, "rows": ["x"]}, "type", "$.rows[0]"), ({**page, "rows": [row, {**row, "page": 4}]}, "page_number", "$.rows[1].page"),
+        ({**page, "page": 4}, "page_number", "$.page"), ({**page, "out_of_range_summary": [entry, {**entry, "illegible": None}]}, "type", "$.out_of_range_summary[1].illegible"),
+        ({**page, "out_of_range_summary": {}}, "type", "$.out_of_range_summary")]
+    raw = spark.createDataFrame([(1, 3, k, c if isinstance(c, str) else json.dumps(c)) for k, (c, _, _) in enumerate(cases)], "doc_id long, page long, read_no long, json string")
+    out = D.ingest_reads(raw)
+    assert {r["read_no"]: (r["reason"], r["path"]) for r in out.collect()} == {k: case[1:] for k, case in enumerate(cases)}
+    assert D.read_rows(out).count() == 4 and D.read_summaries(out).count() == 1
+
+
+def test_the_ledger_shows_what_is_missing(spark):
+    rows = spark.createDataFrame([(1,), (1,), (1,), (2,)], "subject_id long")
+    kept, lost = rows.limit(1), spark.createDataFrame([(1, "conflict"), (2, "page")], "subject_id long, cause string")
+    entries = G.ledger(G.taken(rows, "days", "subject", "subject_id"), G.given(kept, "days", "subject", "subject_id", F.lit(None)), G.given(lost, "days", "subject", "subject_id", F.col("cause")))
+    got = {r["unit_id"]: (r["rows_in"], r["kept"], r["left_out"], r["issues"], r["residue"]) for r in G.balance(entries).collect()}
+    assert got == {1: (3, 1, 1, "conflict 1", 1), 2: (1, 0, 1, "page 1", 0)}
