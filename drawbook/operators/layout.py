@@ -75,24 +75,30 @@ def line_text() -> Column:
 
 
 def group_cells(lines: DataFrame) -> DataFrame:
-    """Cells of each line: a gap wider than 0.6 of the smaller word height starts a new one; fixed phrases join."""
+    """Cells of each line: a gap wider than 0.6 of the smaller word height starts a new one; the words of a fixed phrase
+    join however far apart they stand, but only if the next words are the whole phrase."""
     shape = "array<struct<x0:double,x1:double,h:double,text:string>>"
-    start = F.array().cast(shape)
+    phrases = sorted(MULTIWORD_CELLS, key=lambda p: -len(p.split()))
 
-    def step(out: Column, w: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        height = w["y1"] - w["y0"]
-        phrase = F.lower(F.concat_ws(" ", last["text"], w["text"]))
-        fixed = F.lit(False)
-        for known in MULTIWORD_CELLS:
-            fixed = fixed | F.lit(known).startswith(phrase)
-        joins = (F.size(out) > 0) & (((w["x0"] - last["x1"]) <= F.least(height, last["h"]) * 0.6) | fixed)
-        merged = F.struct(last["x0"].alias("x0"), w["x1"].alias("x1"), height.alias("h"), F.concat_ws(" ", last["text"], w["text"]).alias("text"))
-        fresh = F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), height.alias("h"), w["text"].alias("text"))
-        head = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
-        return F.when(joins, F.array_append(head, merged)).otherwise(F.array_append(out, fresh))
+    def fold(lowered: Column) -> Column:
+        def mark(w: Column, i: Column) -> Column:
+            hits = [F.when(F.array_join(F.slice(lowered, i + 1, len(p.split())), " ") == p, F.lit(len(p.split()))) for p in phrases]
+            return F.struct(w.alias("w"), F.coalesce(*hits, F.lit(1)).alias("n"))
 
-    return compute_once(lines, cells=F.aggregate("words", start, step))
+        def step(s: Column, m: Column) -> Column:
+            w, last = m["w"], F.get(s["out"], F.size(s["out"]) - 1)
+            height = w["y1"] - w["y0"]
+            joins = (F.size(s["out"]) > 0) & ((s["skip"] > 0) | (((w["x0"] - last["x1"]) <= F.least(height, last["h"]) * 0.6)))
+            merged = F.struct(last["x0"].alias("x0"), w["x1"].alias("x1"), height.alias("h"), F.concat_ws(" ", last["text"], w["text"]).alias("text"))
+            fresh = F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), height.alias("h"), w["text"].alias("text"))
+            head = F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))
+            return F.struct(F.when(s["skip"] > 0, s["skip"] - 1).otherwise(m["n"] - 1).alias("skip"),
+                            F.when(joins, F.array_append(head, merged)).otherwise(F.array_append(s["out"], fresh)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("skip"), F.array().cast(shape).alias("out"))
+        return F.aggregate(F.transform("words", mark), start, step, lambda s: s["out"])
+
+    return compute_once(lines, cells=let(F.transform("words", lambda w: F.lower(w["text"])), fold))
 
 
 def header_token(col: Column) -> Column:
@@ -212,8 +218,8 @@ def is_prose(name_right: Column) -> Column:
 def rows_from_cells(pages: DataFrame) -> DataFrame:
     """Observations of each table row: name, result, flag, unit and range by column role.
 
-    One unreadable result excludes only itself (``reason``); a page without a header yields nothing. A row is
-    folded inside the row, so no pivot or shuffle is needed.
+    For tables with one header line and one value column a page; ``tables.read_tables`` reads the others. One unreadable
+    result excludes only itself (``reason``). A row is folded inside the row, so no pivot or shuffle is needed.
     """
     j = body_lines(pages).filter(~is_header_line(F.col("words")))
     placed = F.transform("words", lambda w: F.struct(

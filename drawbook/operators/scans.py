@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawbook.constants import AGE_TOLERANCE_YEARS, BONE_MINERAL_MAX, SCAN_WINDOW_DAYS
-from drawbook.functions import cells, scoring
+from drawbook.functions import cells, scoring, text
 from drawbook.functions.plan import compute_once
 
 MASSES = ["total", "fat", "lean"]
@@ -247,42 +247,47 @@ def settle_fields(fields: DataFrame) -> DataFrame:
     return rows.select(*SCAN, F.inline(F.array_compact(F.array(*[outcome(n) for n in SETTLED]))))
 
 
-def attribute_pages(page_reads: DataFrame, page_days: DataFrame, expected: DataFrame, tolerance: int = AGE_TOLERANCE_YEARS) -> DataFrame:
+PRINTED_AGE = r"(?i)^\s*(?:age\s*:?\s*)?(\d{1,3}(?:\.\d+)?)\s*(?:y|yr|yrs|years?|years old)?\.?\s*\z"
+
+
+def printed_ages(texts: Column) -> Column:
+    """The ages one read prints on a page, in order, as (value, number text); null where a printed age is no number."""
+    said = F.filter(F.transform(texts, lambda t: text.squash(F.coalesce(t, F.lit("")))), lambda t: t != "")
+    number = F.transform(said, lambda t: F.nullif(F.regexp_extract(t, PRINTED_AGE, 1), F.lit("")))
+    return F.when(~F.exists(number, lambda n: n.isNull()), F.array_sort(F.transform(number, lambda n: F.struct(n.cast("double").alias("value"), n.alias("text")))))
+
+
+def attribute_pages(page_reads: DataFrame, expected: DataFrame, tolerance: int = AGE_TOLERANCE_YEARS) -> DataFrame:
     """Which pages of a document are the subject's: by printed name, by age within a clear cluster, or by dates.
 
-    ``page_reads`` has two reads per page (patient_name, age, has_scans), ``page_days`` the scan dates per page and
-    ``expected`` the entered name key and age per document.
+    ``page_reads`` has one row per read of a page: ``patient_name``, ``age_texts`` (header and scan rows, as printed),
+    ``days`` (its readable scan dates) and ``has_scans``. ``expected`` has the entered name key and age per document. A page
+    has an age where all its reads print the same ages; it is the latest of them. An unnamed page with an age is accepted
+    near the median of the document's ages, if more than half of these lie there, and near the entered age; one without
+    only if accepted pages show all its dates. A page needs one aggregate over its reads and a document one pass over its
+    pages: no page is joined to another.
     """
-    from drawbook.functions import text
-
     key = text.person_key(F.col("patient_name"))
-    pages = page_reads.join(expected, "doc_id").groupBy("doc_id", "page").agg(
-        F.count_if(key == F.col("expected_key")).alias("named"), F.count_if((key != "") & (key != F.col("expected_key"))).alias("other"),
-        F.count(F.lit(1)).alias("reads"), F.min("age").alias("age_lo"), F.max("age").alias("age_hi"), F.count("age").alias("ages"),
-        F.bool_or("has_scans").alias("has_scans"), F.max("entered_age").alias("entered_age"))
-    age = F.when((F.col("ages") == F.col("reads")) & (F.col("age_lo") == F.col("age_hi")), F.col("age_hi"))
-    kind = (F.when(F.col("other") > 0, "other").when(F.col("named") == F.col("reads"), "named").when(age.isNotNull(), "aged")
+    each = page_reads.withColumn("ages", printed_ages(F.col("age_texts"))).withColumn("key", key).join(expected, "doc_id")
+    pages = each.groupBy("doc_id", "page").agg(
+        F.count_if(F.col("key") == F.col("expected_key")).alias("named"), F.count_if((F.col("key") != "") & (F.col("key") != F.col("expected_key"))).alias("other"),
+        F.count(F.lit(1)).alias("reads"), F.count("ages").alias("aged_reads"), F.min("ages").alias("ages_lo"), F.max("ages").alias("ages_hi"),
+        F.bool_or("has_scans").alias("has_scans"), F.max("entered_age").alias("entered_age"),
+        F.array_distinct(F.flatten(F.collect_list("days"))).alias("days"))
+    agreed = (F.col("aged_reads") == F.col("reads")) & (F.col("ages_lo") == F.col("ages_hi"))
+    age = F.when(agreed, F.get("ages_lo", F.size("ages_lo") - 1)["value"])
+    kind = (F.when(F.col("other") > 0, "other").when(F.col("named") == F.col("reads"), "named").when(F.col("age").isNotNull(), "aged")
             .when(~F.col("has_scans"), "blank").otherwise("ageless"))
     pages = pages.withColumn("age", age).withColumn("kind", kind)
-    # The median keeps one counter per distinct age, a bounded set.
-    center = pages.filter(F.col("kind").isin("named", "aged") & F.col("age").isNotNull()).groupBy("doc_id", "age").agg(
-        F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
-        F.expr("percentile(age, 0.5, n)").alias("center"), F.sum("n").alias("aged_pages"),
-        F.collect_list(F.struct("age", "n")).alias("ages"))
-    center = center.withColumn("in_band", F.aggregate("ages", F.lit(0).cast("bigint"), lambda acc, s: acc + F.when(
-        F.abs(s["age"] - F.col("center")) <= tolerance, s["n"]).otherwise(0)))
-    j = pages.join(center, "doc_id", "left")
-    clustered = F.col("in_band") * 2 > F.col("aged_pages")
-    aged = (F.when(~clustered, "no_clear_cluster").when(F.abs(F.col("age") - F.col("center")) > tolerance, "age_off_center")
+    document = Window.partitionBy("doc_id")
+    counted = F.when(F.col("kind").isin("named", "aged"), F.col("age"))
+    pages = pages.withColumns({"center": F.median(counted).over(document), "aged_pages": F.count(counted).over(document)})
+    pages = pages.withColumn("in_band", F.count_if(F.abs(counted - F.col("center")) <= tolerance).over(document))
+    aged = (F.when(F.col("in_band") * 2 <= F.col("aged_pages"), "no_clear_cluster").when(F.abs(F.col("age") - F.col("center")) > tolerance, "age_off_center")
             .when(F.abs(F.col("age") - F.col("entered_age")) > tolerance, "age_off_entered").otherwise("accepted_by_age"))
-    verdict = F.when(F.col("kind") == "other", "other_name").when(F.col("kind") == "named", "accepted_by_name").when(
-        F.col("kind") == "blank", "blank").when(F.col("kind") == "aged", aged)
-    first = j.withColumn("verdict", verdict)
-    valid = first.filter(F.col("verdict").isin("accepted_by_name", "accepted_by_age")).select("doc_id", "page")
-    valid_days = page_days.join(valid, ["doc_id", "page"], "left_semi").select("doc_id", "day").distinct()
-    open_days = page_days.join(first.filter(F.col("verdict").isNull()).select("doc_id", "page"), ["doc_id", "page"], "left_semi").distinct()
-    stray = open_days.join(valid_days, ["doc_id", "day"], "left_anti").select("doc_id", "page").distinct().withColumn("stray", F.lit(True))
-    dated = open_days.select("doc_id", "page").distinct().withColumn("dated", F.lit(True))
-    out = first.join(stray, ["doc_id", "page"], "left").join(dated, ["doc_id", "page"], "left")
-    by_date = F.when(F.coalesce("dated", F.lit(False)) & F.col("stray").isNull(), "accepted_by_dates").otherwise("unconfirmed")
-    return out.select("doc_id", "page", "kind", "age", F.coalesce("verdict", by_date).alias("verdict"))
+    first = pages.withColumn("verdict", F.when(F.col("kind") == "other", "other_name").when(F.col("kind") == "named", "accepted_by_name").when(
+        F.col("kind") == "blank", "blank").when(F.col("kind") == "aged", aged))
+    valid = F.when(F.col("verdict").isin("accepted_by_name", "accepted_by_age"), F.col("days"))
+    out = first.withColumn("valid_days", F.array_distinct(F.flatten(F.collect_list(valid).over(document))))
+    shown = (F.size("days") > 0) & (F.size(F.array_except("days", "valid_days")) == 0)
+    return out.select("doc_id", "page", "kind", "age", F.coalesce("verdict", F.when(shown, "accepted_by_dates").otherwise("unconfirmed")).alias("verdict"))

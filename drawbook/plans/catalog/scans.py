@@ -239,8 +239,9 @@ WITH b AS (SELECT o_orderkey // 8 AS doc_id, o_orderkey % 8 AS page, o_orderkey
 r AS (SELECT b.*, x.read_no, CASE WHEN page = 1 AND doc_id % 3 = 0 THEN 'Someone Else' WHEN page = 0 THEN 'DOE, PAT' WHEN page = 2 AND x.read_no = 0 THEN 'Pat Doe' END AS patient_name,
              CASE WHEN page IN (6, 7) THEN NULL WHEN page = 5 THEN 50 + doc_id % 10 WHEN page = 3 AND x.read_no = 1 AND doc_id % 4 = 0 THEN 30 ELSE 40 + doc_id % 10 + k % 3 - 1 END AS age
       FROM b CROSS JOIN (VALUES (0), (1)) x(read_no)),
-g AS (SELECT doc_id, page, count(CASE WHEN patient_name IN ('DOE, PAT', 'Pat Doe') THEN 1 END) AS named, count(CASE WHEN patient_name = 'Someone Else' THEN 1 END) AS other,
+g0 AS (SELECT doc_id, page, count(CASE WHEN patient_name IN ('DOE, PAT', 'Pat Doe') THEN 1 END) AS named, count(CASE WHEN patient_name = 'Someone Else' THEN 1 END) AS other,
              CASE WHEN count(age) = 2 AND min(age) = max(age) THEN max(age) END AS age FROM r GROUP BY ALL),
+g AS (SELECT * REPLACE (CASE WHEN (page = 4 AND doc_id % 7 = 0) OR (page = 3 AND doc_id % 5 = 0) THEN NULL ELSE age::DOUBLE END AS age) FROM g0),
 p AS (SELECT *, CASE WHEN other > 0 THEN 'other' WHEN named = 2 THEN 'named' WHEN age IS NOT NULL THEN 'aged' WHEN page = 7 THEN 'blank' ELSE 'ageless' END AS kind FROM g),
 m AS (SELECT doc_id, median(age) AS center, count(*) AS n FROM p WHERE kind IN ('named', 'aged') AND age IS NOT NULL GROUP BY doc_id),
 w AS (SELECT p.doc_id, count(*) AS in_band FROM p JOIN m USING (doc_id) WHERE kind IN ('named', 'aged') AND abs(age - center) <= 2 GROUP BY p.doc_id),
@@ -261,6 +262,11 @@ def attribute_scan_pages(spark, folder):
     name = F.when((p == 1) & (d % 3 == 0), "Someone Else").when(p == 0, "DOE, PAT").when((p == 2) & (F.col("read_no") == 0), "Pat Doe")
     age = F.when(p.isin(6, 7), None).when(p == 5, 50 + d % 10).when((p == 3) & (F.col("read_no") == 1) & (d % 4 == 0), 30).otherwise(
         40 + d % 10 + F.col("k") % 3 - 1)
-    page_reads = reads.select("doc_id", "page", name.alias("patient_name"), age.alias("age"), (p != 7).alias("has_scans"))
+    # Ages as printed: a header in one of two wordings, a scan row a year earlier; some reads add an age or print a word.
+    number = lambda n: n.cast("int").cast("string")
+    first = F.col("read_no") == 0
+    header = F.when((p == 3) & (d % 5 == 0) & first, "forty").when(first, F.concat(F.lit("Age: "), number(age))).otherwise(F.concat(number(age), F.lit("  yrs.")))
+    texts = F.array(header, number(age - 1), F.when((p == 4) & (d % 7 == 0) & first, "12 y"))
+    page_reads = reads.select("doc_id", "page", name.alias("patient_name"), texts.alias("age_texts"), F.array("day").alias("days"), (p != 7).alias("has_scans"))
     expected = base.select("doc_id").distinct().select("doc_id", F.lit("doe pat").alias("expected_key"), (41 + F.col("doc_id") % 10).alias("entered_age"))
-    return S.attribute_pages(page_reads, base.select("doc_id", "page", "day"), expected)
+    return S.attribute_pages(page_reads, expected)
