@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawbook.constants import (EVIDENCE_LINE_LIMIT, METHODOLOGY_PHRASES, NOTE_SECTIONS, PATIENT_SYSTEMS, PRINTED_DATE,
-                                TREND_TITLES, VITALITY_DOMAINS, VITALITY_VALUES)
+                                SECTION_TITLE, TREND_TITLES, VITALITY_DOMAINS, VITALITY_VALUES)
 from drawbook.functions import dates, text
 from drawbook.functions.plan import compute_once
 
@@ -185,10 +185,11 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def headings(docs: DataFrame) -> DataFrame:
-    """Each non-heading line with the upper-case heading above it; lines under a trend title are restatements."""
+    """Each non-heading line with the heading above it, an upper-case line or a "... Report" title; lines under a trend
+    title are restatements."""
 
     def is_heading(line: Column) -> Column:
-        return (line == F.upper(line)) & line.rlike("^[A-Z][A-Z ,/&-]+\\z") | F.lower(F.trim(line)).isin(TREND_TITLES)
+        return (line == F.upper(line)) & line.rlike("^[A-Z][A-Z ,/&-]+\\z") | F.lower(F.trim(line)).isin(TREND_TITLES) | F.trim(line).rlike(SECTION_TITLE)
 
     seg = explode_segments(docs, is_heading, ["doc_id"])
     heading = F.when(is_heading(F.col("opener")), F.col("opener"))

@@ -119,6 +119,9 @@ def group_rank(col: Column) -> Column:
 def match_reported(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Shown name and group of each unrecognised row, or NULL where it stays on the staff list only.
 
+    Whether a test without a library name is flagged or readable is decided by its printed row: any of the row's cells may
+    carry the flag, the unit or the range.
+
     ``dim`` (alias, canonical, grp) is a fixed library of a few hundred rows and is broadcast.
     """
     urine = is_urinalysis(F.col("section"))
@@ -127,8 +130,11 @@ def match_reported(rows: DataFrame, dim: DataFrame) -> DataFrame:
         F.min("canonical").alias("lo"), F.max("canonical").alias("hi"), F.min("grp").alias("grp"))
     lib = lib.filter(F.col("lo") == F.col("hi")).select("k", "urine", F.col("lo").alias("lib_name"), F.col("grp").alias("lib_group"))
     joined = keyed.join(lib, ["k", "urine"], "left")
-    flagged = F.col("flag").isNotNull()
-    readable = (F.coalesce("unit", F.lit("")) != "") | (F.coalesce("range_display", F.lit("")) != "")
+    printed_row = Window.partitionBy(*[c for c in ("subject_id", "doc_id", "page", "section", "raw_name") if c in rows.columns])
+    joined = joined.withColumns({
+        "row_flagged": F.max(F.col("flag").isNotNull()).over(printed_row),
+        "row_readable": F.max((F.coalesce("unit", F.lit("")) != "") | (F.coalesce("range_display", F.lit("")) != "")).over(printed_row)})
+    flagged, readable = F.col("row_flagged"), F.col("row_readable")
     matched = F.col("lib_name").isNotNull()
     bare = text.squash(F.col("raw_name"))
     name = F.when(matched, F.col("lib_name")).when(

@@ -27,7 +27,7 @@ def report_docs(spark, folder):
             F.concat(F.lit("Collected: "), day, F.lit(" 7:45 AM")))
         facts = F.concat(F.lit("Fasting: "), F.get(F.array(F.lit("Y"), F.lit("N"), F.lit("Unknown"), F.lit("")), (n % 4).cast("int")),
                          F.lit(" Patient: Pat Doe DOB: 3/4/19"), (50 + d % 40).cast("string"), F.lit(" Sex: "), F.when(d % 2 == 0, "Female").otherwise("M"))
-        heading = F.when((d + i) % 3 == 0, "LIPID PANEL").when((d + i) % 3 == 1, "URINALYSIS").otherwise("Progress Summary")
+        heading = F.when((d + i) % 3 == 0, "LIPID PANEL").when((d + i) % 3 == 1, "Urine Screening Report").otherwise("Progress Summary")
         result = F.concat(F.lit("T"), (n % 12).cast("string"), F.lit(" "), F.when(i % 5 == 0, "<").otherwise(""), (n % 97).cast("string"), F.lit("."),
                           (i % 10).cast("string"), F.lit(" mg/dL"), F.when(i % 4 == 0, " H").otherwise(""), F.lit(" reference range 10-30"))
         return F.when(k == 0, order).when(k == 1, dated).when(k == 2, facts).when(k == 3, heading).when(k == 8, line).otherwise(result)
@@ -41,7 +41,7 @@ SELECT doc_id, i AS line_no, raw, n, k,
   CASE k WHEN 0 THEN CASE WHEN doc_id % 4 = 3 AND i >= 9 THEN '--' ELSE 'Order ID: A' || (doc_id % 50) || '-' || (i % 2) END
          WHEN 1 THEN CASE WHEN doc_id % 10 = 9 THEN 'Current ' || us || ' Previous 1/2/2019' ELSE 'Collected: ' || us || ' 7:45 AM' END
          WHEN 2 THEN 'Fasting: ' || (['Y', 'N', 'Unknown', ''])[1 + n % 4] || ' Patient: Pat Doe DOB: 3/4/19' || (50 + doc_id % 40) || ' Sex: ' || CASE WHEN doc_id % 2 = 0 THEN 'Female' ELSE 'M' END
-         WHEN 3 THEN CASE (doc_id + i) % 3 WHEN 0 THEN 'LIPID PANEL' WHEN 1 THEN 'URINALYSIS' ELSE 'Progress Summary' END
+         WHEN 3 THEN CASE (doc_id + i) % 3 WHEN 0 THEN 'LIPID PANEL' WHEN 1 THEN 'Urine Screening Report' ELSE 'Progress Summary' END
          WHEN 8 THEN raw ELSE 'T' || (n % 12) || ' ' || CASE WHEN i % 5 = 0 THEN '<' ELSE '' END || (n % 97) || '.' || (i % 10) || ' mg/dL' || CASE WHEN i % 4 = 0 THEN ' H' ELSE '' END || ' reference range 10-30' END AS line,
   us, strftime(make_date(CAST(2020 + i % 5 AS INTEGER), CAST(1 + (doc_id + i) % 12 AS INTEGER), CAST(1 + n % 28 AS INTEGER)), '%Y-%m-%d') AS iso
 FROM (SELECT *, length(raw) AS n, (1 + (doc_id + i) % 12) || '/' || (1 + length(raw) % 28) || '/' || (2020 + i % 5) AS us

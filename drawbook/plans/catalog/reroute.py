@@ -134,14 +134,15 @@ FROM obs""", ("obs",))
 cte("matched_rows", """
 WITH d AS (SELECT alias, grp = 'Urinalysis' AS urine, min(canonical) AS canonical, min(grp) AS grp FROM lab_dim
            GROUP BY alias, grp = 'Urinalysis' HAVING count(DISTINCT canonical) = 1)
-SELECT u.*, d.canonical IS NULL AS staff_listed,
+SELECT u.* EXCLUDE (row_flagged, row_readable), d.canonical IS NULL AS staff_listed,
        CASE WHEN d.canonical IS NOT NULL THEN d.canonical
-            WHEN flag IS NOT NULL OR coalesce(unit, '') <> '' OR coalesce(range_display, '') <> ''
+            WHEN row_flagged OR row_readable
             THEN CASE WHEN row_no % 5 = 0 THEN 'Urinalysis — ' || raw_name ELSE raw_name END END AS shown_name,
-       CASE WHEN d.canonical IS NOT NULL THEN d.grp WHEN flag IS NOT NULL THEN 'Other Lab-Flagged Results'
-            WHEN coalesce(unit, '') <> '' OR coalesce(range_display, '') <> ''
+       CASE WHEN d.canonical IS NOT NULL THEN d.grp WHEN row_flagged THEN 'Other Lab-Flagged Results'
+            WHEN row_readable
             THEN CASE WHEN row_no % 5 = 0 THEN 'Urinalysis' ELSE coalesce(section, 'Other Lab Results') END END AS shown_group
-FROM unknown_rows u LEFT JOIN d ON d.alias = lower(u.raw_name) AND d.urine = (u.row_no % 5 = 0)""", ("unknown_rows", "lab_dim"))
+FROM (SELECT *, bool_or(flag IS NOT NULL) OVER w AS row_flagged, bool_or(coalesce(unit, '') <> '' OR coalesce(range_display, '') <> '') OVER w AS row_readable
+      FROM unknown_rows WINDOW w AS (PARTITION BY subject_id, doc_id, section, raw_name)) u LEFT JOIN d ON d.alias = lower(u.raw_name) AND d.urine = (u.row_no % 5 = 0)""", ("unknown_rows", "lab_dim"))
 cte("reported", """
 WITH r AS (SELECT *, lower(shown_name) AS item, column_kind = 'current' AS cur, disp || '|' || coalesce(flag, '~') AS sig
            FROM matched_rows WHERE shown_name IS NOT NULL AND (value IS NOT NULL OR disp <> '')),
