@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawbook.llm.rows import free_name
 from drawbook.llm.components import components
 from drawbook.llm.sieve import sieved
 from drawbook.llm.shingles import chunks, mix, shingle_sets
+from drawbook.llm.workers import tidy_group, tidy_task
 from drawbook.session import write_table
 
 SLICES = 256
@@ -71,7 +73,7 @@ def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), *(pa.nulls(SLICES, pa.int64()) for _ in range(3)),
                                               pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"key {key}, th long, n long, sig long, slice int, counts binary")
+    return docs.mapInArrow(tidy_task(run), f"key {key}, th long, n long, sig long, slice int, counts binary")
 
 
 def shingle_order(rows: DataFrame) -> np.ndarray:
@@ -85,8 +87,8 @@ def shingle_order(rows: DataFrame) -> np.ndarray:
         return pd.DataFrame({"slice": [keys[0]], "counts": [total.tobytes()]})
 
     parts = rows.where("slice is not null").select("slice", "counts", (F.spark_partition_id() % 1024).alias("part"))
-    parts = parts.groupBy("slice", "part").applyInPandas(add, "slice int, counts binary")
-    whole = parts.groupBy("slice").applyInPandas(add, "slice int, counts binary")
+    parts = parts.groupBy("slice", "part").applyInPandas(tidy_group(add), "slice int, counts binary")
+    whole = parts.groupBy("slice").applyInPandas(tidy_group(add), "slice int, counts binary")
     out = np.zeros((SLICES, (1 << ORDER_BITS) // SLICES), np.uint64)
     for row in whole.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
@@ -147,7 +149,7 @@ def prefix_blocks(docs: DataFrame, order, width: int, percent: int, blocks: int)
                     yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(run, "block int, hashes binary, rows binary, places binary, sigs binary, sizes binary")
+    return docs.mapInArrow(tidy_task(run), "block int, hashes binary, rows binary, places binary, sigs binary, sizes binary")
 
 
 def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +202,7 @@ def whole_sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sigs[own]), pa.array([hashes[bounds[d]: bounds[d + 1]].tobytes() for d in own], pa.binary())],
                                                  names=["sig", "members"])
 
-    return chosen.mapInArrow(run, "sig long, members binary")
+    return chosen.mapInArrow(tidy_task(run), "sig long, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +222,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked[k] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy_task(run), "a long, b long")
 
 
 def needed(n1: str, n2: str, percent: int) -> Column:
@@ -305,8 +307,8 @@ def open_pairs(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
         both = np.unique(both, axis=0)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    lists = dealt.groupBy("g", "lo", "hi").applyInPandas(meet, "block int, a binary, b binary")
-    return lists.groupBy("block").applyInPandas(once, "a long, b long")
+    lists = dealt.groupBy("g", "lo", "hi").applyInPandas(tidy_group(meet), "block int, a binary, b binary")
+    return lists.groupBy("block").applyInPandas(tidy_group(once), "a long, b long")
 
 
 def text_hash(text_col: str) -> Column:
@@ -327,7 +329,7 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
     total = documents.agg(F.sum("n")).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-total * (100 - percent) // 100 // BLOCK_ENTRIES))
     entries = prefix_blocks(texts, order, width, percent, blocks)
-    met = entries.groupBy("block").applyInPandas(multiply_block, "g long, sig long, n long, place long")
+    met = entries.groupBy("block").applyInPandas(tidy_group(multiply_block), "g long, sig long, n long, place long")
     met, _ = write_table(met, "met-rows")
     order.destroy()
     met = met.groupBy("g", "sig", "n").agg(F.min("place").alias("place"))
@@ -381,11 +383,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "
     judged = rows.where("n > 0").join(first, "root")
     gone = judged.where(~chosen).select("key", "th").distinct()
     twice = judged.where(chosen & (F.col("copies") > 1)).select("key", "th").distinct()
-    marked = docs.withColumn("__th", text_hash(text_col))
-    same = lambda other: marked[id_col].eqNullSafe(other["key"]) & (marked["__th"] == other["th"])
+    th = free_name(docs, "__th")
+    marked = docs.withColumn(th, text_hash(text_col))
+    same = lambda other: marked[id_col].eqNullSafe(other["key"]) & (marked[th] == other["th"])
     kept = marked.join(gone, same(gone), "left_anti")
     some, _ = write_table(twice, "twice")
     if some.isEmpty():
-        return kept.drop("__th")
-    once = kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept["__th"] == some["th"]), "left_semi").dropDuplicates([id_col, "__th"])
-    return kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept["__th"] == some["th"]), "left_anti").union(once).drop("__th")
+        return kept.drop(th)
+    once = kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept[th] == some["th"]), "left_semi").dropDuplicates([id_col, th])
+    return kept.join(some, kept[id_col].eqNullSafe(some["key"]) & (kept[th] == some["th"]), "left_anti").union(once).drop(th)

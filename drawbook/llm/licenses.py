@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from drawbook.functions.plan import compute_once
 from drawbook.llm.license_rules import BASE, parse_signatures
-from drawbook.llm.rows import kept_columns
+from drawbook.llm.rows import Numbered
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,16 +103,17 @@ def scan_licenses(docs: DataFrame, rules: Sequence[dict] | None = None, base: Se
     * Only A-Z are lower-cased; a word is a run of a-z, 0-9 and characters beyond ASCII. Null and empty texts have no
       words, no labels and score 0. Texts are read whole, of any length.
     * Every input row gives one row, repeated rows too; an empty table gives an empty one. Ties between rules go to the
-      earlier one. Input columns named like a result are kept under a free name (``rows.kept_columns``).
+      earlier one. Input columns named like a result are kept under a free name (``rows.kept_names``).
     """
     rules = parse_signatures() if rules is None else rules
     table = F.from_json(F.lit(json.dumps([{k: r[k] for k in ("rank", "weight", "label", "keyword", "pattern")} for r in rules])), RULE)
     keywords = F.array(*[F.lit(k) for k in sorted({r["keyword"] for r in rules})]).cast("array<string>")
-    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER), SEPARATORS, " "))
-    packed = docs.select(F.struct(*kept_columns(docs, RESULTS)).alias("row"), plain.alias("plain"))
+    numbered = Numbered(docs, RESULTS)
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(numbered.column(text_col).cast("string"), F.lit("")), UPPER, LOWER), SEPARATORS, " "))
+    plain_words = numbered.rows.withColumn("plain", plain)
     words = F.when(F.col("plain") == "", F.array().cast("array<string>")).otherwise(F.split("plain", " "))
     spaced = F.when(F.col("plain") == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace("plain", F.lit(" "), F.lit("  ")), F.lit(" ")))
-    read = compute_once(packed, words=words, spaced=spaced).drop("plain")
+    read = compute_once(plain_words, words=words, spaced=spaced).drop("plain")
     read = compute_once(read, lic_words=F.size("words").cast("long"), known=F.array_intersect("words", keywords),
                         bases=F.array(*[phrase_places(F.col("words"), F.col("spaced"), p) for p, _ in base])).drop("words")
     gated = F.when(F.size("known") > 0, F.filter(table, lambda r: F.array_contains("known", r["keyword"]))).otherwise(F.array().cast(RULE))
@@ -125,7 +126,7 @@ def scan_licenses(docs: DataFrame, rules: Sequence[dict] | None = None, base: Se
     found = compute_once(found, lic_places=F.array_sort(F.flatten("bases")), lic_base_labels=named).drop("bases")
     best = F.coalesce(F.array_max(F.transform("lic_hits", lambda h: h["weight"])), F.lit(0.0))
     return found.select(
-        "row.*", "lic_words", "lic_places", "lic_base_labels", "lic_hits",
+        *numbered.restored(), "lic_words", "lic_places", "lic_base_labels", "lic_hits",
         F.array_sort(F.array_union("lic_base_labels", F.transform("lic_hits", lambda h: h["label"]))).alias("lic_labels"),
         F.greatest(best, F.when(F.size("lic_base_labels") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("lic_score"))
 

@@ -16,9 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawbook.llm.rows import Numbered, free_name
 from drawbook.session import write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+RESULTS = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
 
 
 def word_count(text: Column) -> Column:
@@ -63,17 +65,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     * ``mix_copies`` is 0 to ``cap``. A null or empty text has size 0; it may be copied, but takes no words. In a source
       without any words the target is 0 and nothing is copied.
     * Every row counts by itself: repeated rows and null ids are placed like any other (rows equal in id and size share
-      their places in any order). Columns of the input with the names above are replaced. An empty table gives an empty one.
+      their places in any order). Input columns with the names above are kept under a free
+      name (``rows.kept_names``). An empty table gives an empty one.
     * The result depends on ids, sizes and ``seed`` only, not on partitions, so a rerun agrees.
     """
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    table = Numbered(docs, RESULTS)
+    source, ident = table.column(source_col), F.coalesce(table.column(id_col).cast("string"), F.lit(""))
     place = {
-        "mix_size": word_count(F.col(text_col)),
-        "__known": F.col(source_col).isNotNull(),
-        "__source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+        "mix_size": word_count(table.column(text_col)),
+        "__known": source.isNotNull(),
+        "__source": F.coalesce(source.cast("string"), F.lit("")),
         "__bin": F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident)), 1, 3),
     }
-    placed = docs.withColumns(place).withColumn("__class", size_class(F.col("mix_size")))
+    placed = table.rows.withColumns(place).withColumn("__class", size_class(F.col("mix_size")))
     keys = ["__known", "__source", "__class", "__bin"]
     bins, _ = write_table(placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("mix_size").alias("__sum")), "mix-bins")
 
@@ -101,11 +105,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
         .withColumns({"mix_source_size": F.col("__words"), "mix_target": F.col("__target"),
                       "mix_copies": F.least(crossed(at) - crossed(at - 1), F.lit(cap).cast("long"))})
         .withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-        .drop(*keys, "__rank", "__start", "__words", "__target", "__rate", "__offset")
+        .select(*table.restored(), *RESULTS)
     )
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
     """One row per copy of the documents returned by :func:`mix`, without its columns."""
-    columns = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("__copy")).drop("__copy")
+    columns, copy = [c for c in mixed.columns if c not in RESULTS], free_name(mixed, "copy")
+    return mixed.where("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias(copy)).drop(copy)

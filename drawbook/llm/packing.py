@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from drawbook.llm.workers import tidy_task
+
 CACHED_WORDS = 250_000
 # The byte-level tokenizer's word pattern for texts in which \w is a letter, a digit or an underscore.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
@@ -215,5 +217,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         if rows:
             yield as_batch(rows)
 
-    pieces = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    pieces = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy_task(run), schema)
     return pieces.withColumn("length", (F.octet_length("ids") / 4).cast("long"))

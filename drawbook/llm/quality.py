@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawbook.llm.rows import free_name
 from drawbook.llm.shingles import PLACES, RAW_LETTERS, chunks, mix, prefix_hash, span_hashes, word_spans
+from drawbook.llm.workers import tidy_task
 from drawbook.session import write_table
 
 BUCKETS = 1 << 18
@@ -139,21 +141,22 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FoldedModel:
     """Model, folded for scoring, from at most ``rows_per_label`` labelled documents of each label, none of them held out.
 
-    The sample is the smallest hashes of the ids. Labels other than 0 and 1 and ids with both are left out. Without any
-    usable label the model gives every text 0.5.
+    The sample is the smallest hashes of the ids. Labels other than 0 and 1 and ids with both are left out. Of an id with
+    several texts the first in code-point order is learned. Without any usable label the model gives every text 0.5.
     """
     spark = docs.sparkSession
     known = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y2")).where("y = y2").drop("y2")
     )
-    present = known.join(docs.select(F.col(id_col).alias("key")).distinct(), "key")
+    named = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    present = known.join(named.select("key").distinct(), "key")
     present, _ = write_table(present, "labelled")
     totals = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count("*").alias("n")).collect()}
     sample = [present.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(rows_per_label) for y in (0, 1)]
     sample, _ = write_table(sample[0].union(sample[1]), "sample")
-    texts = docs.join(F.broadcast(sample), F.col(id_col) == F.col("key")).select("key", F.col(text_col).cast("string").alias("text"), F.col("y").cast("int"))
-    texts = texts.dropDuplicates(["key"]).orderBy("key").coalesce(1)
+    texts = named.join(F.broadcast(sample), "key").groupBy("key", F.col("y").cast("int").alias("y")).agg(F.min("text").alias("text"))
+    texts = texts.select("key", "text", "y").orderBy("key").coalesce(1)
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 3000, id_col:
 
     if not totals:
         return FoldedModel(np.zeros(BUCKETS, np.float32), 0.0)
-    row = texts.mapInArrow(run, "weights binary, intercept double").first()
+    row = texts.mapInArrow(tidy_task(run), "weights binary, intercept double").first()
     return FoldedModel(np.frombuffer(row["weights"], np.float32), row["intercept"])
 
 
@@ -192,7 +195,7 @@ def score(docs: DataFrame, model: SubwordModel | FoldedModel, text_col: str = "t
     spark = docs.sparkSession
     weights, intercept = spark.sparkContext.broadcast(model.weights()), model.intercept()
     names = [c for c in docs.columns if c.lower() != score_col.lower()]
-    kept = docs.select(*names, F.col(text_col).cast("string").alias("__scored_text"))
+    kept = docs.select(*names, F.col(text_col).cast("string").alias(free_name(docs, "__scored_text")))
     schema = docs.select(*names, F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,4 +205,4 @@ def score(docs: DataFrame, model: SubwordModel | FoldedModel, text_col: str = "t
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*names, score_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy_task(run), schema)

@@ -16,8 +16,16 @@ WINDOW = 2048
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+#: Texts go to Python workers in batches of this many bytes where the session keeps Spark's default, so that what a worker
+#: holds, and never gives back, stays small over many stages.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4m"
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -219,7 +227,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_prefix_trie", r"""
 WITH table256 AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t FROM range(256) AS r(n)),
 src AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-dig AS (SELECT *, left(sha256(length(role)::VARCHAR || ':' || role || text), 32) AS digest, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM src),
+dig AS (SELECT *, left(sha256(length(role)::VARCHAR || ':' || role || text), 32) AS digest, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM src),
 o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS n, digest, words FROM dig),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
              xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 4 AS h

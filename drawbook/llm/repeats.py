@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawbook.llm.rows import free_name
 from drawbook.llm.induced import repeated_windows
 from drawbook.llm.sieve import sieved
 from drawbook.llm.shingles import RAW_LETTERS, chunks, prefix_hash, span_hashes
+from drawbook.llm.workers import tidy_group, tidy_task
 from drawbook.session import write_table
 
 GRAM = 40
@@ -137,7 +139,7 @@ def anchor_rows(texts: DataFrame, width: int, blocks: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(run, "block int, hashes binary, ths binary, runs binary, weights binary, th long, own binary, copied boolean")
+    return texts.mapInArrow(tidy_task(run), "block int, hashes binary, ths binary, runs binary, weights binary, th long, own binary, copied boolean")
 
 
 def meet_anchors(frame: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +211,7 @@ def segment_rows(chosen: DataFrame, width: int, shards: int) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return chosen.mapInArrow(run, "shard int, data binary, lengths binary, segments binary, ths binary, starts binary, copied binary")
+    return chosen.mapInArrow(tidy_task(run), "shard int, data binary, lengths binary, segments binary, ths binary, starts binary, copied binary")
 
 
 def sort_shard(frame: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -274,7 +276,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     blocks = max(spark.sparkContext.defaultParallelism, -(-total * 2 // (width - GRAM) // BLOCK_ANCHORS))
     anchors, _ = write_table(anchor_rows(long, width, blocks), "anchors")
     met = anchors.where("block is not null").select("block", "hashes", "ths", "runs", "weights").groupBy("block").applyInPandas(
-        meet_anchors, "th long, own binary, copied boolean")
+        tidy_group(meet_anchors), "th long, own binary, copied boolean")
     runs = (
         anchors.where("th is not null").select("th", "own", "copied").union(met)
         .groupBy("th", "own").agg(F.count("*").alias("n"), F.max("copied").alias("copied"))
@@ -284,9 +286,10 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
     named = runs.agg(F.sum(F.aggregate("owns", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-(named // 4) * (width + (width - GRAM) // 2) // SHARD_BYTES))
     segments = segment_rows(sieved(long, "th", runs, "th").join(runs, "th").select("th", "text", "owns", "copied"), width, shards)
-    found = segments.groupBy("shard").applyInPandas(lambda frame: sort_shard(frame, width), "th long, lo long, hi long")
-    ranges = found.groupBy("th", "lo").agg(F.max("hi").alias("hi")).groupBy(F.col("th").alias("__th")).agg(
-        F.collect_list("lo").alias("__lo"), F.collect_list("hi").alias("__hi"))
+    found = segments.groupBy("shard").applyInPandas(tidy_group(lambda frame: sort_shard(frame, width)), "th long, lo long, hi long")
+    at, los, his = (free_name(docs, n) for n in ("__th", "__lo", "__hi"))
+    ranges = found.groupBy("th", "lo").agg(F.max("hi").alias("hi")).groupBy(F.col("th").alias(at)).agg(
+        F.collect_list("lo").alias(los), F.collect_list("hi").alias(his))
 
     new = ["rep_n_bytes", "rep_n_removed", "rep_n_spans", "rep_kept_sha256", "rep_text"]
     names = [c for c in docs.columns if c.lower() not in new]
@@ -311,6 +314,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, *new])
 
     return (
-        docs.select(*names, F.xxhash64(text).alias("__th")).join(ranges, "__th", "left")
-        .select(*names, "__lo", "__hi").mapInArrow(cut, schema)
+        docs.select(*names, F.xxhash64(text).alias(at)).join(ranges, at, "left")
+        .select(*names, los, his).mapInArrow(tidy_task(cut), schema)
     )

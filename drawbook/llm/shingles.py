@@ -26,6 +26,11 @@ PLACES = _random.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
+def forget_powers() -> None:
+    """Free the tables of powers; the next text makes them again."""
+    _powers.clear()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawbook.llm.rows import Numbered
+
+RESULTS = ["host", "path", "rule", "verdict"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,8 +53,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     depth = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("labels"), F.max(F.size(F.split("r_path", "/")) - 1).alias("slashes")).first()
     labels, slashes = depth["labels"] or 0, depth["slashes"] or 0
 
-    host, path = split_url(F.col(url_col))
-    judged = pages.withColumns({"host": host, "path": path})
+    table = Numbered(pages, RESULTS)
+    host, path = split_url(table.column(url_col))
+    judged = table.rows.withColumns({"host": host, "path": path})
     parts, steps = F.split("u_host", r"\."), F.split("u_path", "/")
     suffixes = F.transform(F.sequence(F.greatest(F.size("u_labels") - F.lit(labels - 1), F.lit(1)), F.size("u_labels")),
                            lambda i: F.array_join(F.slice("u_labels", i, F.size("u_labels")), "."))
@@ -71,7 +75,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .groupBy("u_host", "u_path").agg(winner.alias("u_won"))
     )
     return (
-        judged.drop("rule", "verdict").join(verdicts, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left")
-        .withColumns({"rule": F.col("u_won.r_rule"), "verdict": F.coalesce("u_won.r_verdict", F.lit(default))})
-        .drop("u_host", "u_path", "u_won")
+        judged.join(verdicts, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left")
+        .select(*table.restored(RESULTS), "host", "path", F.col("u_won.r_rule").alias("rule"), F.coalesce("u_won.r_verdict", F.lit(default)).alias("verdict"))
     )
