@@ -9,8 +9,8 @@ The kept entries are cut into blocks of columns, which travel as arrays. A block
 columns with the same rows count as one. A pair of rows is dropped where their sizes and the places of the shared column
 show that they can't reach the overlap that their sizes require. What is left is verified on whole sets.
 
-Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: in a few turns each row
-is paired with some hubs of its columns. Rows that verified pairs join need no further comparison. Of columns that still
+Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: each row is paired first
+with one hub of each of its columns, and where that leaves components apart, with some more. Rows that verified pairs join need no further comparison. Of columns that still
 hold several components, blocks of rows list the pairs that lie apart and may match; these are verified too. No pair is
 capped or left out.
 """
@@ -34,8 +34,9 @@ from drawbook.session import write_table
 
 SLICES = 256
 ORDER_BITS = 20
-HUBS, HUB_TURNS = 8, 2
+FIRST_HUBS, HUBS, HUB_TURNS = 1, 8, 2
 CHUNK_ROWS = 1024
+MEET_ROWS, MEET_PAIRS = 200_000, 4_000_000
 BLOCK_ENTRIES = 1_000_000
 FLUSH_ENTRIES = 1_000_000
 
@@ -48,6 +49,16 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def widened(data: bytes, count: int) -> np.ndarray:
+    """``count`` numbers written by :func:`narrow`."""
+    return np.frombuffer(data, f"u{len(data) // count}").astype(np.uint32)
+
+
 def sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for first, end, data, offsets in chunks(batch.column(1)):
         hashes, bounds = shingle_sets(data, offsets, width)
@@ -96,7 +107,7 @@ def shingle_order(rows: DataFrame) -> np.ndarray:
 
 
 def prefix_blocks(docs: DataFrame, order, width: int, percent: int, blocks: int) -> DataFrame:
-    """Kept entries as arrays: rows (``block``, ``hashes``, ``rows``, ``places``, ``sigs``, ``sizes``)."""
+    """Kept entries as arrays, row after row: (``block``, ``hashes``, ``places``), and of each row ``counts`` of entries, ``sigs``, ``sizes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
@@ -121,14 +132,13 @@ def prefix_blocks(docs: DataFrame, order, width: int, percent: int, blocks: int)
             for b in range(blocks):
                 own = turn[cuts[b]: cuts[b + 1]]
                 if len(own):
-                    used, local = np.unique(rows[own], return_inverse=True)
-                    out.append((b, hashes[own].tobytes(), local.astype(np.uint32).tobytes(), places[own].tobytes(),
-                                every_sig[used].tobytes(), every_size[used].tobytes()))
+                    used, counts = np.unique(rows[own], return_counts=True)
+                    out.append((b, hashes[own].tobytes(), narrow(counts), narrow(places[own]), every_sig[used].tobytes(), narrow(every_size[used])))
             held.clear(), sigs.clear(), sizes.clear(), seen.clear()
             entries = 0
             for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])],
-                                                 names=["block", "hashes", "rows", "places", "sigs", "sizes"])
+                                                 names=["block", "hashes", "counts", "places", "sigs", "sizes"])
 
         for batch in batches:
             for first, end, hashes, bounds, sig in sets_of(batch, width):
@@ -149,7 +159,7 @@ def prefix_blocks(docs: DataFrame, order, width: int, percent: int, blocks: int)
                     yield from flush()
         yield from flush()
 
-    return docs.mapInArrow(tidy_task(run), "block int, hashes binary, rows binary, places binary, sigs binary, sizes binary")
+    return docs.mapInArrow(tidy_task(run), "block int, hashes binary, counts binary, places binary, sigs binary, sizes binary")
 
 
 def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
@@ -158,10 +168,11 @@ def multiply_block(frame: pd.DataFrame) -> pd.DataFrame:
     ``g`` stands for the columns in which just these rows meet, ``place`` is the row's first place among them.
     """
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("g", "sig", "n", "place")})
-    sig = np.concatenate([np.frombuffer(s, np.int64)[np.frombuffer(r, np.uint32)] for s, r in zip(frame["sigs"], frame["rows"], strict=True)])
-    size = np.concatenate([np.frombuffer(s, np.uint32)[np.frombuffer(r, np.uint32)] for s, r in zip(frame["sizes"], frame["rows"], strict=True)])
+    counts = [widened(c, len(s) // 8) for c, s in zip(frame["counts"], frame["sigs"], strict=True)]
+    sig = np.concatenate([np.repeat(np.frombuffer(s, np.int64), c) for s, c in zip(frame["sigs"], counts, strict=True)])
+    size = np.concatenate([np.repeat(widened(s, len(c)), c) for s, c in zip(frame["sizes"], counts, strict=True)])
     column = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["hashes"]])
-    place = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["places"]])
+    place = np.concatenate([widened(p, len(x) // 8) for p, x in zip(frame["places"], frame["hashes"], strict=True)])
     turn = np.argsort(column, kind="stable")
     met = column[turn]
     same = met[1:] == met[:-1]
@@ -253,7 +264,7 @@ def hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     """
     fields = ("sig", "n", "place", "joined")
     hub = lambda k: F.min(F.struct(F.xxhash64("sig", F.lit(turn * HUBS + k)).alias("h"), *fields))
-    hubs = rows.groupBy("g").agg(F.array(*(hub(k) for k in range(HUBS))).alias("hubs"))
+    hubs = rows.groupBy("g").agg(F.array(*(hub(k) for k in range(HUBS if turn else FIRST_HUBS))).alias("hubs"))
     apart = F.filter("hubs", lambda h: h["joined"] != F.col("joined"))
     return (
         rows.join(hubs, "g").select("sig", "n", "place", F.explode(F.array_distinct(apart)).alias("h"))
@@ -275,39 +286,58 @@ def matchable(rows: DataFrame, percent: int) -> DataFrame:
 def open_pairs(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Distinct pairs (``a``, ``b``) of rows that share a column, lie in different components and may match.
 
-    The rows of a column are cut into chunks of bounded size, and each pair of chunks is a block of its own. Blocks list
-    their pairs as arrays, dealt by the pair's hash to the tasks that drop repeats.
+    The rows of a column are cut into chunks of bounded size, and each pair of chunks is a block of its own. Tasks take many
+    small blocks or a few large ones, by the rows and pairs they may hold, and list a pair once, as arrays dealt by its hash
+    to the tasks that drop repeats.
     """
-    parts = rows.groupBy("g").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("parts"))
+    parts = rows.groupBy("g").agg(F.count("*").alias("held")).withColumn("parts", F.ceil(F.col("held") / CHUNK_ROWS).cast("int"))
+    held = parts.agg(F.sum(F.col("held") * F.col("parts")).alias("rows"), F.sum(F.col("held").cast("double") * F.col("held") / 2).alias("pairs")).first()
+    deals = max(rows.sparkSession.sparkContext.defaultParallelism, int((held["rows"] or 0) // MEET_ROWS), int((held["pairs"] or 0) // MEET_PAIRS))
     dealt = (
         rows.select("g", "sig", "n", "place", "joined").join(parts, "g").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("g", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).alias("right"),
                 "sig", "n", "place", "joined")
+        .withColumn("deal", F.pmod(F.xxhash64("g", "lo", "hi"), F.lit(deals)))
     )
 
-    def meet(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sides = [frame, frame] if keys[1] == keys[2] else [frame[~frame["right"]], frame[frame["right"]]]
-        (sig, n, place, joined), (o_sig, o_n, o_place, o_joined) = (tuple(f[c].to_numpy() for c in ("sig", "n", "place", "joined")) for f in sides)
-        need = -(-percent * (n[:, None] + o_n[None, :]) // (100 + percent))
-        may = (joined[:, None] != o_joined[None, :]) & (np.minimum(n[:, None], o_n[None, :]) >= need)
-        may &= ((n - place)[:, None] >= need) & ((o_n - o_place)[None, :] >= need)
-        if keys[1] == keys[2]:
-            may &= sig[:, None] < o_sig[None, :]
-        i, j = np.nonzero(may)
-        a, b = np.minimum(sig[i], o_sig[j]), np.maximum(sig[i], o_sig[j])
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        g, lo, hi, right = (frame[c].to_numpy() for c in ("g", "lo", "hi", "right"))
+        turn = np.lexsort((right, hi, lo, g))
+        g, lo, hi, right = g[turn], lo[turn], hi[turn], right[turn]
+        sig, n, place, joined = (frame[c].to_numpy()[turn] for c in ("sig", "n", "place", "joined"))
+        cuts = np.flatnonzero((g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip([0, *cuts], [*cuts, len(g)], strict=True):
+            own = other = slice(start, end)
+            alike = lo[start] == hi[start]
+            if not alike:
+                middle = start + int(np.count_nonzero(~right[own]))
+                own, other = slice(start, middle), slice(middle, end)
+            need = -(-percent * (n[own, None] + n[None, other]) // (100 + percent))
+            may = (joined[own, None] != joined[None, other]) & (np.minimum(n[own, None], n[None, other]) >= need)
+            may &= ((n[own] - place[own])[:, None] >= need) & ((n[other] - place[other])[None, :] >= need)
+            if alike:
+                may &= sig[own, None] < sig[None, other]
+            i, j = np.nonzero(may)
+            if len(i):
+                firsts.append(sig[own][i])
+                seconds.append(sig[other][j])
+        x, y = np.concatenate(firsts), np.concatenate(seconds)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        a, b = both[:, 0].copy(), both[:, 1].copy()
         block = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(blocks)).astype(np.int64)
         turn = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[turn], np.arange(blocks + 1))
-        own = [(k, turn[cuts[k]: cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
-        return pd.DataFrame({"block": np.array([k for k, _ in own], np.int32), "a": [a[x].tobytes() for _, x in own], "b": [b[x].tobytes() for _, x in own]})
+        lists = [(k, turn[cuts[k]: cuts[k + 1]]) for k in np.flatnonzero(np.diff(cuts))]
+        return pd.DataFrame({"block": np.array([k for k, _ in lists], np.int32), "a": [a[x].tobytes() for _, x in lists], "b": [b[x].tobytes() for _, x in lists]})
 
     def once(frame: pd.DataFrame) -> pd.DataFrame:
         both = np.stack([np.concatenate([np.frombuffer(x, np.int64) for x in frame[c]]) for c in ("a", "b")], axis=1)
         both = np.unique(both, axis=0)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    lists = dealt.groupBy("g", "lo", "hi").applyInPandas(tidy_group(meet), "block int, a binary, b binary")
+    lists = dealt.groupBy("deal").applyInPandas(tidy_group(meet), "block int, a binary, b binary")
     return lists.groupBy("block").applyInPandas(tidy_group(once), "a long, b long")
 
 

@@ -47,7 +47,7 @@ def similar_texts():
 
 
 def test_ngram_components(spark, monkeypatch):
-    for name, small in (("BLOCK_ENTRIES", 50), ("FLUSH_ENTRIES", 100), ("HUBS", 1), ("CHUNK_ROWS", 3)):
+    for name, small in (("BLOCK_ENTRIES", 50), ("FLUSH_ENTRIES", 100), ("HUBS", 1), ("CHUNK_ROWS", 3), ("MEET_ROWS", 4), ("MEET_PAIRS", 6)):
         monkeypatch.setattr(gramjoin, name, small)
     texts = similar_texts()
     rows = [(k * 3 + 1, t, k) for k, t in enumerate(texts)] + [(7, texts[2], 0)]
@@ -130,3 +130,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame([*edges, (None, 1), (9, 9)], "a long, b long")).collect()}
     nodes = {n for e in edges for n in e if e[0] != e[1]}
     assert got == {n: r for n, r in closure(nodes, edges).items()}
+
+
+def test_numbers_in_the_least_width():
+    for top, width in ((0, 1), (255, 1), (256, 2), (70_000, 4)):
+        x = np.array([top, 0, top // 2], np.uint32)
+        assert len(gramjoin.narrow(x)) == 3 * width
+        assert list(gramjoin.widened(gramjoin.narrow(x), 3)) == list(x)
