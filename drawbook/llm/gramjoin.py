@@ -29,7 +29,7 @@ from drawbook.llm.rows import free_name
 from drawbook.llm.components import components
 from drawbook.llm.sieve import sieved
 from drawbook.llm.shingles import chunks, mix, shingle_sets
-from drawbook.llm.workers import tidy_group, tidy_task
+from drawbook.llm.workers import tidy_driver, tidy_group, tidy_task
 from drawbook.session import write_table
 
 SLICES = 256
@@ -379,10 +379,12 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         found = verified(pairs)
         seen, links = (pairs, found) if seen is None else (seen.union(pairs), links.union(found))
         joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
+        tidy_driver(spark)
 
     open_rows, _ = write_table(matchable(unsettled(met, joined), percent), "open-rows")
     rest, _ = write_table(open_pairs(open_rows, percent, blocks).join(seen, ["a", "b"], "left_anti"), "open-pairs")
     roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
+    tidy_driver(spark)
 
     labelled = documents.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("key").alias("least"))
