@@ -26,10 +26,13 @@ SELECT * FROM w WHERE text <> ''""")
 
 def pages(spark, folder):
     words = F.split("text", "[ \\n]")
-    base = table(spark, folder, "documents").select("doc_id", F.transform(words, lambda w: F.length(w)).alias("sizes"))
+    base = compute_once(table(spark, folder, "documents").select("doc_id", "text"), sizes=F.transform(words, lambda w: F.length(w))).select("doc_id", "sizes")
     count = F.ceil(F.size("sizes") / WORDS_PER_PAGE).cast("int")
-    base = base.select("doc_id", "sizes", F.explode(F.sequence(F.lit(0), count - 1)).alias("page")).select(
-        "doc_id", F.col("page").cast("bigint").alias("page"), F.slice("sizes", F.col("page") * WORDS_PER_PAGE + 1, F.lit(WORDS_PER_PAGE)).alias("sizes"))
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda p: F.struct(
+        p.cast("bigint").alias("page"), F.slice("sizes", p * WORDS_PER_PAGE + 1, F.lit(WORDS_PER_PAGE)).alias("sizes")))
+    # Word sizes are spread by page before the words are made: few tasks read the documents, and all work on pages is by page.
+    # The number is given, since partitions so small would be merged into few tasks again.
+    base = compute_once(base, cut=cut).select("doc_id", F.inline("cut")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *L.PAGE)
 
     def word(n, j):
         line, i = F.floor(j / WORDS_PER_LINE), j % WORDS_PER_LINE

@@ -53,13 +53,15 @@ UNION ALL SELECT *, 'GENERAL CHEMISTRY' FROM (SELECT * FROM g UNION ALL SELECT *
 
 def printed_pages(spark, folder):
     """Pages of positioned words; see the view ``printed_words``."""
-    word_list = F.split("text", "[ \\n]")
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(word_list) / WORDS).cast("int") - 1), lambda i: F.array_join(F.slice(word_list, i * WORDS + 1, F.lit(WORDS)), ""))
+    # The text is split once; inside the lambda it would be split again for every row of the document.
+    base = compute_once(table(spark, folder, "documents").select("doc_id", "text"), split=F.split("text", "[ \\n]")).select("doc_id", "split")
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size("split") / WORDS).cast("int") - 1), lambda i: F.array_join(F.slice("split", i * WORDS + 1, F.lit(WORDS)), ""))
     items = F.transform(groups, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(F.lower(w), "[^a-z]", "").alias("w")))
-    base = table(spark, folder, "documents").select("doc_id", items.alias("items"))
+    base = compute_once(base, items=items).select("doc_id", "items")
     last = F.ceil(F.size("items") / ROWS).cast("int") - 1
-    base = base.select("doc_id", "items", F.explode(F.sequence(F.lit(0), last)).alias("page")).select(
-        "doc_id", F.col("page").cast("bigint").alias("page"), F.slice("items", F.col("page") * ROWS + 1, F.lit(ROWS)).alias("items"))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(p.cast("bigint").alias("page"), F.slice("items", p * ROWS + 1, F.lit(ROWS)).alias("items")))
+    # Rows are spread by page before their words are made: few tasks read the documents, and small partitions would be merged.
+    base = compute_once(base, cut=cut).select("doc_id", F.inline("cut")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *T.PAGE)
 
     def word(x, y, text):
         x, y = (F.lit(float(v)) if isinstance(v, (int, float)) else v for v in (x, y))

@@ -17,3 +17,10 @@ def test_attach_dates_finds_the_headings_of_odd_documents(spark):
     odd = [r for r in rows if r["doc_id"] % 2]
     assert {r["label"] for r in odd} == {"Urinalysis Section"}
     assert any(r["label_lines"] > 0 and r["dates"] > 0 for r in odd)
+
+
+def test_texts_are_split_once_per_document(spark):
+    for pages in (printed.printed_pages, positioned.pages):
+        plan = optimized(pages(spark, contract.SMOKE_FOLDER))
+        assert plan.count("split(text") == 1, plan
+        assert "RepartitionByExpression [doc_id" in plan and pages(spark, contract.SMOKE_FOLDER).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
