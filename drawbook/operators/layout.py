@@ -45,21 +45,27 @@ def repair_glyphs(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
 def page_lines(pages: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Each page with its lines. A line's centre is its first word's, so drift never chains words together.
 
-    The fold keeps only one anchor per line; words then fall to the last anchor at or above their centre.
+    Words are in order of their centres, so a line is a stretch of them: the fold keeps one anchor and the place of its
+    word per line, and each line is cut out at once, without a look at the page's other words.
     """
     centred = F.array_sort(F.transform("words", lambda w: F.struct(((w["y0"] + w["y1"]) / 2).alias("c"), w["x0"].alias("x"), w.alias("w"))))
     keyed = compute_once(pages, placed=centred)
 
-    def step(anchors: Column, e: Column) -> Column:
-        last = F.get(anchors, F.size(anchors) - 1)
-        return F.when(last.isNotNull() & (F.abs(e["c"] - last) <= tolerance), anchors).otherwise(F.array_append(anchors, e["c"]))
+    def step(s: Column, e: Column) -> Column:
+        last, at = s["last"], s["at"] + 1
+        same = last.isNotNull() & (F.abs(e["c"] - last) <= tolerance)
+        return F.struct(at.alias("at"), F.when(same, last).otherwise(e["c"]).alias("last"), F.when(same, s["anchors"]).otherwise(
+            F.array_append(s["anchors"], F.struct(e["c"].alias("a"), at.alias("at")))).alias("anchors"))
 
-    keyed = compute_once(keyed, anchors=F.aggregate("placed", F.array().cast("array<double>"), step))
-    nexts = F.concat(F.slice("anchors", F.lit(2), F.size("anchors")), F.array(F.lit(float("inf"))))
-    spans = F.arrays_zip(F.col("anchors").alias("a"), nexts.alias("n"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<a:double,at:int>>").alias("anchors"))
+    keyed = compute_once(keyed, anchors=F.aggregate("placed", start, step, lambda s: s["anchors"]))
+    end = F.struct(F.lit(float("inf")).alias("a"), (F.size("placed") + 1).alias("at"))
+    spans = F.arrays_zip(F.col("anchors").alias("f"), F.array_append(F.slice("anchors", F.lit(2), F.size("anchors")), end).alias("n"))
 
     def words_of(span: Column) -> Column:
-        return F.array_sort(F.transform(F.filter("placed", lambda p: (p["c"] >= span["a"]) & (p["c"] < span["n"])), lambda p: p["w"]))
+        first, after = span["f"], span["n"]
+        stretch = F.slice("placed", F.coalesce(first["at"], F.lit(1)), after["at"] - F.coalesce(first["at"], F.lit(1)))
+        return F.array_sort(F.transform(F.filter(stretch, lambda p: (p["c"] >= first["a"]) & (p["c"] < after["a"])), lambda p: p["w"]))
 
     lines = F.transform(spans, lambda span, i: F.struct(i.alias("line_no"), words_of(span).alias("words")))
     return compute_once(keyed, lines=lines).select(*PAGE, "lines")

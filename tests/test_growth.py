@@ -24,3 +24,11 @@ def test_texts_are_split_once_per_document(spark):
         plan = optimized(pages(spark, contract.SMOKE_FOLDER))
         assert plan.count("split(text") == 1, plan
         assert "RepartitionByExpression [doc_id" in plan and pages(spark, contract.SMOKE_FOLDER).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_are_stretches_of_the_sorted_words(spark):
+    words = [(60.0, 24.5, 80.0, 33.5, "d"), (40.0, 0.0, 60.0, 9.0, "a"), (70.0, 3.0, 90.0, 12.0, "b"), (40.0, 24.0, 55.0, 33.0, "c"), (None, None, None, None, "lost")]
+    df = layout.page_lines(spark.createDataFrame([(1, 0, words), (2, 0, [])], PAGE_DDL))
+    got = {r["doc_id"]: [[w["text"] for w in line["words"]] for line in r["lines"]] for r in df.collect()}
+    assert got == {1: [[], ["a", "b"], ["c", "d"]], 2: [[]]}
+    assert "slice(placed" in optimized(df)
