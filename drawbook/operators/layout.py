@@ -277,12 +277,17 @@ def verify_on_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
     ``pages`` has one row per page with its text lines, so the join is on the page key; the token test runs inside
     the row.
     """
-    j = rows.join(pages, PAGE, "left")
-    wanted = F.split("disp", " ")
-    name = F.lower(text.squash(F.col("name")))
+    squashed = lambda said: F.lower(text.squash(said))
+    # What a line or a claim says is worked out once, not once per pair; a line is split into windows only where it holds the value.
+    read = compute_once(pages, read=F.transform("lines", lambda line: F.struct(
+        squashed(line).alias("low"), F.concat(F.lit(" "), line, F.lit(" ")).alias("spaced"), F.split(line, " ").alias("tokens")))).select(*PAGE, "read")
+    claims = compute_once(rows, claim=F.struct(squashed(F.col("name")).alias("name"), F.split("disp", " ").alias("wanted"), F.concat(F.lit(" "), F.col("disp")).alias("spaced"),
+                                               F.concat("disp", F.coalesce("flag", F.lit(""))).alias("glued")))
+    j = claims.join(read, PAGE, "left")
+    wanted = F.col("claim.wanted")
 
     def on_line(line: Column) -> Column:
-        tokens = F.split(line, " ")
+        tokens = line["tokens"]
         n = F.size(wanted)
         last = F.size(tokens) - n
 
@@ -291,10 +296,10 @@ def verify_on_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
             following = F.get(tokens, i + n)
             plain = (window == wanted) & F.when(F.col("flag").isNotNull(), F.coalesce(following == F.col("flag"), F.lit(False))).otherwise(
                 ~F.coalesce(following.isin("H", "L", "HH", "LL"), F.lit(False)))
-            glued = F.col("flag").isNotNull() & (F.array_join(window, " ") == F.concat(F.col("disp"), F.coalesce("flag", F.lit(""))))
+            glued = F.col("flag").isNotNull() & (F.array_join(window, " ") == F.col("claim.glued"))
             return plain | glued
 
-        return F.contains(F.lower(text.squash(line)), name) & (last >= 0) & F.exists(
+        return F.contains(line["low"], F.col("claim.name")) & F.contains(line["spaced"], F.col("claim.spaced")) & (last >= 0) & F.exists(
             F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)
 
-    return j.select(*rows.columns, F.coalesce(F.exists("lines", on_line), F.lit(False)).alias("verified"))
+    return j.select(*rows.columns, F.coalesce(F.exists("read", on_line), F.lit(False)).alias("verified"))

@@ -32,3 +32,14 @@ def test_lines_are_stretches_of_the_sorted_words(spark):
     got = {r["doc_id"]: [[w["text"] for w in line["words"]] for line in r["lines"]] for r in df.collect()}
     assert got == {1: [[], ["a", "b"], ["c", "d"]], 2: [[]]}
     assert "slice(placed" in optimized(df)
+
+
+def test_claims_split_no_line_of_their_page(spark):
+    pages = spark.createDataFrame([(1, 0, ["T1 total 5 H", "T1 total 7", "T2 total <  5L", None])], "doc_id long, page long, lines array<string>")
+    claims = [("T1 total", "5", "H"), ("T1  Total", "5", None), ("T1 total", "7", None), ("T1 total", "7", "L"), ("T2 total", "<  5", "L"), ("T2 total", "", None), ("T1 total", None, None), ("T3", "5", None)]
+    rows = spark.createDataFrame([(1, 0, *c) for c in claims] + [(9, 0, "T1 total", "5", "H")], "doc_id long, page long, name string, disp string, flag string")
+    df = layout.verify_on_page(rows, pages)
+    got = {(r["doc_id"], r["name"], r["disp"], r["flag"]): r["verified"] for r in df.collect()}
+    assert [got[(1, *c)] for c in claims] == [True, False, True, False, True, True, False, False] and not got[(9, "T1 total", "5", "H")]
+    top = optimized(df).split("Join")[0]
+    assert "split(" not in top and "regexp_replace(" not in top, top
