@@ -43,3 +43,14 @@ def test_claims_split_no_line_of_their_page(spark):
     assert [got[(1, *c)] for c in claims] == [True, False, True, False, True, True, False, False] and not got[(9, "T1 total", "5", "H")]
     top = optimized(df).split("Join")[0]
     assert "split(" not in top and "regexp_replace(" not in top, top
+
+
+def test_wanted_rows_meet_candidates_by_key_and_once(spark):
+    want = [(1, "M | a | 5 *"), (1, "M | a | 6 *"), (1, "M | *"), (1, "M | b | *"), (1, "M | c | 7"), (2, "M | a | 5 *"), (2, "M | a | 5 *"), (None, "M | a | *")]
+    expected = spark.createDataFrame(want, "subject_id long, row string")
+    actual = spark.createDataFrame([(1, "M | a | 5 1"), (1, "M | a | 5 1"), (1, "M | c | 70"), (2, "M | a | 4"), (1, None)], "subject_id long, row string")
+    df = compare.compare_subset(expected, actual)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, "M | a | 6 *"), (1, "M | *"), (1, "M | b | *"), (1, "M | c | 7"), (2, "M | a | 5 *"), (None, "M | a | *")], key=str)
+    plan = optimized(df)
+    assert "rightHint=(strategy=broadcast)" in plan, plan
+    assert plan.count("Join") == 2, plan
