@@ -1,7 +1,7 @@
 """Work that must not grow faster than the input: steps that once repeated themselves per row, page or pair."""
 
 import __spark_entry__ as contract
-from drawbook.operators import compare, layout
+from drawbook.operators import compare, layout, reads
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
 
@@ -54,3 +54,12 @@ def test_wanted_rows_meet_candidates_by_key_and_once(spark):
     plan = optimized(df)
     assert "rightHint=(strategy=broadcast)" in plan, plan
     assert plan.count("Join") == 2, plan
+
+
+def test_only_codes_that_a_name_holds_are_tried(spark):
+    rows = spark.createDataFrame([(1, 0, "a AMD", "AMD"), (1, 0, "b ( Z9 )", "Z9"), (1, 0, "c, AMD", None), (1, 0, " d ", None), (1, 0, None, None), (2, 0, "a AMD", None)],
+                                 "doc_id long, page long, name string, lab_code string")
+    df = reads.with_identity(rows)
+    assert sorted(map(str, (r["name"] for r in df.collect()))) == ["None", "a", "a AMD", "b", "c, AMD", "d"]
+    plan = optimized(df)
+    assert "filter(codes" in plan and "Contains(name" in plan, plan
