@@ -107,14 +107,18 @@ def scan_gap(scans: DataFrame, draws: DataFrame, limit: int = SCAN_WINDOW_DAYS)
 FIELD = ["doc_id", "page", "day", "field"]
 
 
-def agree_fields(reads: DataFrame, page_numbers: DataFrame) -> DataFrame:
+def agree_fields(reads: DataFrame, page_numbers: DataFrame, by: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
     """One row per page, scan day and field with the outcome of its two reads.
 
     A field printed twice within a read with different values is ambiguous. The page's text layer only breaks a
     tie: when the reads differ and it prints exactly one of the two values, that one stands.
+
+    The reads move once, dealt by ``by`` (document, or document and page): reads, fields, days and the text layer of a
+    page then meet in order of the same keys. A print is parsed once.
     """
-    m = cells.measure(F.col("text"))
-    rows = reads.withColumn("m", m).withColumn("bad", F.col("text").isNotNull() & F.col("m").isNull())
+    placed = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    rows = reads.filter(placed & F.col("day").isNotNull()).select(*FIELD, "read_no", "text").repartition(*by)
+    rows = cells.with_measure(rows, "text", "m").withColumn("bad", F.col("text").isNotNull() & F.col("m").isNull())
     key = F.coalesce(F.col("m.value").cast("string"), F.col("text"))
     shortest = F.min(F.when(F.col("m").isNotNull(), F.struct(
         F.length("m.text").alias("l"), F.col("m.text").alias("text"), F.col("m.value").alias("value"))))
@@ -123,14 +127,12 @@ def agree_fields(reads: DataFrame, page_numbers: DataFrame) -> DataFrame:
         F.coalesce(F.min(key) != F.max(key), F.lit(False)).alias("ambiguous"))
     sides = [F.max(F.when(F.col("read_no") == n, F.struct("p.value", "p.text", "e"))).alias(side) for n, side in ((0, "a"), (1, "b"))]
     pair = per_read.groupBy(*FIELD).agg(*sides, F.bool_or("bad").alias("bad"), F.bool_or("ambiguous").alias("ambiguous"))
-    days = reads.groupBy("doc_id", "page", "day").agg(
-        (F.count_if(F.col("read_no") == 0) > 0).alias("in_a"), (F.count_if(F.col("read_no") == 1) > 0).alias("in_b"))
-    pair = pair.join(days, ["doc_id", "page", "day"])
+    day = Window.partitionBy("doc_id", "page", "day")
+    pair = pair.select("*", *(F.coalesce(F.bool_or(F.col(side).isNotNull()).over(day), F.lit(False)).alias(f"in_{side}") for side in ("a", "b")))
     pair = pair.select("*", F.col("a.value").alias("a_value"), F.col("b.value").alias("b_value"), F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"))
-    numbers = page_numbers.select("doc_id", "page", "number").distinct()
-    for side in ("a", "b"):
-        pair = pair.join(numbers.select("doc_id", "page", F.col("number").alias(f"{side}_text"), F.lit(True).alias(f"{side}_in")),
-                         ["doc_id", "page", f"{side}_text"], "left")
+    numbers = page_numbers.filter(placed).select("doc_id", "page", "number").repartition(*by).groupBy("doc_id", "page").agg(F.collect_set("number").alias("numbers"))
+    pair = pair.join(numbers, ["doc_id", "page"], "left")
+    pair = pair.withColumns({f"{side}_in": F.array_contains("numbers", F.col(f"{side}_text")) for side in ("a", "b")})
     a_in, b_in = F.coalesce("a_in", F.lit(False)), F.coalesce("b_in", F.lit(False))
     differ = F.col("a_value") != F.col("b_value")
     tie = F.coalesce(differ & (a_in != b_in), F.lit(False))

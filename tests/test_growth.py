@@ -1,7 +1,7 @@
 """Work that must not grow faster than the input: steps that once repeated themselves per row, page or pair."""
 
 import __spark_entry__ as contract
-from drawbook.operators import compare, layout, reads
+from drawbook.operators import compare, layout, reads, scans
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
 
@@ -63,3 +63,16 @@ def test_only_codes_that_a_name_holds_are_tried(spark):
     assert sorted(map(str, (r["name"] for r in df.collect()))) == ["None", "a", "a AMD", "b", "c, AMD", "d"]
     plan = optimized(df)
     assert "filter(codes" in plan and "Contains(name" in plan, plan
+
+
+def test_reads_of_a_scan_page_move_once_and_prints_are_parsed_once(spark):
+    reads = [(1, 1, "2024-01-01", "fat", 0, "30 lb (e)"), (1, 1, "2024-01-01", "fat", 1, "31"), (1, 1, "2024-01-01", "lean", 0, "n/a"), (1, 1, "2024-01-01", "lean", 1, "5 %"),
+             (1, 2, "2024-01-01", "fat", 0, "30"), (1, 2, "2024-01-01", "fat", 0, "32"), (1, 2, "2024-01-01", "total", 1, None), (2, 1, "2024-01-01", "fat", 0, "7"), (None, 1, "2024-01-01", "fat", 0, "7")]
+    reads = spark.createDataFrame(reads, "doc_id long, page long, day string, field string, read_no long, text string")
+    numbers = spark.createDataFrame([(1, 1, "31"), (1, 1, "31"), (1, 1, None), (None, 1, "7")], "doc_id long, page long, number string")
+    df = scans.agree_fields(reads, numbers)
+    got = {(r["doc_id"], r["page"], r["field"]): (r["outcome"], r["value"], r["text"], r["estimated"]) for r in df.collect()}
+    assert got == {(1, 1, "fat"): ("text_layer", 31.0, "31", False), (1, 1, "lean"): ("unreadable", None, None, None), (1, 2, "fat"): ("ambiguous", None, None, None),
+                   (1, 2, "total"): ("absent", None, None, None), (2, 1, "fat"): ("day_in_one_read", None, None, None)}
+    plan = optimized(df)
+    assert plan.count("Join") == 1 and plan.count("regexp_extract(") == 1, plan
