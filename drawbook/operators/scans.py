@@ -161,15 +161,24 @@ def settle_fields(fields: DataFrame) -> DataFrame:
     confirmed by the kept masses; a value single reads saw on two pages; else withheld. A scan has a few pages and the
     four ``SETTLED`` fields, so its outcomes are gathered in one row and decided there: one exchange, no window.
     """
-    item = F.struct("field", "page", "outcome", "value", "text", "estimated", "a_value", "a_text", "b_value", "b_text")
-    rows = fields.filter(F.col("field").isin(*SETTLED)).groupBy(*SCAN).agg(F.collect_list(item).alias("items"))
+    single = F.col("outcome").isin("one_read", "differ")
+    # The parts of a list are columns before they are listed: inside the aggregate they would be evaluated for each list.
+    parts = fields.filter(F.col("field").isin(*SETTLED)).select(
+        *SCAN, "field", (~F.col("outcome").isin("absent", "day_in_one_read")).alias("seen"),
+        F.when(F.col("value").isNotNull(), F.struct("value", "text", "estimated")).alias("a"),
+        *(F.when(single & F.col(f"{side}_value").isNotNull(), F.struct(F.col(f"{side}_value").alias("value"), F.col(f"{side}_text").alias("text"), "page")).alias(part)
+          for side, part in (("a", "x"), ("b", "y"))))
+    rows = parts.groupBy(*SCAN).agg(*(
+        made for n in SETTLED for made in (*(F.collect_list(F.when(F.col("field") == n, F.col(part))).alias(f"{part}_{n}") for part in ("a", "x", "y")),
+                                           F.bool_or((F.col("field") == n) & F.col("seen")).alias(f"seen_{n}"))))
+    rows = compute_once(rows, **{f"z_{n}": F.concat(f"x_{n}", f"y_{n}") for n in SETTLED})
 
     def least(texts: Column) -> Column:
         return F.array_min(F.transform(texts, lambda t: F.struct(F.length(t).alias("l"), t.alias("text"))))["text"]
 
     def candidates(name: str) -> Column:
         """Agreed values of a field: value, pages, text, estimated."""
-        own = F.filter("items", lambda x: (x["field"] == name) & x["value"].isNotNull())
+        own = F.col(f"a_{name}")
 
         def one(v: Column) -> Column:
             same = F.filter(own, lambda x: x["value"] == v)
@@ -180,10 +189,7 @@ def settle_fields(fields: DataFrame) -> DataFrame:
 
     def lone(name: str) -> Column:
         """Values that single reads printed: value, pages, text, estimated."""
-        own = F.filter("items", lambda x: (x["field"] == name) & x["outcome"].isin("one_read", "differ"))
-        seen = F.filter(F.flatten(F.transform(own, lambda x: F.array(
-            F.struct(x["a_value"].alias("value"), x["a_text"].alias("text"), x["page"].alias("page")),
-            F.struct(x["b_value"].alias("value"), x["b_text"].alias("text"), x["page"].alias("page"))))), lambda o: o["value"].isNotNull())
+        seen = F.col(f"z_{name}")
 
         def one(v: Column) -> Column:
             same = F.filter(seen, lambda o: o["value"] == v)
@@ -193,6 +199,7 @@ def settle_fields(fields: DataFrame) -> DataFrame:
         return F.transform(F.array_distinct(F.transform(seen, lambda o: o["value"])), one)
 
     rows = compute_once(rows, **{f"c_{n}": candidates(n) for n in SETTLED}, **{f"l_{n}": lone(n) for n in SETTLED})
+    rows = rows.select(*SCAN, *(f"{kind}_{n}" for n in SETTLED for kind in ("c", "l", "seen")))
     only = {m: F.when(F.size(f"c_{m}") == 1, F.get(f"c_{m}", F.lit(0))["value"]) for m in MASSES}
     rows = compute_once(rows, **{f"s_{m}": only[m] for m in MASSES})
 
@@ -240,9 +247,8 @@ def settle_fields(fields: DataFrame) -> DataFrame:
     rows = rows.withColumn("d_body_fat", F.coalesce("d_body_fat", fat))
 
     def outcome(name: str) -> Column:
-        seen = F.exists("items", lambda x: (x["field"] == name) & ~x["outcome"].isin("absent", "day_in_one_read"))
         d = F.col(f"d_{name}")
-        how = F.coalesce(d["how"], F.when(seen, "withheld"))
+        how = F.coalesce(d["how"], F.when(F.col(f"seen_{name}"), "withheld"))
         return F.when(how.isNotNull(), F.struct(F.lit(name).alias("field"), d["value"].alias("value"), d["text"].alias("text"),
                                                 d["estimated"].alias("estimated"), how.alias("how")))
 

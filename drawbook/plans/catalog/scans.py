@@ -231,7 +231,8 @@ SELECT DISTINCT doc_id, day, field, NULL::DOUBLE, NULL, NULL::BOOLEAN, 'withheld
 WHERE outcome NOT IN ('absent', 'day_in_one_read') AND NOT EXISTS (SELECT 1 FROM done x WHERE x.doc_id = f.doc_id AND x.day = f.day AND x.field = f.field)""",
        ("agreed_fields",))
 def settle_scan_fields(spark, folder):
-    return S.settle_fields(S.agree_fields(*scan_reads(spark, folder)))
+    # A scan is settled over the pages of its document, so its reads meet by document at once.
+    return S.settle_fields(S.agree_fields(*scan_reads(spark, folder), by=("doc_id",)))
 
 
 @query("attribute_pages", "A10", """

@@ -1,5 +1,7 @@
 """Work that must not grow faster than the input: steps that once repeated themselves per row, page or pair."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
 from drawbook.operators import compare, layout, reads, scans
 from drawbook.plans.catalog import layout as positioned
@@ -76,3 +78,16 @@ def test_reads_of_a_scan_page_move_once_and_prints_are_parsed_once(spark):
                    (1, 2, "total"): ("absent", None, None, None), (2, 1, "fat"): ("day_in_one_read", None, None, None)}
     plan = optimized(df)
     assert plan.count("Join") == 1 and plan.count("regexp_extract(") == 1, plan
+
+
+def test_a_scan_is_settled_from_lists_made_once(spark):
+    fields = [(1, 1, "fat", "agreed", 30.0, "30", False, 30.0, 30.0, "30", "30"), (1, 2, "fat", "agreed", 30.0, "30.0", True, 30.0, 30.0, "30.0", "30.0"), (1, 1, "lean", "differ", None, None, None, 5.0, 6.0, "5", "6"),
+              (1, 2, "lean", "one_read", None, None, None, None, 6.0, None, "6.0"), (1, 1, "total", "absent", None, None, None, None, None, None, None), (1, 1, "other", "agreed", 1.0, "1", False, 1.0, 1.0, "1", "1"),
+              (2, 1, "body_fat", "unreadable", None, None, None, None, None, None, None)]
+    fields = spark.createDataFrame(fields, "doc_id long, page long, field string, outcome string, value double, text string, estimated boolean, a_value double, b_value double, a_text string, b_text string")
+    df = scans.settle_fields(fields.withColumn("day", F.lit("2024-01-01")))
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in df.collect()) == [
+        (1, "fat", 30.0, "30", True, "agreed"), (1, "lean", 6.0, "6", False, "cross_page"), (2, "body_fat", None, None, None, "withheld")]
+    assert "filter(items" not in optimized(df)
+    plan = contract.queries()["settle_scan_fields"](spark, contract.SMOKE_FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(doc_id" in line and "day" in line for line in plan.splitlines()) == 0, plan
