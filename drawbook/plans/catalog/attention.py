@@ -73,7 +73,9 @@ def kept_markers(spark, folder):
     markers = scored(spark, folder)
     for name in ("now_day", "now_value", "now_disp", "now_flag", "now_pct", "now_tier"):
         markers = markers.withColumn(name, F.when(~gone, F.col(name)))
-    rows = X.apply_fasting(accepted(spark, folder), X.draw_status(draw_headers(spark, folder)), B.fasting_only(spark))
+    # Only the tests of the fasting list can be moved: the others need no second pass over the results.
+    results = accepted(spark, folder).filter(F.col("test").isin([test for test, _, _ in B.FASTING_ONLY]))
+    rows = X.apply_fasting(results, X.draw_status(draw_headers(spark, folder)), B.fasting_only(spark))
     return A.latest_reported(markers, rows.filter("moved"))
 
 

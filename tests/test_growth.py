@@ -102,3 +102,15 @@ def test_next_steps_read_the_scores_once(spark):
     df = attention.next_steps(scored)
     assert sorted(map(tuple, df.collect())) == [(1, "T3", "last result 01/01/2024", "repeat", "2 open"), (2, "none open", "no open test", "keep", "all optimal")]
     assert "Join" not in optimized(df) and "Window" not in optimized(df)
+
+
+def test_only_tests_of_the_fasting_list_are_read_again(spark):
+    plan = optimized(contract.queries()["narrative_columns"](spark, contract.SMOKE_FOLDER))
+    scans_of_items = [line for line in plan.splitlines() if "Filter" in line and "l_partkey" in line and "IN (T4,T5)" in line]
+    assert scans_of_items, plan
+
+
+def test_items_are_narrowed_before_they_meet_their_orders(spark):
+    plan = optimized(contract.queries()["dedupe_sources"](spark, contract.SMOKE_FOLDER))
+    below = plan[plan.index("Join"):]
+    assert "AS maker" in below and "AS top" in below and "AS limit" in below, plan
