@@ -213,7 +213,10 @@ def notes(spark, folder):
         F.lit("## Marker Targets"), F.concat(F.lit("- T"), (k % 15).cast("string"), F.lit(": 10 - 2"), (k % 10).cast("string")),
         F.when(k % 5 == 0, "## Protocol"), F.when(k % 5 == 0, "- Second list"), F.when(k % 7 == 0, "## Odd Section"), F.when(k % 7 == 0, "- x"),
         F.lit("## Vitality Index"), F.concat(F.lit("- Sleep: "), F.when(k % 2 == 0, "Some Concern").otherwise("Fine")), F.lit("- Physical Performance: 3")))
-    return table(spark, folder, "customer").select(k.alias("subject_id"), F.array_join(lines, "\n").alias("text"))
+    # Many customers are few bytes of file, so reading them is one task: they are spread before their notes are made.
+    people = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    people = people.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    return people.select(k.alias("subject_id"), F.array_join(lines, "\n").alias("text"))
 
 
 cte("note_lines", """

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from drawbook.operators import attention, compare, layout, reads, scans
+from drawbook.plans.catalog import evidence
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
 
@@ -114,3 +115,10 @@ def test_items_are_narrowed_before_they_meet_their_orders(spark):
     plan = optimized(contract.queries()["dedupe_sources"](spark, contract.SMOKE_FOLDER))
     below = plan[plan.index("Join"):]
     assert "AS maker" in below and "AS top" in below and "AS limit" in below, plan
+
+
+def test_customers_are_spread_before_their_notes_are_made(spark):
+    notes = evidence.notes(spark, contract.SMOKE_FOLDER)
+    assert notes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = optimized(notes)
+    assert "array_join" not in plan[plan.index("RepartitionByExpression"):], plan
