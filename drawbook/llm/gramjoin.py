@@ -10,9 +10,10 @@ columns with the same rows count as one. A pair of rows is dropped where their s
 show that they can't reach the overlap that their sizes require. What is left is verified on whole sets.
 
 Links are only needed up to reachability, so a group of many copies isn't multiplied out at once: each row is paired first
-with one hub of each of its columns, and where that leaves components apart, with some more. Rows that verified pairs join need no further comparison. Of columns that still
-hold several components, blocks of rows list the pairs that lie apart and may match; these are verified too. No pair is
-capped or left out.
+with one hub of each of its columns, and where that leaves components apart, with some more. Rows that verified pairs join need no further comparison.
+Where many pairs would still be left, the rows outside a column's largest component meet growing samples of the column first: a row that
+links to a small share of a large group joins it after few comparisons. Of columns that still hold several components, blocks of rows
+list the pairs that lie apart and may match; these are verified too. No pair is capped or left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from drawbook.session import write_table
 SLICES = 256
 ORDER_BITS = 20
 FIRST_HUBS, HUBS, HUB_TURNS = 1, 8, 2
+SAMPLED_HUBS, OPEN_PAIRS_A_ROW = (32, 128, 512), 4
 CHUNK_ROWS = 1024
 MEET_ROWS, MEET_PAIRS = 200_000, 4_000_000
 BLOCK_ENTRIES = 1_000_000
@@ -283,6 +285,32 @@ def matchable(rows: DataFrame, percent: int) -> DataFrame:
     return able.join(mixed, "g")
 
 
+def column_sizes(rows: DataFrame) -> DataFrame:
+    """(``g``, ``held``, ``most``, ``largest``): a column's rows, those of its largest component, and that component."""
+    return rows.groupBy("g", "joined").agg(F.count("*").alias("own")).groupBy("g").agg(
+        F.sum("own").alias("held"), F.max(F.struct("own", "joined")).alias("m")).select("g", "held", F.col("m.own").alias("most"), F.col("m.joined").alias("largest"))
+
+
+def many_pairs(rows: DataFrame) -> bool:
+    """Whether the rows outside their columns' largest components would make many more pairs than there are rows."""
+    size = column_sizes(rows).agg(F.sum("held").alias("rows"), F.sum((F.col("held") - F.col("most")).cast("double") * F.col("held")).alias("pairs")).first()
+    return (size["pairs"] or 0) > OPEN_PAIRS_A_ROW * (size["rows"] or 0)
+
+
+def sampled_pairs(rows: DataFrame, turn: int, hubs: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of each row outside its column's largest component with about ``hubs`` rows of the column in other ones.
+
+    The sample goes by a hash of the row alone, so that columns with mostly the same rows have mostly the same sample.
+    """
+    sized = rows.join(column_sizes(rows), "g")
+    sample = sized.where(F.pmod(F.xxhash64("sig", F.lit(-turn)), F.lit(1 << 20)) * F.col("held") < hubs << 20)
+    sample = sample.select("g", *(F.col(c).alias(f"h_{c}") for c in ("sig", "n", "place", "joined")))
+    return (
+        sized.where("joined <> largest").join(sample, "g").where("joined <> h_joined").where(possible("n", "h_n", "place", "h_place", percent))
+        .select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
+    )
+
+
 def open_pairs(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Distinct pairs (``a``, ``b``) of rows that share a column, lie in different components and may match.
 
@@ -372,16 +400,25 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         return write_table(verify(pairs, whole_sets(texts, wanted, width), percent), "links")[0]
 
     seen = links = joined = None
-    for turn in range(HUB_TURNS):
-        open_rows = unsettled(met, joined)
-        pairs = hub_pairs(open_rows, turn, percent)
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """The new links among ``pairs``, which with all before make the components."""
+        nonlocal seen, links, joined
         pairs, _ = write_table(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "hub-pairs")
         found = verified(pairs)
         seen, links = (pairs, found) if seen is None else (seen.union(pairs), links.union(found))
         joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
         tidy_driver(spark)
+        return found
 
+    for turn in range(HUB_TURNS):
+        tried(hub_pairs(unsettled(met, joined), turn, percent))
     open_rows, _ = write_table(matchable(unsettled(met, joined), percent), "open-rows")
+    for turn, hubs in enumerate(SAMPLED_HUBS, HUB_TURNS):
+        if not many_pairs(open_rows) or tried(sampled_pairs(open_rows, turn, hubs, percent)).isEmpty():
+            break
+        open_rows, _ = write_table(matchable(unsettled(open_rows.drop("joined"), joined), percent), "open-rows")
+
     rest, _ = write_table(open_pairs(open_rows, percent, blocks).join(seen, ["a", "b"], "left_anti"), "open-pairs")
     roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
     tidy_driver(spark)

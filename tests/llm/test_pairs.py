@@ -65,6 +65,34 @@ def test_ngram_components(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first)
 
 
+def test_loose_group_is_joined_by_samples(spark, monkeypatch):
+    """Near copies of which most pairs miss the threshold become one component without all their pairs."""
+    random, tried = np.random.default_rng(11), []
+    base, write = [f"w{k}" for k in range(150)], gramjoin.write_table
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("hub-pairs", "open-pairs"):
+            tried.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(gramjoin, "write_table", counted)
+    monkeypatch.setattr(gramjoin, "HUBS", 1)
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for at in random.choice(np.arange(5, 145), 1 if k % 20 == 7 else 3, replace=False):
+            words[at] = f"own{k}_{at}"
+        texts.append(" ".join(words))
+    sets = dict(enumerate(map(shingles, texts)))
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = closure(sets, links)
+    got = gramjoin.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(links) < 400 * 400 // 8
+    assert sum(tried) < 400 * 400 // 4
+
+
 def test_ngram_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "q r s t u"), (5, "q r s t u"), (9, None), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
