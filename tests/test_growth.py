@@ -122,3 +122,16 @@ def test_customers_are_spread_before_their_notes_are_made(spark):
     assert notes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = optimized(notes)
     assert "array_join" not in plan[plan.index("RepartitionByExpression"):], plan
+
+
+def test_strict_gates_read_their_pages_once(spark):
+    plan = optimized(contract.queries()["strict_page_gate"](spark, contract.SMOKE_FOLDER))
+    assert plan.count("Relation [") == 3, plan  # page reads, expected names, rows
+
+
+def test_specimens_come_from_the_next_page_only(spark):
+    rows = [(1, 1, "A", "A PAGE 1 OF 4", 1, None), (1, 2, None, "PAGE 2 OF 4", 2, None), (1, 4, "B", "B PAGE 4 OF 4", 4, None), (1, 3, None, "PAGE 3 OF 4", 3, "illegible"),
+            (1, 6, None, "PAGE 5 OF 4", 5, None), (2, 5, None, "PAGE 5 OF 4", 5, None), (None, 1, "C", "C PAGE 1 OF 4", 1, None), (None, 2, None, "PAGE 2 OF 4", 2, None)]
+    pages = spark.createDataFrame([(*r[:5], 4, r[5]) for r in rows], "doc_id long, page long, specimen string, footer string, seq int, seq_of int, reason string")
+    got = {(r["doc_id"], r["page"]): r["taken"] for r in reads.neighbour_specimen(pages).collect()}
+    assert {k: v for k, v in got.items() if v} == {(1, 2): "A"}
