@@ -135,3 +135,22 @@ def test_specimens_come_from_the_next_page_only(spark):
     pages = spark.createDataFrame([(*r[:5], 4, r[5]) for r in rows], "doc_id long, page long, specimen string, footer string, seq int, seq_of int, reason string")
     got = {(r["doc_id"], r["page"]): r["taken"] for r in reads.neighbour_specimen(pages).collect()}
     assert {k: v for k, v in got.items() if v} == {(1, 2): "A"}
+
+
+def test_gated_rows_read_their_votes_once(spark):
+    plan = optimized(contract.queries()["page_outcomes"](spark, contract.SMOKE_FOLDER))
+    assert plan.count("Relation [") == 4, plan  # rows, pages of the vote, summaries, pages of the verdict
+
+
+def test_summaries_contradict_by_their_own_read(spark):
+    def vote(name, text, flag, readers, agreed=True):
+        return (1, 1, name, None, 3, 3, False, 1, True, 2, agreed, False, text, flag, "0-1", None, False, readers)
+
+    ddl = ("doc_id long, page long, name string, section string, reads int, present long, heading boolean, valued long, plurality boolean, votes long, agreed boolean, "
+           "missing_or_duplicate boolean, result_text string, flag string, reference string, column_role string, unclear boolean, readers array<long>")
+    votes = spark.createDataFrame([
+        vote("a", "5", "H", [0, 1]), vote("b", "5", "H", [0, 1]), vote("c", "5", "H", [0, 1]), vote("d", "5", "H", [0, 1]), vote("e", "1", None, [0]), vote(None, "5", "H", [0])], ddl)
+    said = [("a", 0, "5", "H"), ("a", 1, "6", "H"), ("b", 0, "6", "H"), ("b", 0, "5", "H"), ("b", 2, "7", "H"), ("c", 0, "5H", None), ("D ", 1, "5", "L"), ("e", 0, "1", "H"), (None, 0, "6", "H")]
+    summary = spark.createDataFrame([(1, r, n, t, f) for n, r, t, f in said], "doc_id long, read_no long, name string, result_text string, flag string")
+    got = {r["name"]: r["reason"] for r in reads.gate_rows(votes, summary).collect()}
+    assert got == {"a": "summary", "b": None, "c": None, "d": "summary", "e": "summary", None: None}
