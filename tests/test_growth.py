@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from drawbook.operators import attention, compare, layout, reads, scans
+from drawbook.operators import attention, compare, layout, reads, reroute, scans
 from drawbook.plans.catalog import evidence
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
@@ -154,3 +154,24 @@ def test_summaries_contradict_by_their_own_read(spark):
     summary = spark.createDataFrame([(1, r, n, t, f) for n, r, t, f in said], "doc_id long, read_no long, name string, result_text string, flag string")
     got = {r["name"]: r["reason"] for r in reads.gate_rows(votes, summary).collect()}
     assert got == {"a": "summary", "b": None, "c": None, "d": "summary", "e": "summary", None: None}
+
+
+def exchanges(df):
+    return [line.split("Exchange ", 1)[1] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_reported_rows_are_dealt_as_they_are_and_meet_no_library_by_key(spark):
+    for name in ("lab_reported_build", "also_on_file"):
+        df = contract.queries()[name](spark, contract.SMOKE_FOLDER)
+        assert not any(x.startswith(("hashpartitioning(k#", "hashpartitioning(lower(")) for x in exchanges(df) if "urine" in x), exchanges(df)
+        assert sum("item#" in x for x in exchanges(df)) == 1, exchanges(df)
+    assert optimized(df).count("row_number()") == 1
+
+
+def test_days_on_file_are_placed_in_one_order(spark):
+    rows = [(1, "a", "2024-01-01", "kept", "1-2"), (1, "a", "2024-02-01", "kept", None), (1, "a", "2024-03-01", "conflict", "1-2"), (1, "a", "2024-04-01", "historical_differs", "1-3"),
+            (1, "b", "2024-01-01", "kept", None), (2, "a", "2024-05-01", "conflict", None), (None, "a", "2024-01-01", "kept", "1-2"), (None, "a", "2024-01-02", "kept", "1-2")]
+    reported = spark.createDataFrame([(*r, "5", None) for r in rows], "subject_id long, item string, day string, verdict string, range_display string, disp string, flag string")
+    got = sorted(((r["subject_id"] or 0, r["item"], r["day"][5:7] + r["day"][8:], r["place"], r["own_range"]) for r in reroute.also_on_file(reported).collect()))
+    assert got == [(0, "a", "0101", "earliest", False), (0, "a", "0102", "latest", False), (1, "a", "0101", "earliest", True), (1, "a", "0201", "also_on_file", True),
+                   (1, "a", "0401", "latest", True), (1, "b", "0101", "latest", False)]
