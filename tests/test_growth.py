@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from drawbook.operators import attention, compare, layout, reads, reroute, scans
+from drawbook.operators import attention, checks, compare, layout, reads, reconcile, reroute, scans
 from drawbook.plans.catalog import evidence
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
@@ -175,3 +175,23 @@ def test_days_on_file_are_placed_in_one_order(spark):
     got = sorted(((r["subject_id"] or 0, r["item"], r["day"][5:7] + r["day"][8:], r["place"], r["own_range"]) for r in reroute.also_on_file(reported).collect()))
     assert got == [(0, "a", "0101", "earliest", False), (0, "a", "0102", "latest", False), (1, "a", "0101", "earliest", True), (1, "a", "0201", "also_on_file", True),
                    (1, "a", "0401", "latest", True), (1, "b", "0101", "latest", False)]
+
+
+def test_subjects_are_checked_from_one_reading_of_their_days(spark):
+    df = contract.queries()["subject_check"](spark, contract.SMOKE_FOLDER)
+    plan = optimized(df)
+    assert plan.count("l_shipdate") and sum("Relation [" in line and "l_shipdate" in line for line in plan.splitlines()) == 2, plan  # the days, and the names that no test has
+
+
+def test_counts_stay_where_no_result_is_accepted(spark):
+    rows = [(1, "T1", "2024-01-01", "kept", 2, 5.0), (1, "T1", "2024-02-01", "conflict", 3, 6.0), (1, "T2", "2024-03-01", "conflict", 2, 6.0), (2, "T1", "2024-01-01", "excluded", 4, 1.0)]
+    days = spark.createDataFrame([(*r, 1, 1, "5", None, None, None, None, None) for r in rows],
+                                 "subject_id long, test string, day string, verdict string, copies long, value double, ord long, row_no long, disp string, flag string, range_lo double, range_hi double, "
+                                 "range_display string, unit string").withColumn("day", F.to_date("day"))
+    got = {(r["subject_id"], r["test"]): r for r in reconcile.reconcile_counted(days).collect()}
+    assert {k: tuple(r[c] for c in ("results", *reconcile.DAY_COUNTS)) for k, r in got.items()} == {(1, "T1"): (1, 5, 1, 1, 0), (1, "T2"): (0, 2, 0, 1, 0), (2, "T1"): (0, 4, 0, 0, 1)}
+    plain = {(r["subject_id"], r["test"]): r.asDict() for r in reconcile.reconcile(reconcile.accepted(days), unique=True).collect()}
+    assert {k: {c: r[c] for c in plain[k]} for k, r in got.items() if r["results"]} == plain
+    marks = reconcile.reconcile_counted(days).withColumns({"now_tier": F.lit("optimal"), "unscored_reason": F.lit("missing_threshold")})
+    checked = checks.subject_check(marks, spark.createDataFrame([(2,), (2,)], "subject_id long"))
+    assert {r["subject_id"]: tuple(r)[1:] for r in checked.collect()} == {1: (7, 1, 2, 0, 1, 1, 0), 2: (4, 0, 0, 1, 0, 0, 2)}
