@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from drawbook.operators.markers import overall_of_boxes, system_boxes
 
 def _line(*parts: Column) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
@@ -14,8 +15,11 @@ def _us(day: str) -> Column:
     return F.date_format(day, "MM/dd/yyyy")
 
 
-def fact_rows(scored: DataFrame, reported: DataFrame, scans: DataFrame, systems: DataFrame, overall: DataFrame) -> DataFrame:
-    """Canonical M/L/D/S/O rows of everything that must not change by accident; one row per fact."""
+def fact_rows(scored: DataFrame, reported: DataFrame, scans: DataFrame, symptom: DataFrame) -> DataFrame:
+    """Canonical M/L/D/S/O rows of everything that must not change by accident; one row per fact.
+
+    The scores are read once: the lines of a subject's known tests stand beside its system scores in one aggregate.
+    """
 
     def state(tier: str) -> Column:
         return F.when(F.col(tier).isin("optimal", "moderate", "flag"), F.col(tier)).otherwise("not scored")
@@ -24,20 +28,26 @@ def fact_rows(scored: DataFrame, reported: DataFrame, scans: DataFrame, systems:
         return F.when(F.col(f"{side}_day").isNotNull() & (F.coalesce(f"{side}_disp", F.lit("")) != ""), _line(
             F.lit("M"), F.col("test"), _us(f"{side}_day"), F.col(f"{side}_disp"), F.col(f"{side}_flag"), state(f"{side}_tier")))
 
-    markers = scored.select("subject_id", F.lit("M").alias("kind"), F.explode(F.array_compact(F.array(point("then"), point("now")))).alias("row"))
     shown = reported.filter(F.col("verdict") != "conflict").select("subject_id", F.lit("L").alias("kind"), _line(
         F.lit("L"), F.col("shown_group"), F.col("shown_name"), _us("day"), F.col("disp"), F.col("flag"), F.col("range_display")).alias("row"))
     bodies = scans.select("subject_id", F.lit("D").alias("kind"), _line(
         F.lit("D"), _us("day"), F.concat(F.lit("total "), F.coalesce(F.col("total").cast("int").cast("string"), F.lit("—"))),
         F.concat(F.lit("body fat "), F.coalesce("body_fat_text", F.lit("—")), F.when(F.col("computed"), " (computed)").otherwise(""))).alias("row"))
-    boxes = systems.filter(F.col("markers") > 0).select("subject_id", F.lit("S").alias("kind"), _line(
-        F.lit("S"), F.col("system"), F.concat(F.lit("optimal "), F.col("optimal")), F.concat(F.lit("moderate "), F.col("moderate")),
-        F.concat(F.lit("flag "), F.col("flagged")), F.concat(F.lit("not scored "), F.col("not_scored")),
-        F.concat(F.lit("score "), F.col("now_score")), F.col("zone")).alias("row"))
-    whole = overall.select("subject_id", F.lit("O").alias("kind"), _line(
-        F.lit("O"), F.concat(F.lit("overall now "), F.col("overall_now")),
-        F.concat(F.lit("first visit "), F.coalesce(F.col("overall_then").cast("string"), F.lit("—")))).alias("row"))
-    return markers.unionByName(shown).unionByName(bodies).unionByName(boxes).unionByName(whole)
+    def fact(kind: str, row: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), row.alias("row"))
+
+    def box_line(b: Column) -> Column:
+        return _line(F.lit("S"), b["system"], *(F.concat(F.lit(f"{said} "), b[field]) for said, field in (
+            ("optimal", "optimal"), ("moderate", "moderate"), ("flag", "flagged"), ("not scored", "not_scored"), ("score", "now_score"))), b["zone"])
+
+    lines = F.flatten(F.collect_list(F.array_compact(F.array(point("then"), point("now")))))
+    per = overall_of_boxes(system_boxes(scored, lines=lines), symptom)
+    whole = _line(F.lit("O"), F.concat(F.lit("overall now "), F.col("overall_now")),
+                  F.concat(F.lit("first visit "), F.coalesce(F.col("overall_then").cast("string"), F.lit("—"))))
+    of_scores = per.select("subject_id", F.inline(F.concat(
+        F.transform("lines", lambda x: fact("M", x)),
+        F.transform(F.filter("boxes", lambda b: b["markers"] > 0), lambda b: fact("S", box_line(b))), F.array(fact("O", whole)))))
+    return of_scores.unionByName(shown).unionByName(bodies)
 
 
 def compare_exact(expected: DataFrame, actual: DataFrame) -> DataFrame:

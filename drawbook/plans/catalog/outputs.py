@@ -39,9 +39,7 @@ UNION ALL SELECT subject_id, 'O', 'O | overall now ' || overall_now || ' | first
 
 
 def facts(spark, folder):
-    marks = scored(spark, folder)
-    systems = M.rollup_systems(marks)
-    return P.fact_rows(marks, reported(spark, folder), scans(spark, folder), systems, M.rollup_overall(systems, M.symptom_score(answers(spark, folder))))
+    return P.fact_rows(scored(spark, folder), reported(spark, folder), scans(spark, folder), M.symptom_score(answers(spark, folder)))
 
 
 @query("fact_rows", "S4", "SELECT * FROM facts", ("facts",))

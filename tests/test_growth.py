@@ -195,3 +195,8 @@ def test_counts_stay_where_no_result_is_accepted(spark):
     marks = reconcile.reconcile_counted(days).withColumns({"now_tier": F.lit("optimal"), "unscored_reason": F.lit("missing_threshold")})
     checked = checks.subject_check(marks, spark.createDataFrame([(2,), (2,)], "subject_id long"))
     assert {r["subject_id"]: tuple(r)[1:] for r in checked.collect()} == {1: (7, 1, 2, 0, 1, 1, 0), 2: (4, 0, 0, 1, 0, 0, 2)}
+
+
+def test_facts_read_the_scores_once(spark):
+    plan = optimized(contract.queries()["fact_rows"](spark, contract.SMOKE_FOLDER))
+    assert sum("Relation [" in line and "l_shipdate" in line for line in plan.splitlines()) == 2, plan  # the scores, and the reported list
