@@ -399,15 +399,24 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         wanted = reps.join(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "sig")
         return write_table(verify(pairs, whole_sets(texts, wanted, width), percent), "links")[0]
 
-    seen = links = joined = None
+    seen = joined = None
+
+    def merged(found: DataFrame) -> DataFrame:
+        """The components that ``found`` links make of those before, each a star of its rows, so that few rounds are left."""
+        if joined is None:
+            return components(found).withColumnsRenamed({"node": "sig", "root": "joined"})
+        if found.isEmpty():
+            return joined
+        stars = joined.select(F.col("sig").alias("a"), F.col("joined").alias("b"))
+        return components(found.union(stars)).withColumnsRenamed({"node": "sig", "root": "joined"})
 
     def tried(pairs: DataFrame) -> DataFrame:
         """The new links among ``pairs``, which with all before make the components."""
-        nonlocal seen, links, joined
+        nonlocal seen, joined
         pairs, _ = write_table(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "hub-pairs")
         found = verified(pairs)
-        seen, links = (pairs, found) if seen is None else (seen.union(pairs), links.union(found))
-        joined = components(links).withColumnsRenamed({"node": "sig", "root": "joined"})
+        seen = pairs if seen is None else seen.union(pairs)
+        joined = merged(found)
         tidy_driver(spark)
         return found
 
@@ -420,7 +429,7 @@ def labelled_rows(docs: DataFrame, width: int = 5, percent: int = 75, id_col: st
         open_rows, _ = write_table(matchable(unsettled(open_rows.drop("joined"), joined), percent), "open-rows")
 
     rest, _ = write_table(open_pairs(open_rows, percent, blocks).join(seen, ["a", "b"], "left_anti"), "open-pairs")
-    roots = components(links.union(verified(rest))).withColumnsRenamed({"node": "sig"})
+    roots = merged(verified(rest)).withColumnsRenamed({"joined": "root"})
     tidy_driver(spark)
 
     labelled = documents.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))

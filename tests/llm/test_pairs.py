@@ -165,3 +165,14 @@ def test_numbers_in_the_least_width():
         x = np.array([top, 0, top // 2], np.uint32)
         assert len(gramjoin.narrow(x)) == 3 * width
         assert list(gramjoin.widened(gramjoin.narrow(x), 3)) == list(x)
+
+
+def test_components_are_not_made_again_where_nothing_new_is_linked(spark, monkeypatch):
+    from drawbook.llm import gramjoin
+
+    real, calls = gramjoin.components, []
+    monkeypatch.setattr(gramjoin, "components", lambda edges: calls.append(1) or real(edges))
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, words), (1, words + " more"), (2, "quite another text of seven words here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in gramjoin.ngram_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1} and len(calls) == 1, (got, calls)
