@@ -51,15 +51,24 @@ SELECT *, 'LIPID PANEL' AS heading FROM (SELECT * FROM c0 UNION ALL SELECT * FRO
 UNION ALL SELECT *, 'GENERAL CHEMISTRY' FROM (SELECT * FROM g UNION ALL SELECT * FROM q)""", ("printed_words",))
 
 
-def printed_pages(spark, folder):
-    """Pages of positioned words; see the view ``printed_words``."""
+def split_texts(spark, folder):
+    """The words of each document, and the numbers of its printed rows."""
     # The text is split once; inside the lambda it would be split again for every row of the document.
     base = compute_once(table(spark, folder, "documents").select("doc_id", "text"), split=F.split("text", "[ \\n]")).select("doc_id", "split")
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size("split") / WORDS).cast("int") - 1), lambda i: F.array_join(F.slice("split", i * WORDS + 1, F.lit(WORDS)), ""))
+    return base.withColumn("rows", F.sequence(F.lit(0), F.ceil(F.size("split") / WORDS).cast("int") - 1))
+
+
+def page_numbers(rows):
+    return F.sequence(F.lit(0), F.ceil(F.size(rows) / ROWS).cast("int") - 1)
+
+
+def printed_pages(spark, folder):
+    """Pages of positioned words; see the view ``printed_words``."""
+    base = split_texts(spark, folder)
+    groups = F.transform("rows", lambda i: F.array_join(F.slice("split", i * WORDS + 1, F.lit(WORDS)), ""))
     items = F.transform(groups, lambda w: F.struct(F.length(w).alias("n"), F.regexp_replace(F.lower(w), "[^a-z]", "").alias("w")))
     base = compute_once(base, items=items).select("doc_id", "items")
-    last = F.ceil(F.size("items") / ROWS).cast("int") - 1
-    cut = F.transform(F.sequence(F.lit(0), last), lambda p: F.struct(p.cast("bigint").alias("page"), F.slice("items", p * ROWS + 1, F.lit(ROWS)).alias("items")))
+    cut = F.transform(page_numbers("items"), lambda p: F.struct(p.cast("bigint").alias("page"), F.slice("items", p * ROWS + 1, F.lit(ROWS)).alias("items")))
     # Rows are spread by page before their words are made: few tasks read the documents, and small partitions would be merged.
     base = compute_once(base, cut=cut).select("doc_id", F.inline("cut")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *T.PAGE)
 
@@ -116,6 +125,11 @@ def printed_pages(spark, folder):
     return compute_once(base, words=F.filter(words, lambda w: w["text"] != "")).select("doc_id", "page", "words")
 
 
+def page_keys(spark, folder):
+    """The keys of :func:`printed_pages`, without their words."""
+    return split_texts(spark, folder).select("doc_id", F.explode(page_numbers("rows").cast("array<bigint>")).alias("page"))
+
+
 def printed_rules(pages):
     """Rules around the rows of every third page: the edge of the names, and the whole width."""
     lines = F.array(*[F.lit(12.0 * k - 1.5) for k in (*range(3, 17), *range(18, 31))])
@@ -128,7 +142,7 @@ SELECT doc_id, page, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY r) AS
 FROM printed_results""", ("printed_results",))
 def printed_tables(spark, folder):
     pages = printed_pages(spark, folder)
-    rows = T.read_tables(pages, printed_rules(pages.select("doc_id", "page")))
+    rows = T.read_tables(pages, printed_rules(page_keys(spark, folder)))
     at = Window.partitionBy("doc_id", "page").orderBy("line_no")
     return rows.select("doc_id", "page", F.dense_rank().over(at).cast("bigint").alias("row_no"), "heading", "name", F.col("column_no").cast("bigint").alias("column_no"), "column_kind", "day", "reason", "status",
                        "value", "disp", "flag", "unit", "range_lo", "range_hi")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from drawbook.operators import attention, checks, compare, layout, reads, reconcile, reroute, scans
+from drawbook.functions import cells, dates
+from drawbook.operators import attention, checks, compare, layout, reads, reconcile, reroute, scans, tables
 from drawbook.plans.catalog import evidence
 from drawbook.plans.catalog import layout as positioned
 from drawbook.plans.catalog import printed
@@ -207,3 +208,21 @@ def test_facts_of_a_page_are_made_once(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "ReusedExchange" in plan and plan.count("aggregate(placed") == 1, plan
+
+
+def test_keys_of_pages_need_no_words(spark):
+    keys, pages = printed.page_keys(spark, contract.SMOKE_FOLDER), printed.printed_pages(spark, contract.SMOKE_FOLDER)
+    assert "regexp_replace" not in optimized(keys)
+    assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, pages.select("doc_id", "page").collect()))
+
+
+def test_pieces_and_forms_of_dates_are_looked_for_once(spark):
+    said = spark.range(2).select(F.col("id").cast("string").alias("t"))
+    assert optimized(said.select(cells.split_cell(F.col("t")).alias("x"))).count("regexp_extract_all(") == 1
+    assert optimized(said.select(dates.date_key(F.col("t")).alias("x"))).count("regexp_extract(") == 9
+
+
+def test_headings_are_found_before_cells_become_rows(spark):
+    df = tables.read_tables(spark.createDataFrame([], PAGE_DDL))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(one") < plan.index("Window [last(own_title"), plan
