@@ -226,3 +226,12 @@ def test_headings_are_found_before_cells_become_rows(spark):
     df = tables.read_tables(spark.createDataFrame([], PAGE_DDL))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("inline(one") < plan.index("Window [last(own_title"), plan
+
+
+def test_the_ledger_makes_votes_once_and_deals_results_once(spark):
+    df = contract.queries()["conservation_ledger"](spark, contract.SMOKE_FOLDER)
+    assert optimized(df).count("Window [collect_set(") == 1
+    rows = df.collect()
+    assert any("heading" in r["issues"] for r in rows) and not any(r["residue"] for r in rows)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert sum("ReusedExchange [subject_id" in line and "held" in line for line in plan.splitlines()) >= 2, plan
